@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PARTS = ["texts", "vectors"]
+PARTS = ["texts", "vectors", "arrays", "scores", "runs"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
