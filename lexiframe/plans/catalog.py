@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PARTS = ["texts", "vectors", "arrays", "scores", "runs"]
+PARTS = ["texts", "vectors", "arrays", "scores", "runs", "learning"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
