@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lexiframe.config import EXPERIMENT_FIELDS, EXPERIMENT_FORMAT, EXPERIMENT_PATTERN
 
+SEPARATOR = "\u0001"
+
 
 def model_name(mode: Column, cell: Column, direction: Column, batch_size: Column,
                max_len: Column, units: Column, layers: Column) -> Column:
@@ -22,10 +24,15 @@ def is_experiment(name: Column) -> Column:
     return F.coalesce(name.rlike(EXPERIMENT_PATTERN), F.lit(False))
 
 
-def experiment_fields(name: Column) -> list[Column]:
-    """Typed columns of a name that matches the layout."""
-    return [F.regexp_extract(name, EXPERIMENT_PATTERN, i).try_cast(kind).alias(field)
-            for i, (field, kind) in enumerate(EXPERIMENT_FIELDS, start=1)]
+def field_texts(name: Column) -> Column:
+    """All fields of a matching name as one array, from a single match."""
+    groups = SEPARATOR.join(f"${i}" for i in range(1, len(EXPERIMENT_FIELDS) + 1))
+    return F.split(F.regexp_replace(name, EXPERIMENT_PATTERN + "(?s:.*)", groups), SEPARATOR)
+
+
+def typed_fields(texts: Column) -> list[Column]:
+    return [texts[i].try_cast(kind).alias(field)
+            for i, (field, kind) in enumerate(EXPERIMENT_FIELDS)]
 
 
 def strip_suffix(file_name: Column, suffix: str = "_train.msgpack") -> Column:

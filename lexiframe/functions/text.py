@@ -16,7 +16,7 @@ MARK = "\u0001"
 
 
 def strip_blanks(text: Column) -> Column:
-    return F.btrim(F.translate(text, MARK, " "), F.lit(BLANKS))
+    return F.btrim(F.replace(text, F.lit(MARK), F.lit(" ")), F.lit(BLANKS))
 
 
 def mark_sentences(text: Column) -> Column:

@@ -13,7 +13,7 @@ def steps(indexed: DataFrame, split: Column) -> DataFrame:
     ids = F.col("ids")
     pair = F.arrays_zip(F.concat(F.array(F.lit(GO)), ids).alias("prev"),
                         F.concat(ids, F.array(F.lit(EOS))).alias("next"))
-    rows = indexed.select((split == "train").cast("long").alias("train"), F.inline(pair))
+    rows = indexed.select((split == "train").cast("long").alias("train"), F.inline_outer(pair))
     return rows.groupBy("prev", "next").agg(
         F.sum("train").alias("n_train"), F.sum(1 - F.col("train")).alias("n_test"))
 

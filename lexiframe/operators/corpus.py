@@ -11,6 +11,10 @@ from lexiframe.config import STOP_WORDS
 from lexiframe.functions import text as tx
 from lexiframe.functions.hashing import assign_split
 
+# Arrays are taken apart with the outer form of explode and a test for NULL. The
+# inner form makes Spark add a filter on the array's size below the projection
+# that builds the array, which would run its regular expressions twice.
+
 
 def usable(text: str = "text") -> Column:
     return F.col(text).isNotNull()
@@ -34,8 +38,8 @@ def label_documents(documents: DataFrame, labels: DataFrame, label: str) -> Data
 
 
 def raw_sentences(documents: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
-    return accepted(documents).select(
-        "doc_id", *keep, F.posexplode(tx.split_sentences(F.col("text"))).alias("sent_id", "sentence"))
+    split = F.posexplode_outer(tx.split_sentences(F.col("text"))).alias("sent_id", "sentence")
+    return accepted(documents).select("doc_id", *keep, split).filter(F.col("sentence").isNotNull())
 
 
 def sentences(documents: DataFrame, remove_stopwords: bool = False,
@@ -46,12 +50,13 @@ def sentences(documents: DataFrame, remove_stopwords: bool = False,
 
 
 def tokens(sents: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
-    return sents.select("doc_id", *keep, "sent_id", F.posexplode("words").alias("pos", "word"))
+    each = F.posexplode_outer("words").alias("pos", "word")
+    return sents.select("doc_id", *keep, "sent_id", each).filter(F.col("word").isNotNull())
 
 
 def word_counts(sents: DataFrame) -> DataFrame:
-    return sents.select(F.explode("words").alias("word")).groupBy("word").agg(
-        F.count(F.lit(1)).alias("cnt"))
+    words = sents.select(F.explode_outer("words").alias("word")).filter(F.col("word").isNotNull())
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def corpus_size(sents: DataFrame) -> DataFrame:

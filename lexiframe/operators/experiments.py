@@ -17,7 +17,8 @@ FIELDS = [field for field, _ in EXPERIMENT_FIELDS]
 def parsed(reports: DataFrame, name: str = "name") -> DataFrame:
     """Add the typed fields of each name; names of another layout are left out."""
     good = reports.filter(names.is_experiment(F.col(name)))
-    return good.select("*", *names.experiment_fields(F.col(name)))
+    texts = good.withColumn("_texts", names.field_texts(F.col(name)))
+    return texts.select(*reports.columns, *names.typed_fields(F.col("_texts")))
 
 
 def unparsed(reports: DataFrame, name: str = "name") -> DataFrame:

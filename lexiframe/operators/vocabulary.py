@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiframe.config import SPECIAL_WORDS, UNK
-from lexiframe.plans.layout import written
 from lexiframe.plans.lookup import BROADCAST_BYTES, lookup
 from lexiframe.plans.ranking import global_rank
 
@@ -50,11 +49,6 @@ def build_vocabulary(counts: DataFrame, least: int) -> DataFrame:
     return special_words(counts).unionByName(ranked.select(ids, "word", "cnt"))
 
 
-def save_vocabulary(counts: DataFrame, least: int) -> DataFrame:
-    """The vocabulary as a written table, ready for size-checked lookups."""
-    return written(build_vocabulary(counts, least), "vocabulary")
-
-
 def hot_words() -> Column:
     """The most frequent words, a set whose size is bounded by two constants."""
     return (F.col("id") < HOT_WORDS) & (F.octet_length("word") <= HOT_WORD_BYTES)
@@ -79,9 +73,17 @@ def word_ids(toks: DataFrame, vocabulary: DataFrame, unknown: int | None = UNK,
     return found.withColumn("id", F.coalesce("id", F.lit(unknown)))
 
 
-def in_order(items: Column) -> Column:
-    """Values of collected (pos, id) structs in position order."""
-    return F.transform(F.sort_array(items), lambda x: x["id"])
+ID_BITS = 32
+
+
+def place_and_id() -> Column:
+    """Position and id in one long: collected and sorted as plain numbers."""
+    return F.shiftleft(F.col("pos").cast("long"), ID_BITS) + F.col("id")
+
+
+def ids_in_order(places: Column) -> Column:
+    low = F.lit(2**ID_BITS - 1)
+    return F.transform(F.sort_array(places), lambda x: x.bitwiseAND(low).cast("int"))
 
 
 def index_sentences(sents: DataFrame, vocabulary: DataFrame, unknown: int | None = UNK,
@@ -96,9 +98,9 @@ def index_sentences(sents: DataFrame, vocabulary: DataFrame, unknown: int | None
     found = lookup(toks, table, "word", hot_words(), limit)
     if unknown is not None:
         found = found.withColumn("id", F.coalesce("id", F.lit(unknown)))
-    item = F.when(F.col("word").isNotNull() & F.col("id").isNotNull(), F.struct("pos", "id"))
-    grouped = found.groupBy("doc_id", "sent_id").agg(F.collect_list(item).alias("items"))
-    return grouped.select("doc_id", "sent_id", in_order(F.col("items")).alias("ids"))
+    place = F.when(F.col("word").isNotNull(), place_and_id())
+    grouped = found.groupBy("doc_id", "sent_id").agg(F.collect_list(place).alias("places"))
+    return grouped.select("doc_id", "sent_id", ids_in_order(F.col("places")).alias("ids"))
 
 
 def decode_sentences(indexed: DataFrame, vocabulary: DataFrame,

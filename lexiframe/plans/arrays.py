@@ -22,7 +22,8 @@ def word_pairs(spark, folder):
     following = F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0)))
     pairs = F.arrays_zip(F.slice("words", 1, F.size(following)).alias("source"),
                          following.alias("target"))
-    return words.select("item_id", F.posexplode(pairs).alias("pos", "pair")).select(
+    each = words.select("item_id", F.posexplode_outer(pairs).alias("pos", "pair"))
+    return each.filter(F.col("pair").isNotNull()).select(
         "item_id", "pos", "pair.source", "pair.target")
 
 
@@ -41,7 +42,7 @@ def char_frames(spark, folder):
 
 def char_decode(spark, folder):
     """Ids back to text: targets have an end symbol, inputs have none."""
-    both = word_pairs(spark, folder).select("item_id", "pos", F.inline(F.array(
+    both = word_pairs(spark, folder).select("item_id", "pos", F.inline_outer(F.array(
         F.struct(F.lit("target").alias("side"), ch.char_ids(ch.char_target(F.col("target"))).alias("ids")),
         F.struct(F.lit("source").alias("side"), ch.char_ids(F.col("source")).alias("ids")))))
     decoded = both.withColumn("decoded", ch.decode_chars(F.col("ids")))
@@ -72,12 +73,12 @@ def line_splits(spark, folder):
 
 
 def _embeddings(spark, folder):
-    return table(spark, folder, "embeddings")
+    return spread(table(spark, folder, "embeddings"), "vec_id")
 
 
 def one_hot_labels(spark, folder):
     hot = sq.one_hot(F.col("label"), CLASSES)
-    return _embeddings(spark, folder).select("vec_id", F.posexplode(hot).alias("class", "hot"))
+    return _embeddings(spark, folder).select("vec_id", F.posexplode_outer(hot).alias("class", "hot"))
 
 
 def vector_argmax(spark, folder):
@@ -87,18 +88,18 @@ def vector_argmax(spark, folder):
 
 def vector_softmax(spark, folder):
     soft = _embeddings(spark, folder).select(
-        "vec_id", F.posexplode(sq.softmax(F.col("embedding"))).alias("dim", "p"))
+        "vec_id", F.posexplode_outer(sq.softmax(F.col("embedding"))).alias("dim", "p"))
     return soft.withColumn("p", F.round("p", 6))
 
 
 def vector_grid(spark, folder):
     """Rows of the grid and, transposed, its columns."""
     grid = sq.to_grid(F.col("embedding"), ROWS, COLS)
-    grids = _embeddings(spark, folder).select("vec_id", F.inline(F.array(
+    grids = _embeddings(spark, folder).select("vec_id", F.inline_outer(F.array(
         F.struct(F.lit("rows").alias("view"), grid.alias("grid")),
         F.struct(F.lit("cols").alias("view"), sq.transpose(grid, COLS).alias("grid")))))
-    rows = grids.select("vec_id", "view", F.posexplode("grid").alias("row", "cells"))
-    return rows.select("vec_id", "view", "row", F.posexplode("cells").alias("col", "x")).withColumn(
+    rows = grids.select("vec_id", "view", F.posexplode_outer("grid").alias("row", "cells"))
+    return rows.select("vec_id", "view", "row", F.posexplode_outer("cells").alias("col", "x")).withColumn(
         "x", F.round(F.col("x").cast("double"), 6))
 
 
@@ -117,7 +118,7 @@ def vector_scores(spark, folder):
     weights = class_centers(given)
     bias = [-sum(x * x for x in row) / 2 for row in weights]
     scores = sq.linear_scores(F.col("embedding"), weights, bias)
-    return given.select("vec_id", F.posexplode(scores).alias("class", "score")).withColumn(
+    return given.select("vec_id", F.posexplode_outer(scores).alias("class", "score")).withColumn(
         "score", F.round("score", 6))
 
 

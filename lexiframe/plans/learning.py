@@ -72,7 +72,8 @@ def stream_tokens(spark, folder):
     """Documents indexed as a stream; equals the batch result."""
     output, checkpoint = new_path(spark, "stream_tokens"), new_path(spark, "stream_state")
     arriving = read_documents(spark, folder, "documents.parquet")
-    run_index(arriving, saved_vocabulary(spark, folder), output, checkpoint)
+    run_index(arriving, saved_vocabulary(spark, folder), output, checkpoint,
+              spread_to=2 * spark.sparkContext.defaultParallelism)
     return spark.read.parquet(output)
 
 

@@ -8,7 +8,7 @@ from lexiframe.config import EXPERIMENT_FIELDS, REPORT_METRICS
 from lexiframe.functions import names
 from lexiframe.functions.hashing import assign_split
 from lexiframe.operators import experiments as ex
-from lexiframe.plans.layout import new_path
+from lexiframe.plans.layout import new_path, spread
 from lexiframe.sources import reports as rp
 from lexiframe.sources import vectors as vs
 from lexiframe.sources.tables import table
@@ -19,7 +19,7 @@ TOP_PER_GROUP = 3
 
 def runs(spark, folder):
     """Name and report of a run per order; low priority ones have another name."""
-    orders = table(spark, folder, "orders")
+    orders = spread(table(spark, folder, "orders"), "o_orderkey")
     order, cust = F.col("o_orderkey"), F.col("o_custkey")
     run_time = (F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date"))
                 .cast("long") * 86400)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lexiframe.config import Settings
 from lexiframe.functions import sequences as sq
 from lexiframe.operators import corpus, framing, vocabulary
-from lexiframe.plans.layout import cluster, spread, written
+from lexiframe.plans.layout import cluster, shared_folder, spread, written
+from lexiframe.sources.artefacts import input_identity, reuse_or_write
 from lexiframe.sources.tables import table
 
 SETTINGS = Settings()
@@ -24,8 +25,15 @@ def counted_words(spark: SparkSession, folder: str, remove_stopwords: bool = Fal
 
 
 def saved_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
-    """The vocabulary comes from every word of the corpus, stop words included."""
-    return vocabulary.save_vocabulary(counted_words(spark, folder), SETTINGS.min_count)
+    """The vocabulary of every word of the corpus, stop words included.
+
+    Kept in the shared folder: one pass over the texts serves every later query
+    on the same files.
+    """
+    return reuse_or_write(
+        spark, f"{shared_folder(spark)}/lexiframe/kept", "vocabulary", SETTINGS,
+        input_identity(spark, [f"{folder}/documents.parquet"]),
+        lambda: vocabulary.build_vocabulary(counted_words(spark, folder), SETTINGS.min_count))
 
 
 def indexed(spark: SparkSession, folder: str) -> DataFrame:

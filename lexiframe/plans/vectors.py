@@ -67,7 +67,7 @@ def doc_vectors(spark, folder):
 def unit_vectors(spark, folder):
     given = table(spark, folder, "embeddings").select("vec_id", "embedding")
     unit = vectors.unit_vectors(given, "embedding")
-    return unit.select("vec_id", F.posexplode("embedding").alias("dim", "value")).select(
+    return unit.select("vec_id", F.posexplode_outer("embedding").alias("dim", "value")).select(
         "vec_id", "dim", F.round("value", 6).alias("value"))
 
 
