@@ -92,13 +92,17 @@ def dot(left: Column, right: Column) -> Column:
     return total(F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double")))
 
 
+def double_array(values: Sequence[float]) -> Column:
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
+
+
 def linear_scores(values: Column, weights: Sequence[Sequence[float]],
                   bias: Sequence[float]) -> Column:
     """x.W + b as an array with one score per class.
 
     Weights are model parameters (classes x dimensions), so they ride in the plan.
     """
-    rows = [dot(values, F.lit([float(w) for w in row])) + F.lit(float(b))
+    rows = [dot(values, double_array(row)) + F.lit(float(b))
             for row, b in zip(weights, bias, strict=True)]
     return F.array(*rows)
 

@@ -67,7 +67,7 @@ def report_table(reports: DataFrame, name: str = "name", ties: Sequence[str] = (
     Rows are ranked inside each model configuration, so no task sorts them all.
     """
     rows = parsed(reports, name)
-    buckets = {f"_{f}": F.col(f) for f in FIELDS[:-2]}
+    buckets = {f: F.col(f) for f in FIELDS[:-2]}
     ranked = global_rank(rows, buckets, [F.col("epoch"), F.col("run_time"), F.col(name),
                                          *[F.col(t) for t in ties]])
     index = (F.col("rank") - 1).alias("row_index")

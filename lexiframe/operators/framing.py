@@ -72,7 +72,7 @@ def shuffled_batches(rows: DataFrame, key: list[str], batch_size: int, epoch: in
     digest: Column = key_digest(seed, epoch, *[F.col(k) for k in key])
     keyed = rows.withColumn("_digest", digest)
     ranked = global_rank(
-        keyed, {"_bucket": F.substring("_digest", 1, hex_digits(n_rows))},
+        keyed, {"digits": F.substring("_digest", 1, hex_digits(n_rows))},
         [F.col("_digest"), *[F.col(k) for k in key]])
     place = F.col("rank") - 1
     batched = ranked.select(

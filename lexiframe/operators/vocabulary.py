@@ -30,8 +30,8 @@ def rank_buckets() -> dict[str, Column]:
     """
     low = F.col("cnt") < EXACT_COUNTS
     shared = EXACT_COUNTS + F.floor(F.log2(F.col("cnt") / F.lit(float(EXACT_COUNTS))) * 16)
-    return {"_class": F.when(low, F.col("cnt")).otherwise(shared).cast("int"),
-            "_letters": F.when(low, F.substring("word", 1, 2)).otherwise("")}
+    return {"count_class": F.when(low, F.col("cnt")).otherwise(shared).cast("int"),
+            "letters": F.when(low, F.substring("word", 1, 2)).otherwise("")}
 
 
 def special_words(counts: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def build_vocabulary(counts: DataFrame, least: int) -> DataFrame:
     """`id, word, cnt`: special words first, then by falling count and word."""
     ranked = global_rank(
         min_count(counts, least), rank_buckets(),
-        [F.col("cnt").desc(), F.col("word").asc()], descending=["_class"])
+        [F.col("cnt").desc(), F.col("word").asc()], descending=["count_class"])
     ids = (F.col("rank") + (len(SPECIAL_WORDS) - 1)).cast("int").alias("id")
     return special_words(counts).unionByName(ranked.select(ids, "word", "cnt"))
 

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# One struct column: a join on several columns would test each for NULL below
+# the projection that computes it, and so compute it again.
+BUCKET = "_bucket"
 
 def global_rank(rows: DataFrame, buckets: dict[str, Column], order: Sequence[Column],
                 descending: Sequence[str] = (), rank: str = "rank") -> DataFrame:
@@ -17,18 +20,18 @@ def global_rank(rows: DataFrame, buckets: dict[str, Column], order: Sequence[Col
     is the running sum over the small table of bucket sizes. `order` must be a
     total order inside a bucket.
     """
-    names = list(buckets)
-    keyed = rows.withColumns(buckets)
-    sorted_buckets = [F.col(n).desc() if n in descending else F.col(n).asc() for n in names]
-    before = Window.orderBy(*sorted_buckets).rowsBetween(Window.unboundedPreceding, -1)
+    keyed = rows.withColumn(BUCKET, F.struct(*[c.alias(n) for n, c in buckets.items()]))
+    in_turn = [F.col(f"{BUCKET}.{n}").desc() if n in descending else F.col(f"{BUCKET}.{n}").asc()
+               for n in buckets]
+    before = Window.orderBy(*in_turn).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("_size"))
-        .select(*names, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+        keyed.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("_size"))
+        .select(BUCKET, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     )
-    inside = Window.partitionBy(*names).orderBy(*order)
+    inside = Window.partitionBy(BUCKET).orderBy(*order)
     return (
         keyed.withColumn("_place", F.row_number().over(inside))
-        .join(starts, names)
+        .join(starts, BUCKET)
         .withColumn(rank, (F.col("_start") + F.col("_place")).cast("long"))
-        .drop("_start", "_place", *names)
+        .drop("_start", "_place", BUCKET)
     )
