@@ -1,0 +1,47 @@
+from pyspark.sql import functions as F
+from util import documents, random_texts
+
+from lexiframe.operators import corpus, vocabulary
+from lexiframe.plans.layout import written
+from lexiframe.sources import reports as rp
+from lexiframe.streaming.documents import read_documents, run_index
+from lexiframe.streaming.experiments import run_scoring
+
+
+def test_stream_equals_batch_and_takes_new_files_once(spark, folder):
+    first, second = random_texts(20, seed=1), random_texts(20, seed=2)
+    docs = documents(spark, first + second)
+    vocab = written(vocabulary.build_vocabulary(
+        corpus.word_counts(corpus.sentences(docs)), 20), "vocabulary")
+    arrive, out, state = f"{folder}/in", f"{folder}/out", f"{folder}/state"
+
+    def run():
+        run_index(read_documents(spark, arrive), vocab, out, state, spread_to=3)
+        return spark.read.parquet(out)
+
+    docs.filter("doc_id < 20").write.parquet(arrive)
+    n_first = run().count()
+    assert run().count() == n_first > 0
+    docs.filter("doc_id >= 20").write.mode("append").parquet(arrive)
+    toks = corpus.tokens(corpus.sentences(docs, remove_stopwords=True))
+    want = vocabulary.word_ids(toks, vocab).select("doc_id", "sent_id", "pos", "id")
+    assert sorted(map(tuple, run().collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_experiments_are_scored_once(spark, folder):
+    exports, done, state = f"{folder}/exports", f"{folder}/reports", f"{folder}/state"
+
+    def run(rows):
+        frame = spark.createDataFrame(rows, "name string, x double")
+        frame.write.mode("append").json(exports)
+
+        def score(batch):
+            x = F.max("x")
+            return batch.groupBy("name").agg(*[x.alias(m) for m in rp.REPORT_METRICS])
+
+        run_scoring(spark, exports, frame.schema, done, state, score)
+        return {r["name"]: r.f_measure for r in rp.read_reports(spark, done).collect()}
+
+    assert run([("a", 0.1), ("a", 0.2)]) == {"a": 0.2}
+    assert run([("a", 0.9), ("b", 0.3)]) == {"a": 0.2, "b": 0.3}
+    assert rp.read_reports(spark, done).count() == 2
