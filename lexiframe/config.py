@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Mapping
 from dataclasses import asdict, dataclass
 from hashlib import sha256
 
@@ -52,6 +54,14 @@ REPORT_METRICS = ["accuracy", "precision", "recall", "f_measure"]
 
 MODES = ("self", "next")
 
+# Environment names of the run settings.
+ENVIRONMENT = {
+    "INFERENCE_MODE": ("mode", str),
+    "BATCH_SIZE": ("batch_size", int),
+    "MAX_SENTENCE_LENGTH": ("max_len", int),
+    "EVAL_GAP": ("eval_gap", int),
+}
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -73,6 +83,12 @@ class Settings:
         if self.batch_size < 1 or self.max_len < 1:
             raise ValueError("batch_size and max_len must be positive")
 
+    @classmethod
+    def from_environment(cls, env: Mapping[str, str] = os.environ) -> Settings:
+        """Settings given in the environment, the defaults for the rest."""
+        return cls(**{field: kind(env[name]) for name, (field, kind) in ENVIRONMENT.items()
+                      if name in env})
+
     def fingerprint(self, *extra: object) -> str:
         """Short key of these settings; `extra` adds inputs a step depends on."""
         text = repr(sorted(asdict(self).items())) + repr(extra)

@@ -12,6 +12,7 @@ from lexiframe.functions import names
 from lexiframe.plans.ranking import global_rank
 
 FIELDS = [field for field, _ in EXPERIMENT_FIELDS]
+SECONDS_PER_DAY = 86_400
 
 
 def parsed(reports: DataFrame, name: str = "name") -> DataFrame:
@@ -64,12 +65,15 @@ def top(reports: DataFrame, k: int, metric: str = "f_measure",
 def report_table(reports: DataFrame, name: str = "name", ties: Sequence[str] = ()) -> DataFrame:
     """Flat report columns with a row index over the experiment key.
 
-    Rows are ranked inside each model configuration, so no task sorts them all.
+    Rows are ranked by kind of model, then configuration, then epoch and day, so
+    no task sorts them all and a much used configuration is split further.
     """
     rows = parsed(reports, name)
-    buckets = {f: F.col(f) for f in FIELDS[:-2]}
-    ranked = global_rank(rows, buckets, [F.col("epoch"), F.col("run_time"), F.col(name),
-                                         *[F.col(t) for t in ties]])
+    kind, shape = FIELDS[:3], FIELDS[3:-2]
+    levels = [{f: F.col(f) for f in kind}, {f: F.col(f) for f in shape},
+              {"epoch": F.col("epoch"), "day": F.floor(F.col("run_time") / SECONDS_PER_DAY)}]
+    ranked = global_rank(rows, levels, [F.col("run_time"), F.col(name),
+                                        *[F.col(t) for t in ties]])
     index = (F.col("rank") - 1).alias("row_index")
     return ranked.select(index, *FIELDS[:-1], *REPORT_METRICS)
 

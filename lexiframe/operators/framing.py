@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexiframe.config import MODES
 from lexiframe.functions import sequences as sq
 from lexiframe.functions.hashing import key_digest
-from lexiframe.plans.ranking import global_rank
+from lexiframe.plans.ranking import Level, global_rank
 
 ROWS_PER_BUCKET = 100_000
 
@@ -59,6 +59,12 @@ def hex_digits(n_rows: int, per_bucket: int = ROWS_PER_BUCKET) -> int:
     return min(5, max(1, ceil(log(max(n_rows, 1) / per_bucket, 16)))) if n_rows else 1
 
 
+def digit_levels(digest: Column, digits: int) -> list[Level]:
+    """Buckets by the first two md5 digits, split by the digits after them."""
+    first = {"first": F.substring(digest, 1, min(digits, 2))}
+    return [first] if digits <= 2 else [first, {"more": F.substring(digest, 3, digits - 2)}]
+
+
 def shuffled_batches(rows: DataFrame, key: list[str], batch_size: int, epoch: int = 0,
                      seed: int = 1, drop_last: bool = False) -> DataFrame:
     """Add `batch_id`: a seeded global shuffle, redrawn each epoch, cut in batches.
@@ -72,7 +78,7 @@ def shuffled_batches(rows: DataFrame, key: list[str], batch_size: int, epoch: in
     digest: Column = key_digest(seed, epoch, *[F.col(k) for k in key])
     keyed = rows.withColumn("_digest", digest)
     ranked = global_rank(
-        keyed, {"digits": F.substring("_digest", 1, hex_digits(n_rows))},
+        keyed, digit_levels(F.col("_digest"), hex_digits(n_rows)),
         [F.col("_digest"), *[F.col(k) for k in key]])
     place = F.col("rank") - 1
     batched = ranked.select(

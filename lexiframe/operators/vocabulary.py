@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiframe.config import SPECIAL_WORDS, UNK
 from lexiframe.plans.lookup import BROADCAST_BYTES, lookup
-from lexiframe.plans.ranking import global_rank
+from lexiframe.plans.ranking import Level, global_rank
 
 HOT_WORDS = 100_000
 HOT_WORD_BYTES = 64
@@ -22,16 +22,17 @@ def min_count(counts: DataFrame, least: int) -> DataFrame:
 EXACT_COUNTS = 1024
 
 
-def rank_buckets() -> dict[str, Column]:
-    """Coarse keys in vocabulary order, of which there are under two million.
+def rank_levels() -> list[Level]:
+    """Coarse keys in vocabulary order: some two thousand classes of counts, then
+    the first two letters.
 
-    Low counts, which most words have, get a class each, split by the first two
-    letters. Higher counts share 16 classes per doubling, ranked inside.
+    Low counts, which most words have, get a class each, split by the letters.
+    Higher counts share 16 classes per doubling, ranked inside.
     """
     low = F.col("cnt") < EXACT_COUNTS
     shared = EXACT_COUNTS + F.floor(F.log2(F.col("cnt") / F.lit(float(EXACT_COUNTS))) * 16)
-    return {"count_class": F.when(low, F.col("cnt")).otherwise(shared).cast("int"),
-            "letters": F.when(low, F.substring("word", 1, 2)).otherwise("")}
+    return [{"count_class": F.when(low, F.col("cnt")).otherwise(shared).cast("int")},
+            {"letters": F.when(low, F.substring("word", 1, 2)).otherwise("")}]
 
 
 def special_words(counts: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def special_words(counts: DataFrame) -> DataFrame:
 def build_vocabulary(counts: DataFrame, least: int) -> DataFrame:
     """`id, word, cnt`: special words first, then by falling count and word."""
     ranked = global_rank(
-        min_count(counts, least), rank_buckets(),
+        min_count(counts, least), rank_levels(),
         [F.col("cnt").desc(), F.col("word").asc()], descending=["count_class"])
     ids = (F.col("rank") + (len(SPECIAL_WORDS) - 1)).cast("int").alias("id")
     return special_words(counts).unionByName(ranked.select(ids, "word", "cnt"))

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import logging
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+log = logging.getLogger("lexiframe")
 
 SETTING = "spark.checkpoint.dir"
 _local_roots: dict[str, str] = {}
@@ -27,6 +34,15 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_roots[context.applicationId]
 
 
+@contextmanager
+def timed(step: str) -> Iterator[None]:
+    """Log the start and the wall-clock time of a step."""
+    log.info("start %s", step)
+    start = time.monotonic()
+    yield
+    log.info("finish %s (%.2f s)", step, time.monotonic() - start)
+
+
 def new_path(spark: SparkSession, step: str) -> str:
     return f"{shared_folder(spark)}/lexiframe/{step}/{uuid.uuid4().hex}"
 
@@ -35,7 +51,10 @@ def written(df: DataFrame, step: str) -> DataFrame:
     """Write a step once and read it back: it cuts lineage, survives lost
     executors, and later passes read only the columns they need."""
     path = new_path(df.sparkSession, step)
-    df.write.parquet(path)
+    seen = Observation(step)
+    with timed(f"write {step}"):
+        df.observe(seen, F.count(F.lit(1)).alias("n_rows")).write.parquet(path)
+    log.info("%s: %d rows", step, seen.get["n_rows"])
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ from lexiframe.config import REPORT_METRICS
 from lexiframe.functions.hashing import assign_split
 from lexiframe.operators import classify, corpus, metrics, skipgram, vectors, vocabulary
 from lexiframe.operators import experiments as ex
-from lexiframe.plans.layout import cluster, new_path, written
+from lexiframe.plans.layout import cluster, new_path, spread, written
 from lexiframe.plans.runs import runs
 from lexiframe.plans.scores import rounded
 from lexiframe.plans.texts import SETTINGS, documents, saved_vocabulary
@@ -38,7 +38,7 @@ def labelled_doc_vectors(spark, folder):
     vocab = saved_vocabulary(spark, folder)
     docs = table(spark, folder, "documents").select("doc_id", "text")
     labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
-    chosen = cluster(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), "doc_id")
+    chosen = spread(docs, "doc_id").join(labels.select("doc_id"), "doc_id", "left_semi")
     ids = vocabulary.index_sentences(corpus.sentences(chosen, remove_stopwords=True), vocab)
     pooled = vectors.pooled_vectors(vectors.indexed_weights(ids), id_vectors(spark, folder, vocab), DIM)
     rows = ex.with_labels(pooled, labels).withColumn("split", assign_split(F.col("doc_id"), "0123"))

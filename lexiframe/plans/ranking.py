@@ -2,36 +2,56 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# One struct column: a join on several columns would test each for NULL below
-# the projection that computes it, and so compute it again.
-BUCKET = "_bucket"
+Level = dict[str, Column]
 
-def global_rank(rows: DataFrame, buckets: dict[str, Column], order: Sequence[Column],
-                descending: Sequence[str] = (), rank: str = "rank") -> DataFrame:
-    """Add the 1-based rank of each row under (buckets, order).
 
-    `buckets` are coarse, ordered keys with a bounded number of values that
-    split the rows finely. Rows are sorted only inside a bucket; a bucket's start
-    is the running sum over the small table of bucket sizes. `order` must be a
-    total order inside a bucket.
+def global_rank(rows: DataFrame, levels: Sequence[Level], order: Sequence[Column],
+                descending: Collection[str] = (), rank: str = "rank") -> DataFrame:
+    """Add the 1-based rank of each row, sorted by the levels' keys, then `order`.
+
+    Each level splits the buckets of the one before it; the first should have
+    few values, and the last should leave few rows per bucket. Rows are sorted
+    only inside a bucket of the last level, and a bucket's start is a running
+    sum of sizes inside its parent. `order` must be total inside a bucket.
     """
-    keyed = rows.withColumn(BUCKET, F.struct(*[c.alias(n) for n, c in buckets.items()]))
-    in_turn = [F.col(f"{BUCKET}.{n}").desc() if n in descending else F.col(f"{BUCKET}.{n}").asc()
-               for n in buckets]
-    before = Window.orderBy(*in_turn).rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        keyed.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("_size"))
-        .select(BUCKET, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    )
-    inside = Window.partitionBy(BUCKET).orderBy(*order)
+    # One struct column per level: joining on plain columns would test each for
+    # NULL below the projection that computes it, and so compute it twice.
+    names = [f"_level_{i}" for i in range(len(levels))]
+    keyed = rows.withColumns({
+        name: F.struct(*[c.alias(n) for n, c in level.items()])
+        for name, level in zip(names, levels, strict=True)})
+    starts = _starts(keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("_size")),
+                     names, levels, descending)
+    inside = Window.partitionBy(*names).orderBy(*order)
     return (
         keyed.withColumn("_place", F.row_number().over(inside))
-        .join(starts, BUCKET)
+        .join(starts, names)
         .withColumn(rank, (F.col("_start") + F.col("_place")).cast("long"))
-        .drop("_start", "_place", BUCKET)
+        .drop("_start", "_place", *names)
     )
+
+
+def _starts(sizes: DataFrame, names: Sequence[str], levels: Sequence[Level],
+            descending: Collection[str]) -> DataFrame:
+    """Rows before each bucket: before it in its parent, plus before the parent."""
+    def before(depth: int) -> Column:
+        level = names[depth]
+        in_turn = [F.col(f"{level}.{key}").desc() if key in descending
+                   else F.col(f"{level}.{key}").asc() for key in levels[depth]]
+        earlier = Window.partitionBy(*names[:depth]).orderBy(*in_turn).rowsBetween(
+            Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_size").over(earlier), F.lit(0))
+
+    last = len(names) - 1
+    starts = sizes.select(*names, before(last).alias("_start"))
+    for depth in range(last):
+        parent = names[:depth + 1]
+        whole = sizes.groupBy(*parent).agg(F.sum("_size").alias("_size"))
+        starts = (starts.join(whole.select(*parent, before(depth).alias("_before")), parent)
+                  .withColumn("_start", F.col("_start") + F.col("_before")).drop("_before"))
+    return starts

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from lexiframe.config import Settings
 from lexiframe.functions import sequences as sq
+from lexiframe.functions import text as tx
 from lexiframe.operators import corpus, framing, vocabulary
+from lexiframe.plans import ranking
 from lexiframe.plans.layout import cluster, shared_folder, spread, written
-from lexiframe.sources.artefacts import input_identity, reuse_or_write
+from lexiframe.sources.artefacts import code_identity, input_identity, reuse_or_write
 from lexiframe.sources.tables import table
 
 SETTINGS = Settings()
@@ -32,7 +34,8 @@ def saved_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     """
     return reuse_or_write(
         spark, f"{shared_folder(spark)}/lexiframe/kept", "vocabulary", SETTINGS,
-        input_identity(spark, [f"{folder}/documents.parquet"]),
+        (input_identity(spark, [f"{folder}/documents.parquet"]),
+         code_identity(tx, corpus, vocabulary, ranking)),
         lambda: vocabulary.build_vocabulary(counted_words(spark, folder), SETTINGS.min_count))
 
 

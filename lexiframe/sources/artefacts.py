@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Sequence
+from hashlib import sha256
+from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +30,17 @@ def input_identity(spark: SparkSession, paths: Sequence[str]) -> tuple:
     return int(row[0]), int(row[1] or 0)
 
 
+def code_identity(*modules: ModuleType) -> str:
+    """Changes with the source of the modules that make a step."""
+    return sha256("".join(map(inspect.getsource, modules)).encode()).hexdigest()[:16]
+
+
 def reuse_or_write(spark: SparkSession, folder: str, step: str, settings: Settings,
                    inputs: tuple, make: Callable[[], DataFrame]) -> DataFrame:
     """Read `folder/step/fingerprint`, or make and write it first.
 
-    `inputs` names what the step reads (file identity, stop words), so a change of
-    any of them leads to another folder, never to a stale one. A write that was
+    `inputs` names what the step depends on (file identity, code, stop words), so a
+    change of any of them leads to another folder, never to a stale one. A write that was
     cut off has no success mark and is done again.
     """
     path = f"{folder}/{step}/{settings.fingerprint(step, *inputs)}"

@@ -80,8 +80,9 @@ def test_batch_sizes(spark, drop_last, want):
     assert [sizes[b] for b in sorted(sizes)] == want
 
 
-def test_batches_are_a_seeded_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(framing, "ROWS_PER_BUCKET", 4)
+@pytest.mark.parametrize("digits", [1, 2, 4])
+def test_batches_are_a_seeded_shuffle(spark, monkeypatch, digits):
+    monkeypatch.setattr(framing, "hex_digits", lambda n: digits)
     rows = spark.range(1000).withColumnRenamed("id", "row_id")
 
     def order(epoch, seed=1):

@@ -41,10 +41,14 @@ def test_order_over_all_count_classes(spark):
     assert [r.id for r in got] == list(range(len(want) + 4))
 
 
-def test_rank_with_one_hot_bucket(spark):
+@pytest.mark.parametrize("levels", [
+    lambda b: [{"b": b}],
+    lambda b: [{"b": F.floor(b / 100)}, {"c": b}],
+    lambda b: [{"a": F.lit(1)}, {"b": F.floor(b / 500)}, {"b": F.floor(b / 50), "c": b}]])
+def test_rank_with_one_hot_bucket(spark, levels):
     rows = [(0 if i % 3 else i, i * 7919 % 3001) for i in range(3000)]
     frame = spark.createDataFrame(rows, "bucket int, x int").repartition(4)
-    ranked = global_rank(frame, {"b": F.col("bucket")}, [F.col("x")], descending=["b"])
+    ranked = global_rank(frame, levels(F.col("bucket")), [F.col("x")], descending=["b", "c"])
     got = [(r["bucket"], r["x"]) for r in ranked.orderBy("rank").collect()]
     assert got == sorted(rows, key=lambda r: (-r[0], r[1]))
     assert ranked.agg(F.countDistinct("rank"), F.max("rank")).first()[:] == (3000, 3000)
