@@ -32,6 +32,6 @@ def perplexity(counted: DataFrame, vocab_size: int, k: float) -> DataFrame:
     summed = by_prev.agg(
         F.sum("n_train").alias("n_train"), F.sum("n_test").alias("n_targets"),
         (F.sum(prev_term) - F.sum("pair_term")).alias("nll"))
-    cost = F.col("nll") / F.col("n_targets")
+    cost = F.col("nll") / F.nullif(F.col("n_targets"), F.lit(0))
     return summed.select("n_train", "n_targets", cost.alias("cross_entropy"),
                          F.exp(cost).alias("perplexity"))

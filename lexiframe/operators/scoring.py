@@ -14,7 +14,8 @@ from lexiframe.sources import vectors as vs
 def score_experiment(vectors: DataFrame, labels: DataFrame, name: str, n_classes: int,
                      stages: int = classify.ESTIMATORS, **options) -> DataFrame:
     """One experiment's best report as `name` and four scores."""
-    rows = ex.with_labels(vectors.filter(F.col("experiment") == name), labels)
+    own = vectors.filter(F.col("experiment") == name).select("doc_id", "split", "vector")
+    rows = ex.with_labels(own, labels)
     train, test = (rows.filter(F.col("split") == s) for s in ("train", "test"))
     best = classify.classify(train, test, n_classes, stages, **options)
     return best.select(F.lit(name).alias("name"), *rp.REPORT_METRICS)

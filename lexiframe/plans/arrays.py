@@ -106,8 +106,8 @@ def vector_grid(spark, folder):
 def class_centers(vectors, classes=CLASSES):
     """Mean vector of each class as plain numbers: classes x dimensions, model size."""
     dims = vectors.select(F.size("embedding")).first()[0]
-    means = vectors.groupBy("label").agg(
-        F.array(*[F.avg(F.col("embedding")[i].cast("double")) for i in range(dims)]).alias("center"))
+    averages = ", ".join(f"avg(cast(embedding[{i}] AS double))" for i in range(dims))
+    means = vectors.groupBy("label").agg(F.expr(f"array({averages})").alias("center"))
     found = {r["label"]: r["center"] for r in means.collect()}
     return [found.get(c, [0.0] * dims) for c in range(classes)]
 

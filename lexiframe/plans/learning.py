@@ -8,18 +8,22 @@ from lexiframe.config import REPORT_METRICS
 from lexiframe.functions.hashing import assign_split
 from lexiframe.operators import classify, corpus, metrics, skipgram, vectors, vocabulary
 from lexiframe.operators import experiments as ex
+from lexiframe.operators.scoring import score_experiment, score_pending
 from lexiframe.plans.layout import cluster, new_path, spread, written
 from lexiframe.plans.runs import runs
 from lexiframe.plans.scores import rounded
 from lexiframe.plans.texts import SETTINGS, documents, saved_vocabulary
 from lexiframe.plans.vectors import DIM, id_vectors
+from lexiframe.sources.reports import read_reports, write_reports
 from lexiframe.sources.tables import table
+from lexiframe.sources.vectors import read_vectors, write_vectors
 from lexiframe.streaming.documents import read_documents, run_index
 from lexiframe.streaming.experiments import run_scoring
 
 VECTOR_SIZE = 16
 WORD_ITERATIONS = 2
 STAGES = 10
+FEW_STAGES = 3
 
 
 def word_vectors(spark, folder):
@@ -58,6 +62,17 @@ def boosted_trees(spark, folder):
     return metrics.best_stage(boosted_stages(spark, folder))
 
 
+def scored_experiments(spark, folder):
+    """Two stored experiments, raw and unit vectors; the one with a report is not fitted."""
+    stored, done = new_path(spark, "vectors"), new_path(spark, "reports")
+    rows = labelled_doc_vectors(spark, folder)
+    unit = vectors.unit_vectors(rows).withColumn("experiment", F.lit("unit"))
+    write_vectors(rows.withColumn("experiment", F.lit("raw")).unionByName(unit), stored)
+    labels = rows.select("doc_id", "label")
+    write_reports(score_experiment(read_vectors(spark, stored), labels, "raw", 2, FEW_STAGES), done)
+    return rounded(score_pending(spark, stored, labels, done, 2, FEW_STAGES), REPORT_METRICS)
+
+
 def softmax_regression(spark, folder):
     """Held-out scores of a ten-class softmax fit on the embeddings."""
     rows = table(spark, folder, "embeddings").select(
@@ -88,8 +103,9 @@ def stream_pending(spark, folder):
     for wave in (rows.filter(F.col("o_orderstatus") == "F"), rows):
         wave.write.mode("append").json(exports)
         run_scoring(spark, exports, rows.schema, reports, checkpoint, score)
-    return spark.read.schema(f"name string, {', '.join(m + ' double' for m in REPORT_METRICS)}").json(reports)
+    return read_reports(spark, reports)
 
 
 QUERIES = {f.__name__: f for f in (
-    word_vectors, boosted_trees, boosted_stages, softmax_regression, stream_tokens, stream_pending)}
+    word_vectors, boosted_trees, boosted_stages, scored_experiments, softmax_regression,
+    stream_tokens, stream_pending)}

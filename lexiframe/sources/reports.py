@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from lexiframe.config import REPORT_METRICS
+from lexiframe.sources.artefacts import exists
 
 REPORT_SCHEMA = T.StructType(
     [T.StructField("name", T.StringType())]
@@ -20,12 +20,9 @@ def write_reports(reports: DataFrame, path: str, mode: str = "append") -> None:
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """Stored reports; an empty frame where none is stored yet."""
-    try:
-        return spark.read.schema(REPORT_SCHEMA).json(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not exists(spark, path):
         return spark.createDataFrame([], REPORT_SCHEMA)
+    return spark.read.schema(REPORT_SCHEMA).json(path)
 
 
 def write_table(rows: DataFrame, path: str) -> None:

@@ -17,7 +17,8 @@ def con(small):
 def test_names_agree():
     assert set(ORACLE) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLE) == {
-        "word_vectors", "softmax_regression", "boosted_trees", "boosted_stages"}
+        "word_vectors", "softmax_regression", "boosted_trees", "boosted_stages",
+        "scored_experiments"}
 
 
 def test_entry(spark):
