@@ -10,23 +10,17 @@ from pyspark.sql import functions as F
 from lexiframe.config import STOP_WORDS
 
 BLANKS = " \t\r\n"
-# A control character that marks a sentence end. Copies of it in the input
-# become blanks first, so every mark is ours.
-MARK = "\u0001"
+# Blanks that follow a sentence end; the end itself stays with its sentence.
+BETWEEN_SENTENCES = r"(?<=[.!?])[ \t\r\n]+"
 
 
 def strip_blanks(text: Column) -> Column:
-    return F.btrim(F.replace(text, F.lit(MARK), F.lit(" ")), F.lit(BLANKS))
-
-
-def mark_sentences(text: Column) -> Column:
-    """Put MARK in place of the blanks that follow a run of `.`, `!`, `?`."""
-    return F.regexp_replace(strip_blanks(text), r"([.!?]+)[ \t\r\n]+", "$1" + MARK)
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def split_sentences(text: Column) -> Column:
     """Raw sentences of a text; a blank text has none."""
-    return F.array_remove(F.split(mark_sentences(text), MARK), "")
+    return F.array_remove(F.split(strip_blanks(text), BETWEEN_SENTENCES), "")
 
 
 def letters_only(text: Column) -> Column:
@@ -45,8 +39,12 @@ def drop_stop_words(words: Column, stop_words: Iterable[str] = STOP_WORDS) -> Co
 
 def word_list(text: Column, remove_stopwords: bool = False,
               stop_words: Iterable[str] = STOP_WORDS) -> Column:
-    """Lower-case English-letter words of a text, in order."""
-    words = split_words(letters_only(text))
+    """Lower-case English-letter words of a text, in order.
+
+    `split_words(letters_only(text))` in one pass. Words are lowered only once cut
+    out: a few other letters turn into English ones when lowered.
+    """
+    words = F.array_remove(F.transform(F.split(text, "[^a-zA-Z]+"), F.lower), "")
     return drop_stop_words(words, stop_words) if remove_stopwords else words
 
 

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 from util import documents, random_texts, sentences, words
 
@@ -15,6 +16,12 @@ def test_words_keep_letters_only(spark):
     assert one(spark, "123 ...", tx.word_list) == []
 
 
+@pytest.mark.parametrize("text", ["I don't know", "", " .. ", "\u212aelvin \u0130x A9b", "a--b", "é"])
+def test_one_pass_equals_two_steps(spark, text):
+    steps = one(spark, text, lambda t: tx.split_words(tx.letters_only(t)))
+    assert one(spark, text, tx.word_list) == steps
+
+
 def test_stop_words_and_single_letters_go(spark):
     got = one(spark, "I don't know x a the River", lambda t: tx.word_list(t, True))
     assert got == ["know", "river"]
@@ -27,7 +34,7 @@ def test_sentences(spark):
     assert one(spark, text, tx.split_sentences) == ["The cat sat.", "A dog ran home!", "Yes"]
     assert one(spark, "  \t\n", tx.split_sentences) == []
     assert one(spark, "a.b c?!\r\nd", tx.split_sentences) == ["a.b c?!", "d"]
-    assert one(spark, "a\u0001b. c\u0001", tx.split_sentences) == ["a b.", "c"]
+    assert one(spark, "a  b... \t c.d\n", tx.split_sentences) == ["a  b...", "c.d"]
 
 
 def test_nested_view_keeps_empty_sentences(spark):
