@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,8 +12,8 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 ROW_OVERHEAD = 48
 
 
-def table_bytes(table: DataFrame) -> int:
-    """Size of a written table in memory: one small aggregate over it."""
+def table_size(table: DataFrame) -> tuple[int, int]:
+    """Rows and bytes in memory of a written table: one small aggregate over it."""
     widths = F.lit(ROW_OVERHEAD)
     for field in table.schema.fields:
         if isinstance(field.dataType, (T.StringType, T.BinaryType)):
@@ -20,25 +22,34 @@ def table_bytes(table: DataFrame) -> int:
             widths = widths + 8 * F.coalesce(F.size(field.name), F.lit(0))
         else:
             widths = widths + 8
-    return table.agg(F.sum(widths.cast("long"))).first()[0] or 0
+    row = table.agg(F.count(F.lit(1)), F.sum(widths.cast("long"))).first()
+    return row[0], row[1] or 0
+
+
+def hot_rows(table: DataFrame, hot: Callable[[int], Column], limit: int) -> int:
+    """The largest tried n for which the rows `hot(n)` fit the limit."""
+    rows, size = table_size(table)
+    n = limit * rows // size
+    while n and table_size(table.filter(hot(n)))[1] > limit:
+        n //= 2
+    return n
 
 
-def lookup(facts: DataFrame, table: DataFrame, key: str, hot: Column,
+def lookup(facts: DataFrame, table: DataFrame, key: str, hot: Callable[[int], Column],
            limit: int = BROADCAST_BYTES) -> DataFrame:
     """Left join of `facts` to `table` (unique on `key`, already written).
 
     A table under `limit` bytes is broadcast. A larger one is cut in two by
-    `hot`, a condition that selects a bounded set of the most frequent keys:
+    `hot(n)`, which selects the n most frequent keys, with n measured to fit:
     that part is broadcast and settles the bulk of the facts where they lie;
     only facts with other keys shuffle to the rest, so no hot key ever does.
     """
-    if table_bytes(table) <= limit:
+    if table_size(table)[1] <= limit:
         return facts.join(F.broadcast(table), key, "left")
-    head = table.filter(hot)
-    if table_bytes(head) > limit:
-        raise ValueError("the hot part of the lookup table is over the broadcast limit")
-    near = facts.join(F.broadcast(head.withColumn("_hot", F.lit(True))), key, "left")
+    chosen = hot(hot_rows(table, hot, limit))
+    head = table.filter(chosen).withColumn("_hot", F.lit(True))
+    near = facts.join(F.broadcast(head), key, "left")
     settled = F.col("_hot").isNotNull() | F.col(key).isNull()
     far = near.filter(~settled).select(*facts.columns)
     return near.filter(settled).drop("_hot").unionByName(
-        far.join(table.filter(~hot).hint("merge"), key, "left"))
+        far.join(table.filter(~chosen).hint("merge"), key, "left"))

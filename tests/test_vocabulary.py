@@ -6,7 +6,7 @@ from util import documents, random_texts, sentences, words
 
 from lexiframe.operators import corpus, vocabulary
 from lexiframe.plans.layout import written
-from lexiframe.plans.lookup import lookup
+from lexiframe.plans.lookup import hot_rows, lookup, table_size
 from lexiframe.plans.ranking import global_rank
 
 
@@ -61,16 +61,13 @@ def brute_index(texts, known, unknown=0):
 
 @pytest.mark.parametrize("unknown", [0, None])
 @pytest.mark.parametrize("path", ["broadcast", "head and tail"])
-def test_index_matches_brute_force(spark, monkeypatch, unknown, path):
+def test_index_matches_brute_force(spark, unknown, path):
     texts = random_texts(80)
     sents = corpus.sentences(documents(spark, texts))
     vocab = written(vocabulary.build_vocabulary(corpus.word_counts(sents), 150), "vocabulary")
     known = {r.word: r.id for r in vocab.filter("cnt is not null").collect()}
     assert 5 < len(known) < 13
-    limit = 10**9
-    if path == "head and tail":
-        monkeypatch.setattr(vocabulary, "HOT_WORDS", 7)
-        limit = 3 * (48 + 8 + 8)
+    limit = 10**9 if path == "broadcast" else 3 * (48 + 8 + 8)
     got = vocabulary.index_sentences(sents, vocab, unknown, limit)
     assert ({(r.doc_id, r.sent_id): r.ids for r in got.collect()}
             == brute_index(texts, known, unknown))
@@ -82,7 +79,7 @@ def test_large_table_settles_hot_keys_without_shuffle(spark):
     facts = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 3 == 1, None)
         .otherwise(F.col("id") % 1200).cast("int").alias("id"), F.col("id").alias("row"))
-    joined = lookup(facts, table, "id", F.col("id") < 10, limit=64 * 12)
+    joined = lookup(facts, table, "id", vocabulary.hot_ids, limit=64 * 12)
     got = {r["row"]: r["twice"] for r in joined.collect()}
     want = {}
     for i in range(3000):
@@ -93,10 +90,17 @@ def test_large_table_settles_hot_keys_without_shuffle(spark):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
 
 
-def test_hot_part_over_the_limit_is_an_error(spark):
-    table = written(spark.range(100).selectExpr("cast(id as int) id", "id as x"), "table")
-    with pytest.raises(ValueError):
-        lookup(spark.range(5).selectExpr("cast(id as int) id"), table, "id", F.lit(True), limit=100)
+def test_hot_part_is_measured(spark):
+    wide = F.array_repeat(F.lit(0.5), 100)
+    vector = F.when(F.col("id") < 50, wide).otherwise(F.slice(wide, 1, 1))
+    table = written(spark.range(200).select(F.col("id").cast("int"), vector.alias("v")), "table")
+    n = hot_rows(table, vocabulary.hot_ids, 20_000)
+    assert 0 < n and table_size(table.filter(F.col("id") < n))[1] <= 20_000
+    assert hot_rows(table, vocabulary.hot_ids, 50) == 0
+    facts = spark.range(400).select((F.col("id") % 250).cast("int").alias("id"))
+    for limit in (50, 20_000):
+        got = lookup(facts, table, "id", vocabulary.hot_ids, limit)
+        assert got.count() == 400 and got.filter("v is null").count() == 50
 
 
 def test_decode(spark, example):

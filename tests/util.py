@@ -22,7 +22,8 @@ def random_texts(n, seed=7, longest=40):
         parts = []
         for _ in range(rng.randint(0, 6)):
             size = rng.randint(0, longest)
-            parts.append(" ".join(rng.choice(WORDS[:rng.randint(1, len(WORDS))]) for _ in range(size)) + rng.choice([".", "!?", "..."]))
+            chosen = [rng.choice(WORDS[:rng.randint(1, len(WORDS))]) for _ in range(size)]
+            parts.append(" ".join(chosen) + rng.choice([".", "!?", "..."]))
         texts.append("  " + " ".join(parts) + " \n")
     return texts
 
