@@ -2,7 +2,8 @@
 
 References are counted over all documents: per language the shares of character classes and of
 the most common words. A document is compared by the Jensen-Shannon distance (base 2, 0 to 1).
-Only Column expressions; a document stays one row and never shuffles.
+Only Column expressions. The references are written first, a few words per language: Spark sees
+the size of the written table and broadcasts it only while that is small, so texts never shuffle.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiframe.llm.common import text_of
+from lexiframe.plans.layout import written
 
 # White space between words, symbols, and the character classes of the histogram.
 BLANK = r"\x20\x09-\x0D"
@@ -151,8 +153,8 @@ def quality_rules(docs: DataFrame, top: int = 24, min_words: int = 50, min_refer
     null language has a reference of its own; repeated rows are judged one by one; extra columns
     are ignored; an empty table gives no rows.
     """
-    return _judged(docs, references(docs, top), min_words, min_reference,
-                   max_class_distance, max_word_distance)
+    refs = written(references(docs, top), "language_references")
+    return _judged(docs, refs, min_words, min_reference, max_class_distance, max_word_distance)
 
 
 def _judged(docs, refs, min_words, min_reference, max_class_distance, max_word_distance):
