@@ -181,7 +181,7 @@ class Transducer:
         raw, at, arrays = np.memmap(path, "u1", "r"), 8 * len(cls.PARTS), {}
         for (name, kind), n in zip(cls.PARTS, raw[:at].view("<i8")):
             size = int(n) * np.dtype(kind).itemsize
-            arrays[name], at = raw[at:at + size].view(kind), at + size
+            arrays[name], at = np.asarray(raw[at:at + size]).view(kind), at + size
         return cls(**arrays)
 
     def numbers(self, words: list[str]) -> np.ndarray:
@@ -211,9 +211,6 @@ class Transducer:
             step += 1
         return out
 
-    def ids_of(self, number: int) -> np.ndarray:
-        return self.ids[self.starts[number]:self.starts[number + 1]]
-
 
 class Encoder:
     """Encodes texts in batches: lexicon first, exact merges for the rest."""
@@ -222,15 +219,25 @@ class Encoder:
         self.bpe, self.lexicon = bpe, lexicon
         pack = lambda ids: np.array(ids, "<u4").tobytes()
         self.piece = Lookup(lambda p: pack(bpe.merge(p)), most)
-        self.unseen = Lookup(lambda w: self.pieces(" " + w), most)
+        self.unseen = Lookup(self.word, most)
 
     def pieces(self, text: str) -> bytes:
         return b"".join([self.piece[p] for p in _pieces.findall(text)])
 
+    def word(self, word: str) -> bytes:
+        """Ids of a word after a space; letters with at most one mark need no pattern."""
+        if word.isalpha():
+            return self.piece[" " + word]
+        if word[-1:] in (".", ",") and word[:-1].isalpha():
+            return self.piece[" " + word[:-1]] + self.piece[word[-1]]
+        return self.pieces(" " + word)
+
     def known(self, words: list[str]) -> dict[str, bytes]:
-        numbers = self.lexicon.numbers(words)
-        return {words[k]: self.lexicon.ids_of(numbers[k]).astype("<u4").tobytes()
-                for k in np.flatnonzero(numbers >= 0)}
+        numbers, at = self.lexicon.numbers(words), self.lexicon.starts
+        found = np.flatnonzero(numbers >= 0)
+        number, raw = numbers[found], memoryview(self.lexicon.ids).cast("B")
+        return {words[k]: bytes(raw[a:b]) for k, a, b in zip(
+            found.tolist(), (4 * at[number]).tolist(), (4 * at[number + 1]).tolist())}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

@@ -2,17 +2,39 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexiframe.llm import oracle
+from lexiframe.llm.bpe import encode
+from lexiframe.llm.packing import pack
 from lexiframe.llm.quality_rules import quality_rules
 from lexiframe.sources.tables import table
 
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document packed into windows of 1024 tokens with its neighbours."""
+    pieces = pack(table(spark, folder, "documents"), VOCABULARY)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every whole text and the text decoded from them, as digests."""
+    rows = encode(table(spark, folder, "documents").select("doc_id", "text"), VOCABULARY)
+    return rows.select("doc_id", F.expr("CAST(octet_length(ids) DIV 4 AS LONG)").alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base counts and verdict of every document."""
     return quality_rules(table(spark, folder, "documents")).drop("class_distance", "word_distance")
 
 
-QUERIES = {"op10_quality_rules": op10_quality_rules}
+QUERIES = {"op3_retrieval_packing": op3_retrieval_packing, "op4_bpe": op4_bpe,
+           "op10_quality_rules": op10_quality_rules}
 ORACLE = {"op10_quality_rules": oracle.QUALITY_RULES}
