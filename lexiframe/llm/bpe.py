@@ -286,7 +286,8 @@ def count_words(docs: DataFrame) -> DataFrame:
                 if len(counts) > 500_000:
                     yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
                     counts.clear()
-        yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+        if counts:
+            yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
 
     return (docs.select(text_of().alias("text")).mapInPandas(count, "word string, n long")
             .groupBy("word").agg(F.sum("n").alias("n")))

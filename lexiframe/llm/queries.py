@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiframe.llm import oracle
+from lexiframe.llm import oracle, pii, quality_model, toxicity
 from lexiframe.llm.bpe import encode
 from lexiframe.llm.packing import pack
 from lexiframe.llm.quality_rules import quality_rules
@@ -16,6 +16,16 @@ from lexiframe.sources.tables import table
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every whole text: base counts and digest, and all spans."""
+    found = pii.find(table(spark, folder, "documents").select("doc_id", "text"))
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", *[count(kind).alias(f"n_{kind}") for kind in pii.BASE],
+                        F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op3_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document packed into windows of 1024 tokens with its neighbours."""
     pieces = pack(table(spark, folder, "documents"), VOCABULARY)
@@ -30,11 +40,24 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
                        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op5_quality_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document scored by the weakly labelled quality model."""
+    return quality_model.score(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's category probabilities and verdict."""
+    docs = table(spark, folder, "documents")
+    chain = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.score(docs.select("doc_id", "text"), chain).drop("text")
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base counts and verdict of every document."""
     return quality_rules(table(spark, folder, "documents")).drop("class_distance", "word_distance")
 
 
-QUERIES = {"op3_retrieval_packing": op3_retrieval_packing, "op4_bpe": op4_bpe,
+QUERIES = {"op1_pii": op1_pii, "op3_retrieval_packing": op3_retrieval_packing, "op4_bpe": op4_bpe,
+           "op5_quality_model": op5_quality_model, "op8_toxicity": op8_toxicity,
            "op10_quality_rules": op10_quality_rules}
 ORACLE = {"op10_quality_rules": oracle.QUALITY_RULES}
