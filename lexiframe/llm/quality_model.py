@@ -46,7 +46,7 @@ def _vote(good: bool, bad: bool) -> int:
 
 # Heuristic labellers: 1 good, -1 bad, 0 abstains.
 LABELLERS = {
-    "length": lambda m: _vote(m["words"] >= 50, m["words"] < 20),
+    "length": lambda m: _vote(m["words"] >= 50, m["words"] < 5),
     "symbols": lambda m: _vote(m["symbols"] < 0.01, m["symbols"] > 0.03),
     "case": lambda m: _vote(m["upper"] < 0.1, m["upper"] > 0.4),
     "marks": lambda m: _vote(0.02 <= m["marks"] <= 0.3, m["marks"] > 0.6 or m["marks"] < 0.005),
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, max_rows: int = 8_000) -> tuple[LabelModel, Linear]:
 
 
 def score(docs: DataFrame, models: tuple[LabelModel, Linear] | None = None,
-          threshold: float = 0.5) -> DataFrame:
+          threshold: float = 0.3) -> DataFrame:
     """The rows of `docs` with `posterior` (of the votes), `quality` (the scorer's probability)
     and `kept` (quality at least `threshold`).
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexiframe.llm import oracle, pii, quality_model, toxicity
 from lexiframe.llm.bpe import encode
+from lexiframe.llm.line_dedup import dedup_lines
 from lexiframe.llm.packing import pack
 from lexiframe.llm.quality_rules import quality_rules
 from lexiframe.sources.tables import table
@@ -26,6 +27,13 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without lines that an earlier line repeats, up to one edit."""
+    rows = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"), counts=True)
+    return rows.select("doc_id", "n_lines", "n_kept",
+                       F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("text_sha256"))
+
+
 def op3_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document packed into windows of 1024 tokens with its neighbours."""
     pieces = pack(table(spark, folder, "documents"), VOCABULARY)
@@ -57,7 +65,8 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(table(spark, folder, "documents")).drop("class_distance", "word_distance")
 
 
-QUERIES = {"op1_pii": op1_pii, "op3_retrieval_packing": op3_retrieval_packing, "op4_bpe": op4_bpe,
+QUERIES = {"op1_pii": op1_pii, "op2_line_dedup": op2_line_dedup,
+           "op3_retrieval_packing": op3_retrieval_packing, "op4_bpe": op4_bpe,
            "op5_quality_model": op5_quality_model, "op8_toxicity": op8_toxicity,
            "op10_quality_rules": op10_quality_rules}
-ORACLE = {"op10_quality_rules": oracle.QUALITY_RULES}
+ORACLE = {"op2_line_dedup": oracle.LINE_DEDUP, "op10_quality_rules": oracle.QUALITY_RULES}
