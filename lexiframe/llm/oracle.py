@@ -72,17 +72,17 @@ WITH cut AS (
          unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
   FROM documents),
 l AS (SELECT *, trim(regexp_replace(lower(raw), '[\x09-\x0D\x20\x{85}\x{A0}]+', ' ', 'g')) AS norm FROM cut),
-firsts AS (SELECT norm, min((doc_id, pos)) AS at FROM l WHERE norm <> '' GROUP BY norm),
+firsts AS (SELECT norm, min((doc_id, pos)) AS first_at FROM l WHERE norm <> '' GROUP BY norm),
 sized AS (SELECT *, unnest([length(norm), length(norm) + 1]) AS m FROM firsts WHERE length(norm) >= 16),
 keyed AS (
-  SELECT norm, at, m, 0 AS side, left(norm, m // 2) AS k FROM sized
-  UNION ALL SELECT norm, at, m, 1, right(norm, m - m // 2) FROM sized),
+  SELECT norm, first_at, m, 0 AS side, left(norm, m // 2) AS k FROM sized
+  UNION ALL SELECT norm, first_at, m, 1, right(norm, m - m // 2) FROM sized),
 near AS (
-  SELECT DISTINCT a.at FROM keyed a JOIN keyed b USING (m, side, k)
-  WHERE b.at < a.at AND levenshtein(a.norm, b.norm) <= 1),
+  SELECT DISTINCT a.first_at FROM keyed a JOIN keyed b USING (m, side, k)
+  WHERE b.first_at < a.first_at AND levenshtein(a.norm, b.norm) <= 1),
 stays AS (
   SELECT doc_id, raw, pos, norm,
-         norm = '' OR ((doc_id, pos) IN (SELECT at FROM firsts) AND (doc_id, pos) NOT IN (SELECT at FROM near)) AS s
+         norm = '' OR ((doc_id, pos) IN (SELECT first_at FROM firsts) AND (doc_id, pos) NOT IN (SELECT first_at FROM near)) AS s
   FROM l)
 SELECT doc_id, count(*) FILTER (norm <> '') AS n_lines, count(*) FILTER (norm <> '' AND s) AS n_kept,
        sha256(coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (s), '')) AS text_sha256
