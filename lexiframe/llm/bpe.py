@@ -10,7 +10,9 @@ import hashlib
 import heapq
 import json
 import re
+import sys
 import tempfile
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiframe.llm.common import Lookup, chunks, free, ship, text_of
+from lexiframe.plans.layout import written
 
 # White space by Unicode, and the split of a text into pieces that never merge.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -103,8 +106,29 @@ class Bpe:
                     heapq.heappush(heap, (ranks[pair], a, *pair))
         return [i for i in ids if i >= 0]
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+    def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids' bytes in a row, with the start and the length of each id."""
+        n = max(self.bytes_of) + 1
+        sizes = np.array([len(self.bytes_of.get(i, b"")) for i in range(n)], "i8")
+        return (np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(n)), "u1"),
+                np.cumsum(sizes) - sizes, sizes)
+
+
+class Decoder:
+    """ids -> text: the ids' bytes in a row, read as UTF-8 with marks for bytes that are none."""
+
+    def __init__(self, bpe: Bpe):
+        self.raw, self.starts, self.sizes = bpe.flat()
+
+    def decode(self, ids: np.ndarray) -> str:
+        parts = []
+        for k in range(0, len(ids), 1 << 16):  # bounded memory for any length
+            part = ids[k:k + (1 << 16)]
+            sizes = self.sizes[part]
+            ends = np.cumsum(sizes)
+            shift = np.repeat(self.starts[part] - ends + sizes, sizes)
+            parts.append(self.raw[shift + np.arange(len(shift))].tobytes())
+        return b"".join(parts).decode("utf-8", "replace")
 
 
 _NEVER = 1 << 60
@@ -212,13 +236,16 @@ class Transducer:
         return out
 
 
+def _pack(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+
+
 class Encoder:
     """Encodes texts in batches: lexicon first, exact merges for the rest."""
 
-    def __init__(self, bpe: Bpe, lexicon: Transducer, most: int = 200_000):
+    def __init__(self, bpe: Bpe, lexicon: Transducer, most: int = 150_000):
         self.bpe, self.lexicon = bpe, lexicon
-        pack = lambda ids: np.array(ids, "<u4").tobytes()
-        self.piece = Lookup(lambda p: pack(bpe.merge(p)), most)
+        self.piece = Lookup(lambda p: _pack(bpe.merge(p)), most // 4)
         self.unseen = Lookup(self.word, most)
 
     def pieces(self, text: str) -> bytes:
@@ -227,9 +254,9 @@ class Encoder:
     def word(self, word: str) -> bytes:
         """Ids of a word after a space; letters with at most one mark need no pattern."""
         if word.isalpha():
-            return self.piece[" " + word]
+            return _pack(self.bpe.merge(" " + word))
         if word[-1:] in (".", ",") and word[:-1].isalpha():
-            return self.piece[" " + word[:-1]] + self.piece[word[-1]]
+            return self.unseen[word[:-1]] + self.piece[word[-1]]
         return self.pieces(" " + word)
 
     def known(self, words: list[str]) -> dict[str, bytes]:
@@ -247,12 +274,16 @@ class Encoder:
             words = {w for parts in segments for kind, value in parts if kind == "words" for w in value[1:]}
             table = self.known(list(words))
             unseen = self.unseen
+            for w in words:
+                if w not in table:
+                    table[w] = unseen[w]
+            ids = table.__getitem__
             for parts in segments:
                 done = []
                 for kind, value in parts:
                     if kind == "words":
                         done.append(self.pieces(value[0]))
-                        done += [table[w] if w in table else unseen[w] for w in value[1:]]
+                        done += map(ids, value[1:])
                     else:
                         done.append(value)
                 out.append(b"".join(done))
@@ -294,10 +325,20 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def compile_lexicon(docs: DataFrame, bpe: Bpe, words: int = 65_536) -> Transducer:
-    """The `words` most frequent words (ties by word) as a transducer; the bound is what reaches
-    the driver. A word met once gains nothing and is left out."""
-    top = (count_words(docs).filter("n > 1 AND length(word) <= 64")
-           .orderBy(F.desc("n"), "word").limit(words).collect())
+    """About the `words` most frequent words, never more, as a transducer.
+
+    Counts are cut at an eighth of a power of two, so that a few hundred sums say how many words
+    lie above each cut, and only those words reach the driver. A word met once gains nothing.
+    """
+    counted = written(count_words(docs).filter("n > 1 AND length(word) <= 64")
+                      .withColumn("level", F.floor(8 * F.log2("n")).cast("int")), "word_counts")
+    total, least = 0, 1 << 20
+    for r in counted.groupBy("level").count().orderBy(F.desc("level")).collect():
+        total += r["count"]
+        if total > words:
+            break
+        least = r["level"]
+    top = counted.filter(F.col("level") >= least).select("word").collect()
     return Transducer.compile({r["word"]: [i for p in _pieces.findall(" " + r["word"]) for i in bpe.merge(p)]
                                for r in top})
 
@@ -331,11 +372,12 @@ def encode(docs: DataFrame, path: str, lexicon_words: int = 65_536) -> DataFrame
     @F.pandas_udf("struct<ids: binary, decoded: string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = held.value
-        encoder = Encoder(bpe, Transducer.map(SparkFiles.get(name)))
+        encoder, decoder = Encoder(bpe, Transducer.map(SparkFiles.get(name))), Decoder(bpe)
         for texts in batches:
-            ids = encoder.encode(texts.tolist())
-            yield pd.DataFrame({"ids": ids, "decoded": [
-                bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]})
+            texts = texts.tolist()
+            for part in chunks(texts):  # results leave in small parts
+                ids = encoder.encode(texts[part])
+                yield pd.DataFrame({"ids": ids, "decoded": [decoder.decode(np.frombuffer(x, "<u4")) for x in ids]})
 
     ids, decoded, both = free(docs, "ids", "decoded", "both_of_bpe")
     return (docs.withColumn(both, run(text_of()))
