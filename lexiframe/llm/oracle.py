@@ -88,3 +88,40 @@ SELECT doc_id, count(*) FILTER (norm <> '') AS n_lines, count(*) FILTER (norm <>
        sha256(coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (s), '')) AS text_sha256
 FROM stays GROUP BY doc_id
 """
+
+
+def licences() -> str:
+    """The scan in SQL, from the raw known texts."""
+    from lexiframe.llm.licences import NOTICES, SPELLINGS, TEXTS
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    known = [(name, t) for name, (title, body) in TEXTS.items() for t in (body, f"{title}\n\n{body}")]
+    known += [(name, t) for name, notices in NOTICES.items() for t in notices]
+    values = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in known)
+
+    def canonical(text: str) -> str:
+        out = (r"trim(regexp_replace(regexp_replace(lower(%s), '(?m)^[ \t#/*;%%>-]*(?:copyright[ \t]*(?:\(c\)|©|"
+               r"[0-9<\[{]|:)|\(c\)[ \t]*[0-9]|©|all rights reserved)[^\n]*$', ' ', 'g'), "
+               r"'[^\p{L}\p{N}]+', ' ', 'g'))" % text)
+        for old, new in SPELLINGS.items():
+            out = f"replace({out}, '{old}', '{new}')"
+        return out
+
+    return rf"""
+WITH known AS (
+  SELECT DISTINCT name, sha256({canonical('t')}) AS digest FROM (VALUES {values}) v(name, t)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+units AS (
+  SELECT rid, 0 AS kind, 0 AS pos, t AS u FROM d
+  UNION ALL SELECT rid, 1, unnest(range(len(string_split(t, chr(10))))), unnest(string_split(t, chr(10))) FROM d
+  UNION ALL SELECT rid, 2, unnest(range(len(regexp_split_to_array(t, '\n[ \t\r]*\n')))),
+                   unnest(regexp_split_to_array(t, '\n[ \t\r]*\n')) FROM d),
+hits AS (
+  SELECT rid, kind, pos, name FROM (SELECT *, {canonical('u')} AS c FROM units WHERE kind < 2 OR contains(u, chr(10)))
+  JOIN known ON digest = sha256(c) WHERE c <> ''),
+found AS (
+  SELECT rid, min(name) FILTER (kind = 0) AS license, count(DISTINCT (kind, pos)) FILTER (kind > 0) AS n,
+         string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM hits GROUP BY rid)
+SELECT doc_id, sha256({canonical('t')}) AS text_digest, license, coalesce(n, 0)::BIGINT AS n_matches,
+       coalesce(names, '') AS licenses
+FROM d LEFT JOIN found USING (rid)
+"""

@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiframe.llm import oracle, pii, quality_model, toxicity
+from lexiframe.llm import licences, oracle, pii, quality_model, toxicity
 from lexiframe.llm.bpe import encode
 from lexiframe.llm.line_dedup import dedup_lines
+from lexiframe.llm.near_dup import near_groups
 from lexiframe.llm.packing import pack
 from lexiframe.llm.quality_rules import quality_rules
 from lexiframe.sources.tables import table
@@ -53,6 +54,17 @@ def op5_quality_model(spark: SparkSession, folder: str) -> DataFrame:
     return quality_model.score(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
 
 
+def op6_bagminhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the id of its near-duplicate class."""
+    groups = near_groups(table(spark, folder, "documents").select("doc_id", "text"))
+    return groups.select("doc_id", "class_id")
+
+
+def op7_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's canonical digest and the licences found in it."""
+    return licences.scan(table(spark, folder, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's category probabilities and verdict."""
     docs = table(spark, folder, "documents")
@@ -67,6 +79,8 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {"op1_pii": op1_pii, "op2_line_dedup": op2_line_dedup,
            "op3_retrieval_packing": op3_retrieval_packing, "op4_bpe": op4_bpe,
-           "op5_quality_model": op5_quality_model, "op8_toxicity": op8_toxicity,
+           "op5_quality_model": op5_quality_model, "op6_bagminhash": op6_bagminhash,
+           "op7_licences": op7_licences, "op8_toxicity": op8_toxicity,
            "op10_quality_rules": op10_quality_rules}
-ORACLE = {"op2_line_dedup": oracle.LINE_DEDUP, "op10_quality_rules": oracle.QUALITY_RULES}
+ORACLE = {"op2_line_dedup": oracle.LINE_DEDUP, "op7_licences": oracle.licences(),
+          "op10_quality_rules": oracle.QUALITY_RULES}
