@@ -21,41 +21,103 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from lexiframe.llm.bpe import PIECES, Bpe, plain
-from lexiframe.llm.common import Lookup, chunks, parts_for, ship, text_of
+from lexiframe.llm.common import chunks, parts_for, ship, text_of
 
 K1, B = 1.2, 0.75
 
 
 class WordIds:
-    """Token ids of texts, equal to the tokenizers library's, from a cache of words between spaces."""
+    """Token ids of texts, equal to the tokenizers library's, by way of words between spaces.
+
+    A word gets a number when it is first seen. The new words of a batch are encoded together:
+    each begins with a space, so the ids whose bytes start with one say where words begin.
+    """
 
     def __init__(self, spec: str, most: int = 400_000):
         self.full = Tokenizer.from_str(spec)
         self.full.no_padding()
         self.full.no_truncation()
         bpe = Bpe(json.loads(spec))
-        self.special = list(bpe.special)
+        self.special, self.most = list(bpe.special), most
         ranks = {raw: i for raw, i in bpe.ids.items() if i not in bpe.special.values()}
         ordered = bpe.merged == sorted(bpe.merged)  # ids follow the order of merges
         self.fast = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}) \
             if ordered else None
-        self.words = Lookup(lambda w: self.array(self.ordinary(" " + w)), most)
+        self.begins = np.zeros(max(bpe.bytes_of) + 1, bool)
+        for i, raw in bpe.bytes_of.items():
+            self.begins[i] = raw[:1] == b" "
+        self.forget()
 
-    @staticmethod
-    def array(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+    def forget(self) -> None:
+        self.new: list[str] = []
+        self.numbers = Numbers(self.new)
+        self.flat, self.ends, self.hashes = np.zeros(0, "u4"), np.zeros(1, "i8"), np.zeros(0, "u4")
 
-    def ordinary(self, text: str) -> list[int]:
+    def ordinary(self, text: str) -> np.ndarray:
         if self.fast:
-            return self.fast.encode_ordinary(text)
-        return self.full.encode(text, add_special_tokens=False).ids
+            return np.array(self.fast.encode_ordinary(text), "u4")
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, "u4")
+
+    def learn(self) -> None:
+        """Encode the words seen since the last call."""
+        if not self.new:
+            return
+        joined = [w for w in self.new if w]
+        ids = self.ordinary(" " + " ".join(joined)) if joined else np.zeros(0, "u4")
+        starts = np.append(np.flatnonzero(self.begins[ids]), len(ids))
+        if len(starts) - 1 != len(joined):
+            raise ValueError("the vocabulary merges across spaces")
+        sizes = np.zeros(len(self.new), "i8")
+        sizes[[k for k, w in enumerate(self.new) if w]] = np.diff(starts)
+        if "" in self.new:  # a space that ends a text
+            k, space = self.new.index(""), self.ordinary(" ")
+            at = int(sizes[:k].sum())
+            ids, sizes[k] = np.insert(ids, at, space), len(space)
+        self.flat = np.concatenate([self.flat, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.hashes = np.concatenate([self.hashes, np.array(
+            [xxhash.xxh32_intdigest(w.lower().encode("utf-8", "surrogatepass")) for w in self.new], "u4")])
+        self.new.clear()
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and word hashes of each text."""
+        if len(self.numbers) > self.most:
+            self.forget()
+        number, seen = self.numbers.__getitem__, []
+        for text in texts:
+            easy = plain(text) and not any(s in text for s in self.special)
+            words = text.split(" ") if easy else text.split()
+            seen.append((easy, words[:1], np.fromiter(map(number, words), "i8", len(words))))
+        self.learn()
+        out = []
+        for text, (easy, first, words) in zip(texts, seen):
+            if easy:  # the first word has no space before it
+                ids = np.concatenate([self.ordinary(first[0]),
+                                      self.flat[spans(self.ends[words[1:]], self.ends[words[1:] + 1])]])
+            else:
+                ids = np.array(self.full.encode(text, add_special_tokens=False).ids, "u4")
+            out.append((ids, self.hashes[words] if text else self.hashes[:0]))
+        return out
+
+
+class Numbers(dict):
+    """word -> its number; new words are also listed."""
+
+    def __init__(self, new: list[str]):
+        super().__init__()
+        self.new = new
+
+    def __missing__(self, word):
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
 
-    def encode(self, text: str) -> bytes:
-        if not plain(text) or any(s in text for s in self.special):
-            return self.array(self.full.encode(text, add_special_tokens=False).ids)
-        words = text.split(" ")
-        table = self.words
-        return self.array(self.ordinary(words[0])) + b"".join([table[w] for w in words[1:]])
+def spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All integers of the ranges, one after the other."""
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    return np.repeat(starts - first, sizes) + np.arange(sizes.sum())
 
 
 PIECE = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -86,14 +148,13 @@ def pack(docs: DataFrame, path: str, window: int = 1024, shard_docs: int = 2048,
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = WordIds(spec.value)
-        hashes = Lookup(lambda w: xxhash.xxh32_intdigest(w.lower()))
         for batch in batches:
             texts = batch["text"].tolist()
             ids_of, places = batch["doc_id"].tolist(), batch["place"].tolist()
             for part in chunks(texts):
                 out = []
-                for doc, place, text in zip(ids_of[part], places[part], texts[part]):
-                    out += _pieces_of(doc, place, text, table, hashes, window, end_id, n_shards)
+                for doc, place, (ids, words) in zip(ids_of[part], places[part], table.encode(texts[part])):
+                    out += _pieces_of(doc, place, ids, words, window, end_id, n_shards)
                 yield pd.DataFrame(out, columns=cut_schema.names)
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
@@ -111,13 +172,12 @@ def _large(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if raw[:1] == b"2" else "<u4", offset=1).astype("<u4")
 
 
-def _pieces_of(doc, place, text, table, hashes, window, end_id, n_shards):
-    ids = np.append(np.frombuffer(table.encode(text), "<u4"), np.uint32(end_id))
+def _pieces_of(doc, place, ids, words, window, end_id, n_shards):
+    ids = np.append(ids, np.uint32(end_id))
     n, full = len(ids), len(ids) // window * window
     for k, start in enumerate(range(0, full, window)):
         yield (doc, (place + 1 + k) % n_shards, place, start, n, _small(ids[start:start + window]), None, None)
     if full < n:
-        words = np.fromiter([hashes[w] for w in text.split()], "<u4")
         terms, counts = np.unique(words, return_counts=True)
         yield (doc, place % n_shards, place, full, n, _small(ids[full:]), terms.astype("<u4").tobytes(),
                np.minimum(counts, 255).astype("u1").tobytes())
@@ -147,7 +207,7 @@ class Bm25:
         mine = mine[self.df[mine] > 1]
         if not len(mine):
             return np.zeros(self.n)
-        at = np.concatenate([np.arange(self.at[t], self.at[t + 1]) for t in mine.tolist()])
+        at = spans(self.at[mine], self.at[mine + 1])
         return np.bincount(self.docs[at], self.weights[at], self.n)
 
 
