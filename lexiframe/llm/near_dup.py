@@ -222,12 +222,12 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows:
     Documents whose multisets of five-word shingles have a weighted Jaccard similarity of
     `threshold` or more are linked, and classes are the connected components. With 24 bands of 4
     a pair at 0.8 is missed about three times in a million. Words are lower-cased and lose marks
-    at their ends. A null, empty or blank text has no shingles and is alone in its class, unless
-    the whole row (id and text) repeats; a text under five words is one shingle. A null id sorts
-    first. An empty table gives no rows.
+    at their ends. Texts without words (null, empty, blank) are copies of one another and form one
+    class; a text under five words is one shingle. A null id sorts first. Repeated rows share a
+    class; other columns are ignored. An empty table gives no rows.
     """
     found = written(describe(docs, bands, rows), "signatures")
-    nodes = written(found.filter("total > 0").groupBy("node").agg(
+    nodes = written(found.groupBy("node").agg(
         F.min(F.struct("doc", "a", "b")).alias("first"), F.first("bands").alias("bands")), "nodes")
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "key")).select(
         "node", F.xxhash64("band", "key").alias("bucket"))
@@ -253,9 +253,7 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows:
         classes = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         firsts = classes.groupBy("label").agg(F.min("first").alias("lead"))
         classes = classes.join(firsts, "label").select("node", F.col("lead").alias("first"))
-    out = found.filter("total > 0").join(classes, "node").select("doc", "a", "b", "first")
-    alone = found.filter("total = 0").select("doc", "a", "b", F.struct("doc", "a", "b").alias("first"))
-    return out.unionAll(alone).select(
+    return found.join(classes, "node").select(
         F.col("doc").alias("doc_id"), "a", "b", F.col("first.doc").alias("class_id"),
         F.col("first.a").alias("class_a"), F.col("first.b").alias("class_b"))
 

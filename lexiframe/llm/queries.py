@@ -12,6 +12,7 @@ from lexiframe.llm.line_dedup import dedup_lines
 from lexiframe.llm.near_dup import near_groups
 from lexiframe.llm.packing import pack
 from lexiframe.llm.quality_rules import quality_rules
+from lexiframe.llm.search import search
 from lexiframe.sources.tables import table
 
 
@@ -72,6 +73,11 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), chain).drop("text")
 
 
+def op9_block_max_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for every document whose id is divisible by 20."""
+    return search(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base counts and verdict of every document."""
     return quality_rules(table(spark, folder, "documents")).drop("class_distance", "word_distance")
@@ -81,6 +87,7 @@ QUERIES = {"op1_pii": op1_pii, "op2_line_dedup": op2_line_dedup,
            "op3_retrieval_packing": op3_retrieval_packing, "op4_bpe": op4_bpe,
            "op5_quality_model": op5_quality_model, "op6_bagminhash": op6_bagminhash,
            "op7_licences": op7_licences, "op8_toxicity": op8_toxicity,
+           "op9_block_max_search": op9_block_max_search,
            "op10_quality_rules": op10_quality_rules}
 ORACLE = {"op2_line_dedup": oracle.LINE_DEDUP, "op7_licences": oracle.licences(),
           "op10_quality_rules": oracle.QUALITY_RULES}
