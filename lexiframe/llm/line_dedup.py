@@ -81,7 +81,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame, min_chars: int) -> DataFrame:
     places = likely.select(place(F.col("at")).alias("place")).distinct()  # at most PLACES rows
     lines = _lines(docs)
     lines = (lines.withColumn("place", place(F.col("at"))).join(F.broadcast(places), "place").drop("place")
-             .join(likely, "at", "left_semi"))
+             .join(likely, "at"))  # not a semi-join: Spark would move that below the pre-filter
     parts = written(_parts(lines.dropDuplicates(["at"])), "line_parts")
     variants = _variants(_shared(parts, "part", "line_id"))
     earliest = variants.groupBy("variant").agg(F.min(F.struct("at", "mid")).alias("first"))
