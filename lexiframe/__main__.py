@@ -22,6 +22,7 @@ def arguments() -> argparse.Namespace:
     parser.add_argument("--size", type=int, default=100, help="word vector size")
     parser.add_argument("--iterations", type=int, default=25)
     parser.add_argument("--epochs", type=int, default=1, help="epochs of batches to write")
+    parser.add_argument("--single-line", action="store_true", help="no field holds a line end: split large files")
     parser.add_argument("--classes", type=int, default=2)
     parser.add_argument("--stages", type=int, default=300)
     return parser.parse_args()
@@ -33,7 +34,10 @@ def main() -> None:
     settings = Settings.from_environment()
     spark = SparkSession.builder.appName("lexiframe").getOrCreate()
     out = args.output.rstrip("/")
-    docs = flows.ingest(spark, {"train": args.train, "test": args.test}, out, settings)
+    given = {"train": args.train, "test": args.test}
+    docs = flows.ingest(spark, given, out, settings, not args.single_line)
+    lost = flows.rejects(spark, given, out, settings, not args.single_line).count()
+    logging.info("%d rows do not parse, see %s/rejects", lost, out)
     if args.step == "scores":
         flows.score_exports(docs, f"{out}/vectors", f"{out}/reports", f"{out}/table",
                             args.classes, stages=args.stages)
@@ -50,7 +54,7 @@ def main() -> None:
         words = read_word_vectors(spark, out, args.size, settings)
         last = (export_epochs(args.iterations, settings.eval_gap) or [args.iterations])[-1]
         name = flows.experiment_name(spark, settings, "skipgram", "uni", args.size, 1, last)
-        flows.export_vectors(docs, vocab, words, args.size, name, f"{out}/vectors")
+        flows.export_vectors(docs, vocab, words, name, f"{out}/vectors")
 
 
 if __name__ == "__main__":

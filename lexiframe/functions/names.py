@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,7 +23,12 @@ def experiment_name(model: Column, epoch: Column, run_time: Column) -> Column:
 
 
 def is_experiment(name: Column) -> Column:
-    return F.coalesce(name.rlike(EXPERIMENT_PATTERN), F.lit(False))
+    """Whether a name has the layout and all its numbers fit their types."""
+    texts = field_texts(name)
+    fit = [texts[i].try_cast(kind).isNotNull()
+           for i, (_, kind) in enumerate(EXPERIMENT_FIELDS) if kind != "string"]
+    match = F.coalesce(name.rlike(EXPERIMENT_PATTERN), F.lit(False))
+    return F.when(match, reduce(Column.__and__, fit)).otherwise(F.lit(False))
 
 
 def field_texts(name: Column) -> Column:

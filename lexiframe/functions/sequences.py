@@ -108,9 +108,11 @@ def linear_scores(values: Column, weights: Sequence[Sequence[float]],
 
 
 def to_grid(values: Column, rows: int, cols: int) -> Column:
-    """A flat array as `rows` arrays of `cols` cells."""
-    return F.transform(F.sequence(F.lit(0), F.lit(rows - 1)),
+    """A flat array as `rows` arrays of `cols` cells; another size is an error."""
+    grid = F.transform(F.sequence(F.lit(0), F.lit(rows - 1)),
                        lambda r: F.slice(values, r * cols + 1, cols))
+    return F.when(F.size(values) == rows * cols, grid).when(
+        F.size(values) != rows * cols, F.raise_error(F.lit(f"not {rows} x {cols} cells")))
 
 
 def transpose(grid: Column, cols: int) -> Column:

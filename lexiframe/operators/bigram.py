@@ -18,6 +18,14 @@ def steps(indexed: DataFrame, split: Column) -> DataFrame:
         F.sum("train").alias("n_train"), F.sum(1 - F.col("train")).alias("n_test"))
 
 
+def framed_steps(framed: DataFrame, split: Column) -> DataFrame:
+    """(input, target) symbols of decoder frames inside the length mask, counted per split."""
+    steps_in = F.slice(F.arrays_zip(F.col("out").alias("prev"), F.col("target").alias("next")), 1, F.col("out_len"))
+    rows = framed.select((split == "train").cast("long").alias("train"), F.inline_outer(steps_in))
+    return rows.groupBy("prev", "next").agg(
+        F.sum("train").alias("n_train"), F.sum(1 - F.col("train")).alias("n_test"))
+
+
 def perplexity(counted: DataFrame, vocab_size: int, k: float) -> DataFrame:
     """Masked mean cross-entropy and perplexity of the test split.
 

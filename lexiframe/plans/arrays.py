@@ -8,11 +8,13 @@ from lexiframe.functions import chars as ch
 from lexiframe.functions import sequences as sq
 from lexiframe.functions import text as tx
 from lexiframe.functions.hashing import assign_split
+from lexiframe.operators.vectors import scores_by_table, vector_width
 from lexiframe.plans.layout import new_path, spread
 from lexiframe.sources import corpus as src
 from lexiframe.sources.tables import table
 
-ROWS, COLS, CLASSES = 8, 8, 10
+CLASSES = 10  # of the made-up predictions and votes
+PLAN_CLASSES = 256  # more classes than this are scored by a table of weights
 
 
 def word_pairs(spark, folder):
@@ -77,8 +79,11 @@ def _embeddings(spark, folder):
 
 
 def one_hot_labels(spark, folder):
-    hot = sq.one_hot(F.col("label"), CLASSES)
-    return _embeddings(spark, folder).select("vec_id", F.posexplode_outer(hot).alias("class", "hot"))
+    """As many classes as the labels need."""
+    given = _embeddings(spark, folder)
+    classes = (given.agg(F.max("label")).first()[0] or 0) + 1
+    hot = sq.one_hot(F.col("label"), classes)
+    return given.select("vec_id", F.posexplode_outer(hot).alias("class", "hot"))
 
 
 def vector_argmax(spark, folder):
@@ -93,33 +98,45 @@ def vector_softmax(spark, folder):
 
 
 def vector_grid(spark, folder):
-    """Rows of the grid and, transposed, its columns."""
-    grid = sq.to_grid(F.col("embedding"), ROWS, COLS)
-    grids = _embeddings(spark, folder).select("vec_id", F.inline_outer(F.array(
+    """Rows of the grid, the squarest the vectors' width allows, and its columns."""
+    given = _embeddings(spark, folder)
+    width = vector_width(given, "embedding")
+    n_rows = max((r for r in range(1, width + 1) if width % r == 0 and r * r <= width), default=1)
+    n_cols = width // n_rows
+    grid = sq.to_grid(F.col("embedding"), n_rows, n_cols)
+    grids = given.select("vec_id", F.inline_outer(F.array(
         F.struct(F.lit("rows").alias("view"), grid.alias("grid")),
-        F.struct(F.lit("cols").alias("view"), sq.transpose(grid, COLS).alias("grid")))))
+        F.struct(F.lit("cols").alias("view"), sq.transpose(grid, n_cols).alias("grid")))))
     rows = grids.select("vec_id", "view", F.posexplode_outer("grid").alias("row", "cells"))
     return rows.select("vec_id", "view", "row", F.posexplode_outer("cells").alias("col", "x")).withColumn(
         "x", F.round(F.col("x").cast("double"), 6))
 
 
-def class_centers(vectors, classes=CLASSES):
-    """Mean vector of each class as plain numbers: classes x dimensions, model size."""
-    dims = vectors.select(F.size("embedding")).first()[0]
-    averages = ", ".join(f"avg(cast(embedding[{i}] AS double))" for i in range(dims))
+def class_centers(vectors):
+    """`label, center, bias` of the nearest-center rule, for the labels there are."""
+    averages = ", ".join(f"avg(cast(embedding[{i}] AS double))"
+                         for i in range(vector_width(vectors, "embedding")))
     means = vectors.groupBy("label").agg(F.expr(f"array({averages})").alias("center"))
-    found = {r["label"]: r["center"] for r in means.collect()}
-    return [found.get(c, [0.0] * dims) for c in range(classes)]
+    return means.withColumn("bias", -sq.squared_norm(F.col("center")) / 2)
+
 
+def vector_scores(spark, folder, plan_classes=PLAN_CLASSES):
+    """Linear scores of every vector; weights and bias of the nearest-center rule.
 
-def vector_scores(spark, folder):
-    """Linear scores of every vector; weights and bias of the nearest-center rule."""
+    Weights of a few classes ride in the plan; those of more are a table.
+    """
     given = _embeddings(spark, folder)
-    weights = class_centers(given)
-    bias = [-sum(x * x for x in row) / 2 for row in weights]
-    scores = sq.linear_scores(F.col("embedding"), weights, bias)
-    return given.select("vec_id", F.posexplode_outer(scores).alias("class", "score")).withColumn(
-        "score", F.round("score", 6))
+    centers = class_centers(given)
+    if given.select("label").distinct().count() > plan_classes:
+        scores = scores_by_table(given.select("vec_id", F.col("embedding").alias("vector")), "vec_id",
+                                 centers.select(F.col("label").alias("class"), "center", "bias"))
+    else:
+        found = centers.orderBy("label").collect()
+        labels = F.array(*[F.lit(r["label"]) for r in found])
+        each = sq.linear_scores(F.col("embedding"), [r["center"] for r in found], [r["bias"] for r in found])
+        scores = given.select("vec_id", F.posexplode_outer(each).alias("_place", "score")).select(
+            "vec_id", F.get(labels, F.col("_place")).alias("class"), "score")
+    return scores.withColumn("score", F.round("score", 6))
 
 
 QUERIES = {f.__name__: f for f in (

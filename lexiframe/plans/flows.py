@@ -19,24 +19,35 @@ from lexiframe.operators import (corpus, experiments, framing, scoring, skipgram
 from lexiframe.plans.layout import cluster, spread, timed, written
 from lexiframe.sources import corpus as source
 from lexiframe.sources import reports, vectors as store
-from lexiframe.sources.artefacts import code_identity, input_identity, reuse_or_write
+from lexiframe.sources.artefacts import code_identity, exists, input_identity, reuse_or_write
 
 
 def ingest(spark: SparkSession, paths: dict[str, str], folder: str,
-           settings: Settings = Settings()) -> DataFrame:
+           settings: Settings = Settings(), multiline: bool = True) -> DataFrame:
     """`split, label, text, doc_id` of the corpus files, kept with fixed ids.
 
-    Rows that do not parse are left out here; `source.bad_rows` shows them.
+    Rows that do not parse are kept beside it, see `rejects`. With `multiline` a field
+    may hold line ends and each file is one task; without it files are split.
     """
+    return _kept(spark, paths, folder, settings, multiline, "corpus", source.good_rows, source.with_doc_id)
+
+
+def rejects(spark: SparkSession, paths: dict[str, str], folder: str,
+            settings: Settings = Settings(), multiline: bool = True) -> DataFrame:
+    """The rows of the corpus files that do not parse, with their split."""
+    return _kept(spark, paths, folder, settings, multiline, "rejects", source.bad_rows, lambda rows: rows)
+
+
+def _kept(spark, paths, folder, settings, multiline, name, choose, finish) -> DataFrame:
     def make() -> DataFrame:
-        parts = [source.good_rows(source.read_corpus(spark, path, split))
+        parts = [choose(source.read_corpus(spark, path, split, multiline=multiline))
                  for split, path in paths.items()]
-        return source.with_doc_id(reduce(DataFrame.unionByName, parts))
+        return finish(reduce(DataFrame.unionByName, parts))
 
     identity = input_identity(spark, list(paths.values()))
-    with timed("ingest"):
-        return reuse_or_write(spark, folder, "corpus", settings,
-                              (sorted(paths.items()), identity, code_identity(source)), make)
+    with timed(name):
+        return reuse_or_write(spark, folder, name, settings,
+                              (sorted(paths.items()), identity, code_identity(source), multiline), make)
 
 
 def build_vocabulary(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -76,12 +87,12 @@ def epoch_batches(framed: DataFrame, epoch: int, settings: Settings = Settings()
     return framing.reversed_input(batched)
 
 
-def export_vectors(documents: DataFrame, vocab: DataFrame, word_vectors: DataFrame, dim: int,
+def export_vectors(documents: DataFrame, vocab: DataFrame, word_vectors: DataFrame,
                    experiment: str, path: str) -> None:
     """One pooled vector per document, stored per experiment and split."""
     with timed(f"vectors of {experiment}"):
         by_id = written(vocab.join(word_vectors, "word").select("id", "vector"), "id_vectors")
-        pooled = vectors.document_vectors(documents, index_corpus(documents, vocab), by_id, dim)
+        pooled = vectors.document_vectors(documents, index_corpus(documents, vocab), by_id)
         splits = documents.select("doc_id", "split")
         store.write_vectors(pooled.join(splits, "doc_id").withColumn("experiment", F.lit(experiment)),
                             path)
@@ -98,9 +109,17 @@ def experiment_name(spark: SparkSession, settings: Settings, cell: str, directio
 
 
 def score_exports(documents: DataFrame, vectors_path: str, reports_path: str, table_path: str,
-                  n_classes: int, **options) -> DataFrame:
-    """Score pending experiments, then write the flat table of all reports."""
+                  n_classes: int, run_time: int | None = None, **options) -> DataFrame:
+    """Score pending experiments, then write the flat table of all reports.
+
+    The table goes into a folder of its own under `table_path`, named after the run's
+    time; a time that was used before is refused before anything is fitted.
+    """
     spark = documents.sparkSession
+    run = spark.range(1).select(names.run_id(run_time)).first()[0]
+    table_path = f"{table_path}/run={run}"
+    if exists(spark, table_path):
+        raise FileExistsError(table_path)
     labels = documents.select("doc_id", "label")
     with timed("scores"):
         scored = scoring.score_pending(spark, vectors_path, labels, reports_path, n_classes, **options)

@@ -13,7 +13,7 @@ from lexiframe.plans.layout import cluster, new_path, spread, written
 from lexiframe.plans.runs import runs
 from lexiframe.plans.scores import rounded
 from lexiframe.plans.texts import SETTINGS, documents, saved_vocabulary
-from lexiframe.plans.vectors import DIM, id_vectors
+from lexiframe.plans.vectors import id_vectors
 from lexiframe.sources.reports import read_reports, write_reports
 from lexiframe.sources.tables import table
 from lexiframe.sources.vectors import read_vectors, write_vectors
@@ -44,7 +44,7 @@ def labelled_doc_vectors(spark, folder):
     labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
     chosen = spread(docs, "doc_id").join(labels.select("doc_id"), "doc_id", "left_semi")
     ids = vocabulary.index_sentences(corpus.sentences(chosen, remove_stopwords=True), vocab)
-    pooled = vectors.pooled_vectors(vectors.indexed_weights(ids), id_vectors(spark, folder, vocab), DIM)
+    pooled = vectors.pooled_vectors(vectors.indexed_weights(ids), id_vectors(spark, folder, vocab))
     rows = ex.with_labels(pooled, labels).withColumn("split", assign_split(F.col("doc_id"), "0123"))
     return written(rows, "labelled_vectors")
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from lexiframe.functions.chars import DEFAULT_ALPHABET
-from lexiframe.plans.arrays import CLASSES, COLS, ROWS
 
 WORDS = """
 items AS (
@@ -49,7 +48,7 @@ SELECT split, count(*) AS n_lines, sum(len(list_filter(string_split(line, ' '),
        AS n_words, sum(length(line))::BIGINT AS n_chars FROM lines GROUP BY split""",
     "one_hot_labels": f"""
 SELECT vec_id, class::INT AS class, (class = label)::INT AS hot
-FROM embeddings, range({CLASSES}) AS r(class)""",
+FROM embeddings, range((SELECT max(label) + 1 FROM embeddings)) AS r(class)""",
     "vector_argmax": """
 SELECT vec_id, label, (list_position(embedding, list_max(embedding)) - 1)::INT AS argmax
 FROM embeddings""",
@@ -57,12 +56,13 @@ FROM embeddings""",
 raised AS (
   SELECT vec_id, dim, exp(x - max(x) OVER (PARTITION BY vec_id)) AS e FROM cells)
 SELECT vec_id, dim, round(e / sum(e) OVER (PARTITION BY vec_id), 6) AS p FROM raised""",
-    "vector_grid": f"""WITH {CELLS}
-SELECT vec_id, 'rows' AS view, dim // {COLS} AS row, dim % {COLS} AS col, round(x, 6) AS x FROM cells
-WHERE dim < {ROWS * COLS}
+    "vector_grid": f"""WITH {CELLS},
+shape AS (
+  SELECT n, (n // max(r))::INT AS cols FROM (SELECT max(len(embedding)) AS n FROM embeddings), range(1, 10000) AS t(r)
+  WHERE n % r = 0 AND r * r <= n GROUP BY n)
+SELECT vec_id, 'rows' AS view, dim // cols AS row, dim % cols AS col, round(x, 6) AS x FROM cells, shape
 UNION ALL
-SELECT vec_id, 'cols', dim % {COLS}, dim // {COLS}, round(x, 6) FROM cells
-WHERE dim < {ROWS * COLS}""",
+SELECT vec_id, 'cols', dim % cols, dim // cols, round(x, 6) FROM cells, shape""",
     "vector_scores": f"""WITH {CELLS},
 centers AS (SELECT label AS class, dim, avg(x) AS w FROM cells GROUP BY ALL),
 bias AS (SELECT class, -sum(w * w) / 2 AS b FROM centers GROUP BY class)

@@ -50,8 +50,13 @@ sides AS (
 train AS (SELECT name, count(*) AS n_train FROM sides WHERE train GROUP BY name),
 test AS (SELECT name, count(*) AS n_test FROM sides WHERE NOT train GROUP BY name)
 SELECT name, n_train, n_test FROM train JOIN test USING (name)""",
+    "experiment_ready": f"""WITH {RUNS}
+SELECT model || '_epoch_' || epoch AS name,
+       count(*) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH')) AS n_train,
+       count(*) FILTER (o_orderpriority NOT IN ('1-URGENT', '2-HIGH')) AS n_test
+FROM named WHERE o_orderstatus = 'F' GROUP BY model, epoch HAVING n_train > 0 AND n_test > 0""",
     "labelled_vectors": """
-SELECT doc_id, embedding[1]::DOUBLE AS first, quality, toxic
+SELECT doc_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total, quality, toxic
 FROM embeddings JOIN labels ON vec_id = doc_id""",
     "leaderboard": f"""WITH {RUNS}
 SELECT o_orderkey, name, {METRICS} FROM named WHERE good

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lexiframe.plans.arrays import CLASSES
-from lexiframe.plans.scores import STAGE_CHARS, STAGES, VOTE_STAGES
+from lexiframe.plans.scores import STAGE_CHARS, STAGES
 
 PREDICTED = f"""
 scored AS (
@@ -41,14 +41,16 @@ scores AS (
     THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f_measure FROM per_class),
 reports AS (
   SELECT {lead}sum(support)::BIGINT AS n_rows,
-         round(sum(hits) / sum(support), 6) AS accuracy,
-         round(sum(precision * support) / sum(support), 6) AS precision,
-         round(sum(recall * support) / sum(support), 6) AS recall,
-         round(sum(f_measure * support) / sum(support), 6) AS f_measure
+         sum(hits) / sum(support) AS accuracy,
+         sum(precision * support) / sum(support) AS precision,
+         sum(recall * support) / sum(support) AS recall,
+         sum(f_measure * support) / sum(support) AS f_measure
   FROM scores {grouping})
 """
 
 
+ROUNDED = ("round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, "
+           "round(recall, 6) AS recall, round(f_measure, 6) AS f_measure")
 STAGE_REPORTS = STAGED + reports(["lang", "stage"])
 
 ORACLE = {
@@ -57,22 +59,23 @@ SELECT label, prediction, count(*) AS n FROM scored GROUP BY ALL""",
     "class_scores": f"""WITH {PREDICTED} {reports([])}
 SELECT class, support, predicted, hits, round(precision, 6) AS precision,
        round(recall, 6) AS recall, round(f_measure, 6) AS f_measure FROM scores""",
-    "weighted_metrics": f"WITH {PREDICTED} {reports([])} SELECT * FROM reports",
-    "stage_metrics": f"WITH {STAGE_REPORTS} SELECT * FROM reports",
+    "weighted_metrics": f"WITH {PREDICTED} {reports([])} SELECT n_rows, {ROUNDED} FROM reports",
+    "stage_metrics": f"WITH {STAGE_REPORTS} SELECT lang, stage, n_rows, {ROUNDED} FROM reports",
     "stage_best": f"""WITH {STAGE_REPORTS}
-SELECT * FROM reports QUALIFY row_number() OVER (
+SELECT lang, stage, n_rows, {ROUNDED} FROM reports QUALIFY row_number() OVER (
   PARTITION BY lang ORDER BY f_measure DESC, stage) = 1""",
     "running_best": f"""WITH {STAGE_REPORTS}
-SELECT lang, stage, f_measure, max(f_measure) OVER (PARTITION BY lang ORDER BY stage) AS best_f
+SELECT lang, stage, round(f_measure, 6) AS f_measure,
+       round(max(f_measure) OVER (PARTITION BY lang ORDER BY stage), 6) AS best_f
 FROM reports""",
     "staged_votes": f"""WITH cells AS (
   SELECT vec_id AS row_id, (unnest(range(len(embedding))))::INT AS cell,
          unnest(embedding)::DOUBLE AS vote FROM embeddings),
+stages AS (SELECT DISTINCT row_id, (cell // {CLASSES}) + 1 AS stage FROM cells),
 scores AS (
-  SELECT row_id, cell % {CLASSES} AS class, (cell // {CLASSES}) + 1 AS stage,
-         sum(CASE WHEN cell < {CLASSES} THEN vote * 1.0::DOUBLE ELSE vote * 0.1::DOUBLE END) OVER (
-           PARTITION BY row_id, cell % {CLASSES} ORDER BY cell) AS score
-  FROM cells WHERE cell < {CLASSES * VOTE_STAGES})
+  SELECT row_id, cell % {CLASSES} AS class, stage,
+         sum(CASE WHEN cell < {CLASSES} THEN vote * 1.0::DOUBLE ELSE vote * 0.1::DOUBLE END ORDER BY cell) AS score
+  FROM cells JOIN stages USING (row_id) WHERE (cell // {CLASSES}) + 1 <= stage GROUP BY ALL)
 SELECT row_id, stage::INT AS stage, class::INT AS prediction FROM scores
 QUALIFY row_number() OVER (PARTITION BY row_id, stage ORDER BY score DESC, class) = 1""",
 }

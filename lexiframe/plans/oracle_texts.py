@@ -128,7 +128,8 @@ batched AS (
 ORACLE = {
     "document_status": """
 SELECT source, sum((text IS NOT NULL)::INT)::BIGINT AS n_kept,
-       sum((text IS NULL)::INT)::BIGINT AS n_rejected
+       sum((text IS NULL)::INT)::BIGINT AS n_rejected,
+       count(*) FILTER (trim(text, ' ') = '') AS n_blank
 FROM documents GROUP BY source""",
     "labelled_corpus": """
 SELECT doc_id, n_chars, quality::INT AS label,

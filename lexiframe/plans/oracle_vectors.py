@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lexiframe.plans.oracle_texts import INDEXED, SENTENCES, SETTINGS, VOCAB, tokens_of
-from lexiframe.plans.vectors import DIM, SMOOTHING
+from lexiframe.plans.oracle_texts import FRAMES, INDEXED, SENTENCES, SETTINGS, VOCAB, tokens_of
+from lexiframe.plans.vectors import SMOOTHING
 
 KEPT = SENTENCES + VOCAB + tokens_of("sents", "toks") + f""",
 probs AS (
@@ -48,7 +48,7 @@ given AS (SELECT vec_id, embedding, (SELECT count(*) FROM embeddings) AS n FROM
 words_in AS (
   SELECT doc_id, sent_id, id FROM ided),
 cells AS (
-  SELECT doc_id, sent_id, unnest(range({DIM}))::INT AS dim, unnest(embedding)::DOUBLE AS x
+  SELECT doc_id, sent_id, unnest(range(len(embedding)))::INT AS dim, unnest(embedding)::DOUBLE AS x
   FROM words_in JOIN given ON id % n = vec_id),
 sentence_means AS (
   SELECT doc_id, sent_id, dim, avg(x) AS x FROM cells GROUP BY ALL),
@@ -61,6 +61,18 @@ SELECT vec_id, dim, round(CASE WHEN norm > 0 THEN x / norm ELSE x END, 6) AS val
   SELECT vec_id, dim, x, sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS norm FROM (
     SELECT vec_id, unnest(range(len(embedding)))::INT AS dim, unnest(embedding)::DOUBLE AS x
     FROM embeddings))""",
+    "masked_cost": f"""WITH {FRAMES["next"]},
+cells AS (
+  SELECT md5(doc_id::VARCHAR)[1] <> '0' AS train, unnest("out")::BIGINT AS prev, unnest(target)::BIGINT AS next,
+         unnest(range(len(target))) AS place, out_len FROM frames),
+steps AS (SELECT train, prev, next FROM cells WHERE place < out_len),
+trained AS (SELECT prev, next, count(*) AS c FROM steps WHERE train GROUP BY ALL),
+ahead AS (SELECT prev, count(*) AS c FROM steps WHERE train GROUP BY ALL),
+tested AS (SELECT prev, next, count(*) AS n FROM steps WHERE NOT train GROUP BY ALL)
+SELECT (SELECT count(*) FROM steps WHERE train) AS n_train, sum(n)::BIGINT AS n_targets,
+       round(sum(n * -ln((coalesce(t.c, 0) + {SMOOTHING}::DOUBLE)
+         / (coalesce(a.c, 0) + {SMOOTHING}::DOUBLE * ((SELECT count(*) FROM vocab) + 4)))) / sum(n), 6) AS cost
+FROM tested s LEFT JOIN trained t ON s.prev = t.prev AND s.next = t.next LEFT JOIN ahead a ON s.prev = a.prev""",
     "bigram_perplexity": f"""WITH {INDEXED},
 steps AS (
   SELECT md5(doc_id::VARCHAR)[1] <> '0' AS train, unnest(list_concat([3], ids)) AS prev,

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from lexiframe.config import EXPERIMENT_FIELDS, REPORT_METRICS
 from lexiframe.functions import names
 from lexiframe.functions.hashing import assign_split
+from lexiframe.functions.sequences import total
 from lexiframe.operators import experiments as ex
+from lexiframe.operators.scoring import ready
 from lexiframe.plans.layout import new_path, spread
 from lexiframe.sources import reports as rp
 from lexiframe.sources import vectors as vs
@@ -90,10 +92,20 @@ def experiment_splits(spark, folder):
 
 def labelled_vectors(spark, folder):
     vectors = table(spark, folder, "embeddings").select(
-        F.col("vec_id").alias("doc_id"), F.col("embedding")[0].cast("double").alias("first"))
+        F.col("vec_id").alias("doc_id"), F.round(total(F.col("embedding")), 6).alias("total"))
     return ex.with_labels(vectors, table(spark, folder, "labels"))
 
 
+def experiment_ready(spark, folder):
+    """Models and epochs with labelled exports of both splits; finished orders have labels."""
+    urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    rows = runs(spark, folder).select(
+        F.format_string("%s_epoch_%d", "model", "epoch").alias("experiment"),
+        F.when(urgent, "train").otherwise("test").alias("split"),
+        F.col("o_orderkey").alias("doc_id"), F.array("o_totalprice").alias("vector"), "o_orderstatus")
+    return ready(rows, rows.filter(F.col("o_orderstatus") == "F"))
+
+
 def leaderboard(spark, folder):
     rows = ex.parsed(runs(spark, folder).select("o_orderkey", "name", *REPORT_METRICS))
     return ex.top(rows, TOP, ties=["name", "o_orderkey"]).select(
@@ -143,5 +155,5 @@ def stored_vectors(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     experiment_names, experiment_parse, experiment_rejects, experiment_files, experiment_latest,
-    experiment_pending, experiment_splits, labelled_vectors, leaderboard, leaderboard_by_cell,
+    experiment_pending, experiment_splits, experiment_ready, labelled_vectors, leaderboard, leaderboard_by_cell,
     report_table, resume_epoch, epoch_cost, stored_reports, stored_vectors)}

@@ -12,7 +12,6 @@ from lexiframe.sources.tables import table
 
 STAGES = 20
 STAGE_CHARS = 150
-VOTE_STAGES = 6
 
 
 def rounded(rows, names):
@@ -58,7 +57,7 @@ def stage_metrics(spark, folder):
 
 
 def stage_best(spark, folder):
-    return metrics.best_stage(stage_metrics(spark, folder), ["lang"])
+    return rounded(metrics.best_stage(stage_reports(spark, folder), ["lang"]), REPORT_METRICS)
 
 
 def running_best(spark, folder):
@@ -70,10 +69,9 @@ def votes(spark, folder):
     """Votes for each class at each stage, one embedding cell apiece."""
     cells = table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("row_id"), "label", F.posexplode("embedding").alias("cell", "x"))
-    voting = cells.filter(F.col("cell") < CLASSES * VOTE_STAGES)
     stage = F.floor(F.col("cell") / CLASSES).cast("int") + 1
     weight = F.when(stage == 1, F.lit(1.0)).otherwise(F.lit(0.1))
-    return voting.select("row_id", "label", (F.col("cell") % CLASSES).alias("class"),
+    return cells.select("row_id", "label", (F.col("cell") % CLASSES).alias("class"),
                          stage.alias("stage"), weight.alias("weight"),
                          F.col("x").cast("double").alias("vote"))
 

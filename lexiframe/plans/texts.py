@@ -64,12 +64,11 @@ def tokens_no_stop(spark, folder):
 
 
 def document_status(spark, folder):
-    """Documents kept and rejected, by source."""
-    docs = documents(spark, folder, "source")
-    kept = corpus.accepted(docs).select("source", F.lit(1).alias("kept"))
-    lost = corpus.rejected(docs).select("source", F.lit(0).alias("kept"))
-    return kept.unionByName(lost).groupBy("source").agg(
-        F.sum("kept").alias("n_kept"), F.sum(1 - F.col("kept")).alias("n_rejected"))
+    """Documents kept, rejected and blank, by source, in one pass."""
+    return documents(spark, folder, "source").groupBy("source").agg(
+        F.count_if(corpus.usable()).alias("n_kept"),
+        F.count_if(~corpus.usable()).alias("n_rejected"),
+        F.count_if(F.trim("text") == "").alias("n_blank"))
 
 
 def labelled_corpus(spark, folder):
@@ -163,7 +162,7 @@ def sentence_matrix(spark, folder):
 
 
 def _batched(spark, folder, drop_last=False, epoch=0):
-    frames = written(framed(spark, folder), "framed_corpus")
+    frames = written(framed(spark, folder).select("doc_id", "sent_id", "out_len"), "framed_keys")
     return framing.shuffled_batches(frames, ["doc_id", "sent_id"], SETTINGS.batch_size,
                                     epoch=epoch, seed=SETTINGS.seed, drop_last=drop_last)
 

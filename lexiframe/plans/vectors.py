@@ -6,22 +6,21 @@ from pyspark.sql import functions as F
 
 from lexiframe.functions.hashing import assign_split
 from lexiframe.operators import bigram, corpus, skipgram, vectors, vocabulary
-from lexiframe.plans.layout import cluster, written
-from lexiframe.plans.texts import SETTINGS, documents, saved_vocabulary
+from lexiframe.plans.layout import cluster, spread, written
+from lexiframe.plans.texts import SETTINGS, documents, framed, saved_vocabulary
 from lexiframe.sources.tables import table
 
-DIM = 64
 SMOOTHING = 0.1
 
 
-def kept_tokens(spark, folder, vocab):
-    docs = cluster(documents(spark, folder), "doc_id")
+def kept_tokens(spark, folder, vocab, place=cluster):
+    docs = place(documents(spark, folder), "doc_id")
     toks = corpus.tokens(corpus.sentences(docs))
     return skipgram.subsample(toks, vocab, SETTINGS.sample)
 
 
 def subsampled_tokens(spark, folder):
-    return kept_tokens(spark, folder, saved_vocabulary(spark, folder)).select(
+    return kept_tokens(spark, folder, saved_vocabulary(spark, folder), spread).select(
         "doc_id", "sent_id", "pos", "word")
 
 
@@ -59,7 +58,7 @@ def doc_vectors(spark, folder):
     docs = cluster(documents(spark, folder), "doc_id")
     ids = vocabulary.index_sentences(corpus.sentences(docs, remove_stopwords=True), vocab)
     pooled = vectors.document_vectors(
-        table(spark, folder, "documents"), ids, id_vectors(spark, folder, vocab), DIM)
+        table(spark, folder, "documents"), ids, id_vectors(spark, folder, vocab))
     return pooled.select("doc_id", F.posexplode_outer("vector").alias("dim", "value")).select(
         "doc_id", "dim", F.round("value", 6).alias("value"))
 
@@ -81,6 +80,14 @@ def bigram_perplexity(spark, folder):
                          F.round("perplexity", 3).alias("perplexity"))
 
 
+def masked_cost(spark, folder):
+    """Cost of the framed next sentences: the mean of -log p over the mask."""
+    vocab = saved_vocabulary(spark, folder)
+    counted = bigram.framed_steps(framed(spark, folder), assign_split(F.col("doc_id")))
+    scored = bigram.perplexity(counted, vocab.count(), SMOOTHING)
+    return scored.select("n_train", "n_targets", F.round("cross_entropy", 6).alias("cost"))
+
+
 QUERIES = {f.__name__: f for f in (
     subsampled_tokens, skipgram_pairs, noise_distribution, sppmi, doc_vectors, unit_vectors,
-    bigram_perplexity)}
+    bigram_perplexity, masked_cost)}

@@ -39,16 +39,33 @@ def test_runs(spark, docs, folder):
     words = vectors.read_word_vectors(spark, folder, 8, SETTINGS)
     for epoch in (10, 20):
         name = flows.experiment_name(spark, SETTINGS, "skipgram", "uni", 8, 1, epoch, 1700000000)
-        flows.export_vectors(docs, vocab, words, 8, name, f"{folder}/vectors")
+        flows.export_vectors(docs, vocab, words, name, f"{folder}/vectors")
     stored = vectors.read_vectors(spark, f"{folder}/vectors", name)
     assert stored.count() == docs.count()
 
     table = flows.score_exports(docs, f"{folder}/vectors", f"{folder}/reports", f"{folder}/table",
-                                2, stages=2)
+                                2, run_time=1, stages=2)
     assert [(r.row_index, r.epoch, r.cell_type) for r in table.orderBy("row_index").collect()] == [
         (0, 10, "skipgram"), (1, 20, "skipgram")]
     assert reports.read_reports(spark, f"{folder}/reports").count() == 2
-    assert spark.read.option("header", True).csv(f"{folder}/table").count() == 2
+    assert spark.read.option("header", True).csv(f"{folder}/table/run=1").count() == 2
+
+    # an export without its test split waits; a second run adds to the first
+    rows = vectors.read_vectors(spark, f"{folder}/vectors", name)
+    later = name.replace("_epoch_20_", "_epoch_30_")
+    halves = rows.withColumn("experiment", F.lit(later))
+    vectors.write_vectors(halves.filter("split = 'train'"), f"{folder}/vectors")
+    table = flows.score_exports(docs, f"{folder}/vectors", f"{folder}/reports", f"{folder}/table",
+                                2, run_time=2, stages=2)
+    assert table.count() == 2
+    vectors.write_vectors(halves.filter("split = 'test'"), f"{folder}/vectors")
+    table = flows.score_exports(docs, f"{folder}/vectors", f"{folder}/reports", f"{folder}/table",
+                                2, run_time=3, stages=2)
+    assert table.count() == 3 and table.filter("f_measure IS NULL").isEmpty()
+    assert spark.read.option("header", True).csv(f"{folder}/table/run=3").count() == 3
+    with pytest.raises(FileExistsError):
+        flows.score_exports(docs, f"{folder}/vectors", f"{folder}/reports", f"{folder}/table",
+                            2, run_time=3, stages=2)
 
 
 def test_settings_from_the_environment():
