@@ -8,8 +8,9 @@ import logging
 from pyspark.sql import SparkSession
 
 from lexiframe.config import Settings
-from lexiframe.operators.experiments import export_epochs
+from lexiframe.operators.experiments import export_epochs, resume_epochs
 from lexiframe.plans import flows
+from lexiframe.sources.artefacts import exists
 from lexiframe.sources.vectors import read_word_vectors
 
 
@@ -42,12 +43,15 @@ def main() -> None:
         flows.score_exports(docs, f"{out}/vectors", f"{out}/reports", f"{out}/table",
                             args.classes, stages=args.stages)
         return
-    vocab = flows.build_vocabulary(docs, settings)
+    vocab = flows.build_vocabulary(docs, settings, out)
     if args.step == "words":
         flows.train_words(docs, vocab, out, args.size, settings, args.iterations)
     elif args.step == "frames":
         framed = flows.frame_corpus(docs.filter("split = 'train'"), vocab, settings)
-        for epoch in range(args.epochs):
+        batches = spark.createDataFrame([("batches",)], "model string")
+        done = [("batches", e) for e in range(args.epochs) if exists(spark, f"{out}/batches/epoch={e}/_SUCCESS")]
+        first = resume_epochs(batches, spark.createDataFrame(done, "model string, epoch int")).first()
+        for epoch in range(first["next_epoch"], args.epochs):  # an epoch's order is fixed by its number
             flows.epoch_batches(framed, epoch, settings).write.mode("overwrite").parquet(
                 f"{out}/batches/epoch={epoch}")
     else:

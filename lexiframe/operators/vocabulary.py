@@ -67,7 +67,7 @@ def word_ids(toks: DataFrame, vocabulary: DataFrame, unknown: int | None = UNK,
              limit: int = BROADCAST_BYTES) -> DataFrame:
     """Add `id`; a word outside the vocabulary gets `unknown`, or goes if None."""
     table = real_words(vocabulary).select("word", "id")
-    found = lookup(toks, table, "word", hot_words, limit)
+    found = lookup(toks, table, "word", hot_words, limit, "doc_id")
     if unknown is None:
         return found.filter(F.col("id").isNotNull())
     return found.withColumn("id", F.coalesce("id", F.lit(unknown)))
@@ -95,7 +95,7 @@ def index_sentences(sents: DataFrame, vocabulary: DataFrame, unknown: int | None
     """
     toks = sents.select("doc_id", "sent_id", F.posexplode_outer("words").alias("pos", "word"))
     table = real_words(vocabulary).select("word", "id")
-    found = lookup(toks, table, "word", hot_words, limit)
+    found = lookup(toks, table, "word", hot_words, limit, "doc_id")
     if unknown is not None:
         found = found.withColumn("id", F.coalesce("id", F.lit(unknown)))
     place = F.when(F.col("word").isNotNull(), place_and_id())
@@ -107,7 +107,7 @@ def decode_sentences(indexed: DataFrame, vocabulary: DataFrame,
                      limit: int = BROADCAST_BYTES) -> DataFrame:
     """Ids back to text, unknown words shown as their symbol."""
     toks = indexed.select("doc_id", "sent_id", F.posexplode_outer("ids").alias("pos", "id"))
-    found = lookup(toks, vocabulary.select("id", "word"), "id", hot_ids, limit)
+    found = lookup(toks, vocabulary.select("id", "word"), "id", hot_ids, limit, "doc_id")
     item = F.when(F.col("word").isNotNull(), F.struct("pos", "word"))
     grouped = found.groupBy("doc_id", "sent_id").agg(F.collect_list(item).alias("items"))
     words = F.transform(F.sort_array("items"), lambda x: x["word"])

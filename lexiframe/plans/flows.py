@@ -50,12 +50,23 @@ def _kept(spark, paths, folder, settings, multiline, name, choose, finish) -> Da
                               (sorted(paths.items()), identity, code_identity(source), multiline), make)
 
 
-def build_vocabulary(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """A written vocabulary of all words, stop words included."""
+def build_vocabulary(documents: DataFrame, settings: Settings = Settings(),
+                     folder: str | None = None) -> DataFrame:
+    """A written vocabulary of all words, stop words included.
+
+    With a `folder` it is kept there, and made again only for other files, settings or code.
+    """
+    def make() -> DataFrame:
+        counts = corpus.word_counts(corpus.sentences(spread(documents, "doc_id")))
+        return vocabulary.build_vocabulary(counts, settings.min_count)
+
     with timed("vocabulary"):
-        sents = corpus.sentences(spread(documents, "doc_id"))
-        counts = corpus.word_counts(sents)
-        return written(vocabulary.build_vocabulary(counts, settings.min_count), "vocabulary")
+        if folder is None:
+            return written(make(), "vocabulary")
+        spark = documents.sparkSession
+        return reuse_or_write(spark, folder, "vocabulary", settings,
+                              (input_identity(spark, documents.inputFiles()),
+                               code_identity(corpus, vocabulary)), make)
 
 
 def train_words(documents: DataFrame, vocab: DataFrame, folder: str, size: int,

@@ -16,6 +16,7 @@ log = logging.getLogger("lexiframe")
 
 SETTING = "spark.checkpoint.dir"
 _local_roots: dict[str, str] = {}
+_steps: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,6 +52,7 @@ def written(df: DataFrame, step: str) -> DataFrame:
     """Write a step once and read it back: it cuts lineage, survives lost
     executors, and later passes read only the columns they need."""
     path = new_path(df.sparkSession, step)
+    _steps.append(path)
     seen = Observation(step)
     with timed(f"write {step}"):
         df.observe(seen, F.count(F.lit(1)).alias("n_rows")).write.parquet(path)
@@ -58,6 +60,14 @@ def written(df: DataFrame, step: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_steps(spark: SparkSession) -> None:
+    """Delete the steps written so far. Frames built on them can no longer be read, so
+    call it when their results are stored."""
+    while _steps:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_steps.pop())
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def _splits_short(scan: DataFrame) -> bool:
     return scan.rdd.getNumPartitions() < scan.sparkSession.sparkContext.defaultParallelism
 
@@ -80,5 +90,6 @@ def cluster(scan: DataFrame, key: str) -> DataFrame:
     text of a document is smaller than its exploded tokens.
     """
     if not _splits_short(scan):
-        return scan.repartition(key)
+        least = int(scan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return scan.repartition(max(least, scan.rdd.getNumPartitions()), key)  # as small as the splits
     return scan.repartition(2 * scan.sparkSession.sparkContext.defaultParallelism, key)

@@ -36,13 +36,16 @@ def hot_rows(table: DataFrame, hot: Callable[[int], Column], limit: int) -> int:
 
 
 def lookup(facts: DataFrame, table: DataFrame, key: str, hot: Callable[[int], Column],
-           limit: int = BROADCAST_BYTES) -> DataFrame:
+           limit: int = BROADCAST_BYTES, home: str | None = None) -> DataFrame:
     """Left join of `facts` to `table` (unique on `key`, already written).
 
     A table under `limit` bytes is broadcast. A larger one is cut in two by
     `hot(n)`, which selects the n most frequent keys, with n measured to fit:
     that part is broadcast and settles the bulk of the facts where they lie;
     only facts with other keys shuffle to the rest, so no hot key ever does.
+
+    Facts that lie together by `home` (a document) stay there: the distinct other
+    keys of each home go out, and what they find comes back as one map per home.
     """
     if table_size(table)[1] <= limit:
         return facts.join(F.broadcast(table), key, "left")
@@ -50,6 +53,15 @@ def lookup(facts: DataFrame, table: DataFrame, key: str, hot: Callable[[int], Co
     head = table.filter(chosen).withColumn("_hot", F.lit(True))
     near = facts.join(F.broadcast(head), key, "left")
     settled = F.col("_hot").isNotNull() | F.col(key).isNull()
+    rest = table.filter(~chosen).hint("merge")
+    if home is not None:
+        values = [c for c in table.columns if c != key]
+        found = near.filter(~settled).select(home, key).distinct().join(rest, key)
+        maps = found.groupBy(home).agg(F.map_from_entries(F.collect_list(
+            F.struct(F.col(key), F.struct(*values)))).alias("_rest"))
+        both = near.drop("_hot").join(maps, home, "left")
+        return both.withColumns({
+            v: F.coalesce(F.col(v), F.col("_rest")[F.col(key)][v]) for v in values}).drop("_rest")
     far = near.filter(~settled).select(*facts.columns)
     return near.filter(settled).drop("_hot").unionByName(
-        far.join(table.filter(~chosen).hint("merge"), key, "left"))
+        far.join(rest, key, "left"))

@@ -1,11 +1,34 @@
-"""DuckDB SQL that checks the streams of `learning`; fitted models have none."""
+"""DuckDB SQL that checks what the data fix of the queries of `learning`."""
 
 from __future__ import annotations
 
 from lexiframe.plans.oracle_runs import METRICS, RUNS
+from lexiframe.plans.learning import STAGES
 from lexiframe.plans.oracle_texts import TOKEN_IDS
+from lexiframe.plans.oracle_vectors import KEPT
+from lexiframe.plans.vectors import VECTOR_SIZE
+
+# Labelled documents that hold a known word, in the test part.
+TESTED = f"""{TOKEN_IDS},
+known AS (SELECT DISTINCT doc_id FROM ided WHERE id IS NOT NULL),
+tested AS (
+  SELECT count(*) AS n FROM known JOIN labels USING (doc_id)
+  WHERE md5(doc_id::VARCHAR)[1] IN ('0', '1', '2', '3'))
+"""
 
 ORACLE = {
+    "word_vectors": f"""WITH {KEPT}
+SELECT DISTINCT word, {VECTOR_SIZE} AS width, 1.0::DOUBLE AS norm FROM survivors""",
+    "boosted_stages": f"""WITH {TESTED}
+SELECT stage::INT AS stage, n::BIGINT AS n_rows, true AS recall_is_accuracy
+FROM tested, range(1, {STAGES + 1}) AS r(stage)""",
+    "boosted_trees": f"""WITH {TESTED}
+SELECT {STAGES}::BIGINT AS n_stages, 0::BIGINT AS n_better, n::BIGINT AS n_rows FROM tested""",
+    "scored_experiments": """
+SELECT name, name = 'raw' AS reused, name = 'unit' AS fitted FROM (VALUES ('raw'), ('unit')) AS v(name)""",
+    "softmax_regression": """
+SELECT count(*) AS n_rows, true AS cost_falls, true AS recall_is_accuracy FROM embeddings
+WHERE md5(vec_id::VARCHAR)[1] IN ('0', '1', '2', '3')""",
     "stream_tokens": f"WITH {TOKEN_IDS} SELECT doc_id, sent_id, pos, id FROM ided",
     "stream_pending": f"""WITH {RUNS}
 SELECT name, {METRICS} FROM named

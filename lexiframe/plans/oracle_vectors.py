@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lexiframe.plans.oracle_texts import FRAMES, INDEXED, SENTENCES, SETTINGS, VOCAB, tokens_of
-from lexiframe.plans.vectors import SMOOTHING
+from lexiframe.plans.vectors import SMOOTHING, VECTOR_SIZE
 
 KEPT = SENTENCES + VOCAB + tokens_of("sents", "toks") + f""",
 probs AS (
@@ -43,6 +43,12 @@ whole AS (SELECT sum(cnt)::DOUBLE AS n FROM pairs)
 SELECT p.center, p.context, p.cnt, round(greatest(0.0::DOUBLE,
   ln(p.cnt::DOUBLE * w.n / (a.n * b.n)) - ln({SETTINGS.negative}.0::DOUBLE)), 6) AS sppmi
 FROM pairs p JOIN sums a ON p.center = a.center JOIN sums b ON p.context = b.center, whole w""",
+    "sppmi_vectors": f"""WITH {PAIRS},
+sums AS (SELECT center, sum(cnt)::DOUBLE AS n FROM pairs GROUP BY center),
+whole AS (SELECT sum(cnt)::DOUBLE AS n FROM pairs)
+SELECT DISTINCT p.center AS id, {VECTOR_SIZE} AS width
+FROM pairs p JOIN sums a ON p.center = a.center JOIN sums b ON p.context = b.center, whole w
+WHERE ln(p.cnt::DOUBLE * w.n / (a.n * b.n)) - ln({SETTINGS.negative}.0::DOUBLE) > 0""",
     "doc_vectors": f"""WITH {INDEXED},
 given AS (SELECT vec_id, embedding, (SELECT count(*) FROM embeddings) AS n FROM embeddings),
 words_in AS (

@@ -11,6 +11,7 @@ from lexiframe.plans.texts import SETTINGS, documents, framed, saved_vocabulary
 from lexiframe.sources.tables import table
 
 SMOOTHING = 0.1
+VECTOR_SIZE = 100
 
 
 def kept_tokens(spark, folder, vocab, place=cluster):
@@ -39,9 +40,19 @@ def noise_distribution(spark, folder):
 
 
 def sppmi(spark, folder):
-    pairs = written(_pairs(spark, folder), "skipgram_pairs")
-    cells = skipgram.shifted_ppmi(pairs, SETTINGS.negative)
-    return cells.withColumn("sppmi", F.round("sppmi", 6))
+    return _cells(spark, folder).withColumn("sppmi", F.round("sppmi", 6))
+
+
+def _cells(spark, folder):
+    kept = kept_tokens(spark, folder, saved_vocabulary(spark, folder))
+    half = written(skipgram.half_counts(kept, SETTINGS.window), "skipgram_pairs")
+    return skipgram.shifted_ppmi(half, SETTINGS.negative)
+
+
+def sppmi_vectors(spark, folder):
+    """Word vectors factorised from the cells, a block of rows at a time: each id's width."""
+    factors = vectors.factor_vectors(written(_cells(spark, folder), "sppmi"), VECTOR_SIZE)
+    return factors.select("id", F.size("vector").alias("width"))
 
 
 def id_vectors(spark, folder, vocab):
@@ -89,5 +100,5 @@ def masked_cost(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    subsampled_tokens, skipgram_pairs, noise_distribution, sppmi, doc_vectors, unit_vectors,
+    subsampled_tokens, skipgram_pairs, noise_distribution, sppmi, sppmi_vectors, doc_vectors, unit_vectors,
     bigram_perplexity, masked_cost)}

@@ -52,3 +52,21 @@ def test_groups_are_cut_to_their_best_before_the_shuffle(spark, small):
 def test_regular_expressions_run_once(spark, small):
     text = plan(spark, small, "sentence_tokens")
     assert text.count("[^a-zA-Z]") == 1 and text.count("[.!?]") == 1
+
+
+def test_large_vocabulary_moves_no_tokens(spark, small):
+    """Above the limit the rarer words of a document go out, its tokens stay."""
+    from pyspark.sql import functions as F
+
+    from lexiframe.operators import corpus, vocabulary
+    from lexiframe.plans.layout import cluster
+    from lexiframe.plans.texts import documents, saved_vocabulary
+
+    vocab = saved_vocabulary(spark, small)
+    sents = corpus.sentences(cluster(documents(spark, small), "doc_id"), remove_stopwords=True)
+    small_limit = vocabulary.index_sentences(sents, vocab, limit=4096)
+    text = small_limit._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id#" in text and not re.search(r"hashpartitioning\(doc_id#\d+L?, sent_id", text)
+    both = [sorted(map(tuple, f.select("doc_id", "sent_id", F.col("ids").cast("string")).collect()))
+            for f in (small_limit, vocabulary.index_sentences(sents, vocab))]
+    assert both[0] == both[1]
