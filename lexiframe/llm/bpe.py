@@ -269,7 +269,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out = []
-        for part in chunks(texts):
+        for part in chunks(texts, 4_000_000):
             segments = [self.segments(t) for t in texts[part]]
             words = {w for parts in segments for kind, value in parts if kind == "words" for w in value[1:]}
             table = self.known(list(words))
@@ -375,7 +375,7 @@ def encode(docs: DataFrame, path: str, lexicon_words: int = 65_536) -> DataFrame
         encoder, decoder = Encoder(bpe, Transducer.map(SparkFiles.get(name))), Decoder(bpe)
         for texts in batches:
             texts = texts.tolist()
-            for part in chunks(texts):  # results leave in small parts
+            for part in chunks(texts, 3_000_000):  # results leave in small parts
                 ids = encoder.encode(texts[part])
                 yield pd.DataFrame({"ids": ids, "decoded": [decoder.decode(np.frombuffer(x, "<u4")) for x in ids]})
 

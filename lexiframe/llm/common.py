@@ -1,34 +1,15 @@
-"""Helpers of the text-pipeline operators: free names, row keys, shipped code, word lookups."""
+"""Helpers of the text-pipeline operators: free names, row keys, word lookups, parts of batches."""
 
 from __future__ import annotations
 
-import io
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PACKAGE = Path(__file__).resolve().parents[1]
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, so that Python tasks run from any folder."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w") as out:
-        for path in sorted(PACKAGE.rglob("*.py")):
-            out.write(path, path.relative_to(PACKAGE.parent))
-    path = Path(tempfile.mkdtemp(prefix="run-")) / f"{PACKAGE.name}.zip"
-    path.write_bytes(packed.getvalue())
-    context.addPyFile(str(path))
-    _shipped.add(context.applicationId)
+from lexiframe.plans.shipping import ship
 
+__all__ = ["Lookup", "chunks", "free", "parts_for", "row_key", "ship", "text_of"]
 
 def free(df: DataFrame, *names: str) -> list[str]:
     """Column names that `df` does not use yet, whatever their case."""
@@ -61,7 +42,7 @@ def parts_for(rows: int, each: int, least: int = 1) -> int:
 class Lookup(dict):
     """word -> value of `make`; emptied when it holds `most` words, so its memory is bounded."""
 
-    def __init__(self, make: Callable, most: int = 400_000):
+    def __init__(self, make: Callable, most: int = 200_000):
         super().__init__()
         self.make, self.most = make, most
 
@@ -72,7 +53,7 @@ class Lookup(dict):
         return value
 
 
-def chunks(texts: list, most: int = 4_000_000) -> Iterator[slice]:
+def chunks(texts: list, most: int = 1_000_000) -> Iterator[slice]:
     """Slices of a batch with about `most` characters, one text at least."""
     start = size = 0
     for k, text in enumerate(texts):

@@ -15,7 +15,7 @@ def bucket(name: str) -> int:
     return xxhash.xxh32_intdigest(name.encode("utf-8", "surrogatepass")) >> (32 - BITS)
 
 
-def word_buckets(most: int = 400_000) -> Lookup:
+def word_buckets(most: int = 200_000) -> Lookup:
     """word as written -> bucket of its lower-case form without marks at its ends."""
     return Lookup(lambda w: bucket("w:" + (_edges.sub("", w.lower()) or w)), most)
 

@@ -33,7 +33,7 @@ class WordIds:
     each begins with a space, so the ids whose bytes start with one say where words begin.
     """
 
-    def __init__(self, spec: str, most: int = 400_000):
+    def __init__(self, spec: str, most: int = 300_000):
         self.full = Tokenizer.from_str(spec)
         self.full.no_padding()
         self.full.no_truncation()
@@ -151,7 +151,7 @@ def pack(docs: DataFrame, path: str, window: int = 1024, shard_docs: int = 2048,
         for batch in batches:
             texts = batch["text"].tolist()
             ids_of, places = batch["doc_id"].tolist(), batch["place"].tolist()
-            for part in chunks(texts):
+            for part in chunks(texts, 3_000_000):
                 out = []
                 for doc, place, (ids, words) in zip(ids_of[part], places[part], table.encode(texts[part])):
                     out += _pieces_of(doc, place, ids, words, window, end_id, n_shards)
