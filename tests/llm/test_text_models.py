@@ -62,7 +62,7 @@ def test_trees_learn_and_thresholds_hold():
 
 
 def test_secrets_join_the_base_spans(spark, small):
-    docs = table(spark, small.replace("0.001", "0.01"), "documents").select("doc_id", "text")
+    docs = table(spark, small.replace("0.001", "0.1"), "documents").select("doc_id", "text")
     rows = pii.find(docs).collect()
     added = 0
     for r in rows:
@@ -115,7 +115,7 @@ def test_toxicity_on_given_labels(spark, small):
 
 def test_chain_feeds_earlier_categories():
     rng = np.random.default_rng(4)
-    rows = [np.unique(rng.integers(0, 50, 8)) for _ in range(2000)]
+    rows = [np.unique(rng.integers(0, 50, 8)) for _ in range(5000)]
     first = np.array([7 in r for r in rows])
     second = first & np.array([9 not in r for r in rows])
     labels = np.column_stack([first, second]).astype(float)
