@@ -94,10 +94,12 @@ promote products derived from this software without specific prior written permi
 
 
 def known_licences(spark: SparkSession) -> DataFrame:
-    """license, text: whole texts with and without their title, and notices."""
+    """license, text: whole texts with and without their title, and notices. Spark can tell that
+    it is small."""
     rows = [(name, t) for name, (title, body) in TEXTS.items() for t in (body, f"{title}\n\n{body}")]
     rows += [(name, t) for name, notices in NOTICES.items() for t in notices]
-    return spark.createDataFrame(rows, "license string, text string")
+    listed = F.array(*[F.struct(F.lit(n).alias("license"), F.lit(t).alias("text")) for n, t in rows])
+    return spark.range(1).select(F.inline(listed))
 
 
 def canonical(text: Column) -> Column:
@@ -119,22 +121,22 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """
     known = known_licences(docs.sparkSession) if known is None else known
     known = (known.select("license", canonical(text_of()).alias("c")).filter("c != ''")
-             .select(F.sha2("c", 256).alias("digest"), "license").distinct())
+             .groupBy(F.sha2("c", 256).alias("digest")).agg(F.collect_set("license").alias("names")))
+    digest = lambda x: F.sha2(canonical(x), 256)
     rows = docs.select("doc_id", row_key().alias("key"), text_of().alias("text")).select(
         "doc_id", F.col("key.a").alias("a"), F.col("key.b").alias("b"), "text")
-    whole = rows.select("doc_id", "a", "b", F.sha2(canonical(F.col("text")), 256).alias("text_digest"))
-    # a one-line paragraph is a line already
-    units = F.concat(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("unit"))),
-                     F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit(1).alias("kind"), x.alias("unit"))),
-                     F.transform(F.filter(F.split("text", r"\n[ \t\r]*\n"), lambda x: F.contains(x, F.lit("\n"))),
-                                 lambda x: F.struct(F.lit(2).alias("kind"), x.alias("unit"))))
-    units = (rows.select("a", "b", F.posexplode(units).alias("pos", "u"))
-             .select("a", "b", "pos", "u.kind", canonical(F.col("u.unit")).alias("c")).filter("c != ''")
-             .select("a", "b", "pos", "kind", F.sha2("c", 256).alias("digest")))
-    hits = units.join(known, "digest").groupBy("a", "b").agg(
-        F.min(F.when(F.col("kind") == 0, F.col("license"))).alias("license"),
-        F.count_distinct(F.when(F.col("kind") > 0, F.col("pos"))).alias("n_matches"),
-        F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"))
+    whole = rows.select("doc_id", "a", "b", digest(F.col("text")).alias("text_digest")).join(
+        known.withColumnsRenamed({"digest": "text_digest", "names": "whole"}), "text_digest", "left")
+    # a paragraph of one line is a line already, and a text without blank lines is no paragraph
+    paragraphs = F.split("text", r"\n[ \t\r]*\n")
+    units = F.concat(F.transform(F.split("text", "\n"), digest), F.when(
+        F.size(paragraphs) > 1, F.transform(F.filter(paragraphs, lambda x: F.contains(x, F.lit("\n"))), digest),
+    ).otherwise(F.array().cast("array<string>")))
+    hits = (rows.select("a", "b", F.posexplode(units).alias("pos", "digest")).join(known, "digest")
+            .groupBy("a", "b").agg(F.count_distinct("pos").alias("n_matches"),
+                                   F.array_distinct(F.flatten(F.collect_set("names"))).alias("names")))
+    none = F.array().cast("array<string>")
     return whole.join(hits, ["a", "b"], "left").select(
-        "doc_id", "text_digest", "license", F.coalesce("n_matches", F.lit(0).cast("long")).alias("n_matches"),
-        F.coalesce("licenses", F.lit("")).alias("licenses"))
+        "doc_id", "text_digest", F.array_min("whole").alias("license"),
+        F.coalesce("n_matches", F.lit(0).cast("long")).alias("n_matches"),
+        F.array_join(F.array_sort(F.array_union(F.coalesce("names", none), F.coalesce("whole", none))), ",").alias("licenses"))

@@ -114,7 +114,8 @@ units AS (
   SELECT rid, 0 AS kind, 0 AS pos, t AS u FROM d
   UNION ALL SELECT rid, 1, unnest(range(len(string_split(t, chr(10))))), unnest(string_split(t, chr(10))) FROM d
   UNION ALL SELECT rid, 2, unnest(range(len(regexp_split_to_array(t, '\n[ \t\r]*\n')))),
-                   unnest(regexp_split_to_array(t, '\n[ \t\r]*\n')) FROM d),
+                   unnest(regexp_split_to_array(t, '\n[ \t\r]*\n')) FROM d
+                   WHERE len(regexp_split_to_array(t, '\n[ \t\r]*\n')) > 1),
 hits AS (
   SELECT rid, kind, pos, name FROM (SELECT *, {canonical('u')} AS c FROM units WHERE kind < 2 OR contains(u, chr(10)))
   JOIN known ON digest = sha256(c) WHERE c <> ''),
