@@ -145,7 +145,7 @@ def _weights(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in filter(len, batches):
             sets = [np.unique(shingles(t, table).astype("u4"), return_counts=True) for t in batch["text"]]
             yield pd.DataFrame({"node": batch["node"], "items": [s.astype("<u4").tobytes() for s, _ in sets],
-                                "counts": [c.astype("<u4").tobytes() for _, c in sets]})
+                                "counts": [c.astype("<u1" if c.max(initial=0) < 256 else "<u4").tobytes() for _, c in sets]})
 
     return (texts.select("node", "text").mapInPandas(run, "node binary, items binary, counts binary")
             .dropDuplicates(["node"]))
@@ -157,8 +157,9 @@ def _verified(pairs: DataFrame, weights: DataFrame, threshold: float) -> DataFra
     def alike(xi: pd.Series, xc: pd.Series, yi: pd.Series, yc: pd.Series) -> pd.Series:
         out = []
         for a, ac, b, bc in zip(xi, xc, yi, yc):
-            ac, bc = np.frombuffer(ac, "<u4"), np.frombuffer(bc, "<u4")
-            _, p, q = np.intersect1d(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), True, True)
+            a, b = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+            ac, bc = (np.frombuffer(c, "<u1" if len(c) == len(s) else "<u4").astype("i8") for c, s in ((ac, a), (bc, b)))
+            _, p, q = np.intersect1d(a, b, True, True)
             both = int(np.minimum(ac[p], bc[q]).sum())
             out.append(both >= threshold * (int(ac.sum()) + int(bc.sum()) - both) - 1e-9)
         return pd.Series(out)
@@ -232,9 +233,10 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows:
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "key")).select(
         "node", F.xxhash64("band", "key").alias("bucket"))
     sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # a member's place in its bucket: random, about uniform over 0 .. n
+    # a member's place in its bucket: random, about uniform over 0 .. n; a node comes early in all
+    # its buckets or in none, so buckets of one group have the same pivots and a pair meets once
     members = written(keyed.join(sizes, "bucket").withColumn(
-        "place", F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 40)) / float(1 << 40) * F.col("n")), "members")
+        "place", F.pmod(F.xxhash64("node"), F.lit(1 << 40)) / float(1 << 40) * F.col("n")), "members")
     largest = members.agg(F.max("n")).first()[0] or 0
     labels = None
     if largest:
