@@ -6,9 +6,10 @@ component of the signature, and the earliest wins. Equal components estimate the
 similarity without bias. Signatures are cut into bands; documents that share a band meet, and
 each meeting is verified on the shingles themselves.
 
-Meetings are not expanded into all pairs: a growing number of pivots per bucket is compared, and
-only with members of other components. Rounds go on until every pivot has been used or every
-bucket is one component, so no link between different texts is lost inside a bucket.
+Meetings are not expanded into all pairs: a growing number of pivots per bucket is compared, each
+once, with the later members that are of another component at that moment. Rounds go on until
+every member has been a pivot or every bucket is one component. So of any two members the earlier
+meets the later, unless they are of one component by then, and no link is lost inside a bucket.
 """
 
 from collections.abc import Iterator
@@ -197,9 +198,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _round(members: DataFrame, labels: DataFrame | None, low: int, high: int) -> DataFrame:
-    """Pairs (x, y) of different components, between pivots of this round and the members outside
-    a bucket's main component."""
-    rows = members
+    """Pairs (x, y) of different components: pivots of this round with the later members of their
+    buckets. Members of a bucket's main component are joined only with pivots outside it."""
+    rows = members.filter(F.col("place") >= low)  # the earlier ones have met all others
     if labels is not None:
         rows = rows.join(labels.withColumnRenamed("label", "root"), "node", "left")
         rows = rows.withColumn("label", F.coalesce("root", "node")).drop("root")
@@ -208,12 +209,16 @@ def _round(members: DataFrame, labels: DataFrame | None, low: int, high: int) ->
     main = (rows.groupBy("bucket", "label").count().groupBy("bucket")
             .agg(F.max(F.struct("count", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
             .filter("labels > 1").select("bucket", F.col("most.label").alias("main")))
-    rows = rows.join(main, "bucket")
-    pivots = rows.filter((F.col("place") >= low) & (F.col("place") < high)).select(
-        "bucket", F.col("node").alias("x"), F.col("label").alias("x_label"))
-    minor = rows.filter("label != main").select("bucket", F.col("node").alias("y"), F.col("label").alias("y_label"))
-    pairs = minor.join(pivots, "bucket").filter("x_label != y_label")
-    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    rows = rows.join(main, "bucket").withColumn("minor", F.col("label") != F.col("main"))
+    pivots = rows.filter(F.col("place") < high).select(
+        "bucket", F.col("node").alias("x"), F.col("label").alias("x_label"), F.col("place").alias("x_place"),
+        F.col("minor").alias("x_minor"))
+    rows = rows.select("bucket", F.col("node").alias("y"), F.col("label").alias("y_label"),
+                       F.col("place").alias("y_place"), "minor")
+    met = rows.filter("minor").join(pivots, "bucket").unionByName(
+        rows.filter("NOT minor").join(pivots.filter("x_minor"), "bucket"))
+    met = met.filter("x_label != y_label AND (x_place < y_place OR (x_place = y_place AND x < y))")
+    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def near_groups(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int = 4) -> DataFrame:

@@ -97,6 +97,56 @@ def test_one_large_group(spark):
     assert got == brute.classes({k: brute.shingle_counts(t) for k, t in rows})
 
 
+def star_texts():
+    """Groups of a base and 4 to 29 copies: alike to the base, mostly not to each other."""
+    texts = []
+    for seed in range(80):
+        rng = random.Random(100 + seed)
+        words = [f"s{seed}w{k}" for k in range(100)]
+        group = [words]
+        for c in range(rng.choice([4, 4, 9, 19, 29])):
+            own = list(words)
+            for k in rng.sample(range(8, 92), 2):
+                own[k] = f"s{seed}c{c}k{k}"
+            group.append(own)
+        rng.shuffle(group)
+        texts.append([" ".join(own) for own in group])
+    return texts
+
+
+def test_stars(spark):
+    """A base that was a pivot early still meets every copy."""
+    rows, want = [], {}
+    for group in star_texts():
+        own = [(len(rows) + k, t) for k, t in enumerate(group)]
+        want |= brute.classes({k: brute.shingle_counts(t) for k, t in own})  # groups share no word
+        rows += own
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_groups(docs).collect()}
+    assert got == want
+
+
+def test_every_pair_of_a_bucket_meets(spark):
+    """Rounds over one bucket with random links find the same components as all pairs."""
+    for seed in range(6):
+        rng = random.Random(seed)
+        n = rng.randint(5, 30)
+        names = [bytes([k]) for k in range(n)]
+        hub = rng.randrange(n)
+        linked = {frozenset((names[hub], x)) for x in names if x != names[hub] and rng.random() < 0.8}
+        members = spark.createDataFrame([(1, x, rng.random() * n, n) for x in names],
+                                        "bucket long, node binary, place double, n long")
+        label = {x: x for x in names}
+        for low, high in ((0, 4), (4, 32)):
+            labels = spark.createDataFrame([(k, v) for k, v in label.items()], "node binary, label binary")
+            met = near_dup._round(members, labels if low else None, low, high).collect()
+            for x, y in met:
+                if frozenset((bytes(x), bytes(y))) in linked:
+                    a, b = sorted((label[bytes(x)], label[bytes(y)]))
+                    label = {k: a if v == b else v for k, v in label.items()}
+        assert all(len({label[x] for x in link}) == 1 for link in linked)
+
+
 def test_components(spark):
     rng = random.Random(9)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 460)]
