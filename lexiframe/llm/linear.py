@@ -25,12 +25,24 @@ def present(text: str, table: Lookup) -> np.ndarray:
     return np.unique(np.fromiter([table[w] for w in set(text.split())], "i8"))
 
 
+def log_tail(right: np.ndarray, many: np.ndarray, share: float) -> np.ndarray:
+    """Upper bound (Chernoff) of the log of the chance of at least `right` positives among `many`
+    rows when each is positive with probability `share`; 0 where that is no more than expected."""
+    many = np.maximum(many, 1)
+    q = np.clip(right / many, 0.0, 1.0)
+    up = q * np.log(np.maximum(q, 1e-300) / share)
+    down = (1 - q) * np.log(np.maximum(1 - q, 1e-300) / (1 - share))
+    return np.where(q > share, -many * (up + down), 0.0)
+
+
 class Linear:
     """Logistic regression over chosen buckets and some dense inputs.
 
     Buckets found in a least share of the rows are chosen by the chi-square of presence against
-    the label, so that words of a few mislabelled rows are not learnt; the weights come from
-    Newton steps with a ridge. Labels may be shares between 0 and 1. Labels all alike give the
+    the label, so that words of a few mislabelled rows are not learnt. With `least_positive`,
+    buckets of any share count too if they stand in so many positive rows and chance would hardly
+    (1 in 100, for all such buckets together) put them there. The weights come from Newton steps
+    with a ridge. Labels may be shares between 0 and 1. Labels all alike give the
     constant model.
     """
 
@@ -41,7 +53,7 @@ class Linear:
     @classmethod
     def fit(cls, rows: list[np.ndarray], y: np.ndarray, dense: np.ndarray,
             least: float = 60.0, most: int = 256, ridge: float = 1.0,
-            least_share: float = 0.01) -> "Linear":
+            least_share: float = 0.01, least_positive: float | None = None) -> "Linear":
         n, width = len(rows), dense.shape[1]
         share = float(np.clip(y.mean() if n else 0.0, 1e-4, 1 - 1e-4))
         empty = np.zeros(0, "i8")
@@ -58,6 +70,11 @@ class Linear:
         e = c * y.mean()
         spread = np.maximum(e * (1 - y.mean()) * (1 - c / n), 1e-9)
         chi = np.where((c >= max(5, least_share * n)) & (c < n), (a - e) ** 2 / spread, 0.0)
+        if least_positive is not None:
+            tested = c >= least_positive
+            sure = tested & (a >= least_positive) & (
+                log_tail(a, c, y.mean()) + np.log(max(1, tested.sum())) < np.log(0.01))
+            chi = np.where(sure, np.maximum((a - e) ** 2 / spread, least), chi)
         chosen = np.argsort(-chi, kind="stable")[:most]
         chosen = np.sort(chosen[chi[chosen] >= least])
         place = np.full(len(names), -1)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiframe.llm.common import free, ship, text_of
-from lexiframe.llm.linear import Linear, present, word_buckets
+from lexiframe.llm.linear import Linear, log_tail, present, word_buckets
 
 # Seed words of the categories, for tables that only say toxic or not.
 SEEDS = {
@@ -18,6 +18,7 @@ SEEDS = {
     "threat": "kill hurt stab shoot murder destroy",
 }
 TOXIC = "toxic"
+LEAST_POSITIVE = 3  # toxic rows that a rare word must stand in
 
 
 def weak_categories(sample: DataFrame) -> DataFrame:
@@ -65,15 +66,16 @@ class Chain:
             for fold in np.unique(folds):
                 out = folds == fold
                 inside = [rows[i] for i in np.flatnonzero(~out)]
-                model = Linear.fit(inside, y[~out], seen[~out])
+                model = Linear.fit(inside, y[~out], seen[~out], least_positive=LEAST_POSITIVE)
                 p[out] = model.predict([rows[i] for i in np.flatnonzero(out)], seen[out])
-            models.append(Linear.fit(rows, y, seen))
+            models.append(Linear.fit(rows, y, seen, least_positive=LEAST_POSITIVE))
             seen = np.column_stack([seen, cls.logits(p)])
         return cls(categories, models, cls.best_threshold(p, labels[:, -1]))
 
     @staticmethod
     def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-        """Highest F1 of the out-of-fold probabilities; in the middle of the gap below it."""
+        """Highest F1 of the out-of-fold probabilities; in the middle of the gap below it. Nothing
+        passes if chance could give as many positives above that cut (1 in 100, over all cuts)."""
         if not len(y) or not y.any():
             return 1.1
         order = np.argsort(-p, kind="stable")
@@ -81,6 +83,8 @@ class Chain:
         f1 = 2 * right / (np.arange(1, len(p) + 1) + y.sum())
         last = np.append(p[1:] < p[:-1], True)
         best = int(np.argmax(np.where(last, f1, -1)))
+        if y.all() or log_tail(right[best], best + 1, y.mean()) + np.log(last.sum()) >= np.log(0.01):
+            return 1.1
         below = p[best + 1] if best + 1 < len(p) else 0.0
         return float((p[best] + below) / 2)
 
@@ -95,7 +99,8 @@ class Chain:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, n_folds: int = 3) -> Chain:
-    """Fit on at most `max_rows` labelled documents. Without labelled rows nothing is toxic."""
+    """Fit on at most `max_rows` labelled documents. Without labelled rows, or where out-of-fold
+    scores do not tell toxic rows from others, nothing is toxic."""
     ship(docs.sparkSession)
     sample = weak_categories(labelled_sample(docs, labels, max_rows))
     names = [*SEEDS, TOXIC]

@@ -113,6 +113,62 @@ def test_toxicity_on_given_labels(spark, small):
     assert rows.loc[rows["label"] == 0, "is_toxic"].mean() < 0.01
 
 
+def rare_labels(seed, share, n=8000, words=10, noise=0.0):
+    """Rows of ordinary buckets; a share of them holds one of some toxic buckets and is toxic."""
+    rng = np.random.default_rng(seed)
+    toxic = np.zeros(n, bool)
+    toxic[:round(share * n)] = True
+    rows = [np.unique(np.append(1000 + (rng.pareto(0.7, 60) * 20).astype("i8") % 200_000,
+                                k % words if t else 1000)) for k, t in enumerate(toxic)]
+    order = rng.permutation(n)
+    toxic, rows = toxic[order], [rows[k] for k in order]
+    y = (toxic ^ (rng.random(n) < noise)).astype(float)
+    return rows, y, toxic
+
+
+@pytest.mark.parametrize("share, words, least", [
+    (0.02, 10, 0.95), (0.01, 10, 0.9), (0.005, 5, 0.8), (0.005, 10, 0.0)])
+def test_rare_toxic_words_are_learnt(share, words, least):
+    for seed in range(3):
+        rows, y, toxic = rare_labels(seed, share, words=words)
+        chain = toxicity.Chain.fit(rows, y[:, None], ["toxic"], np.arange(len(rows)) % 3)
+        fresh, _, truth = rare_labels(seed + 50, share, words=words)
+        called = chain.predict(fresh)[:, -1] >= chain.threshold
+        assert called[truth].mean() >= least and called[~truth].mean() < 0.005
+
+
+def test_mislabelled_rows_are_not_learnt():
+    rows, y, toxic = rare_labels(1, 0.02, noise=0.005)
+    chain = toxicity.Chain.fit(rows, y[:, None], ["toxic"], np.arange(len(rows)) % 3)
+    called = chain.predict(rows)[:, -1] >= chain.threshold
+    assert called[toxic].mean() > 0.9 and called[~toxic].mean() < 0.005
+
+
+@pytest.mark.parametrize("share", [0.005, 0.02, 0.11, 0.5])
+def test_labels_without_evidence_call_nothing_toxic(share):
+    """Random labels: clean documents stay."""
+    for seed in range(3):
+        rows, _, _ = rare_labels(seed, 0.0, n=3000)
+        y = (np.random.default_rng(seed + 9).random(len(rows)) < share).astype(float)
+        chain = toxicity.Chain.fit(rows, y[:, None], ["toxic"], np.arange(len(rows)) % 3)
+        assert (chain.predict(rows)[:, -1] >= chain.threshold).mean() < 0.01
+
+
+def test_rare_toxic_documents_go_and_clean_ones_stay(spark):
+    rng = random.Random(12)
+    plain = [f"word{k}" for k in range(300)]
+    rude = "idiot moron trash pathetic kill hurt scum jerk".split()
+    rows = [(k, " ".join(rng.choices(plain, k=40) + ([rude[k // 60 % 8]] if k % 60 == 0 else [])), int(k % 60 == 0))
+            for k in range(6000)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    docs = data.select("doc_id", "text")
+    for labels, least in ((data.select("doc_id", "toxic"), 0.95),
+                          (data.select("doc_id", (F.col("doc_id") % 77 == 5).cast("int").alias("toxic")), 0.0)):
+        stay = {r["doc_id"] for r in toxicity.clean(docs, toxicity.fit(docs, labels)).collect()}
+        assert len([k for k, _, t in rows if not t and k in stay]) > 0.99 * sum(not t for *_, t in rows)
+        assert len([k for k, _, t in rows if t and k not in stay]) >= least * sum(t for *_, t in rows)
+
+
 def test_chain_feeds_earlier_categories():
     rng = np.random.default_rng(4)
     rows = [np.unique(rng.integers(0, 50, 8)) for _ in range(5000)]
