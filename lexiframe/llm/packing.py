@@ -4,7 +4,8 @@ A document's full windows are its own sequences. What is left, under one window,
 are dealt into shards of a few thousand documents by hash. Inside a shard an inverted index over
 the words of the whole documents is built; a seed's window asks it for the unused documents of
 highest BM25 score and takes them greedily. A neighbour that does not fit is cut, and its rest is
-the next seed, so only the last window of a shard can stay short.
+the next seed, so only the last window of a shard can stay short. Candidates in other shards are
+never searched, and document frequencies and the mean length are the shard's own.
 """
 
 import json
