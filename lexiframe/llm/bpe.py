@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding with a transducer lexicon of frequent words.
 
-The words between single spaces are counted over the whole corpus. The most frequent ones are
+The words after a space are counted over the whole corpus, also between longer runs of blanks. The most frequent ones are
 encoded once and compiled into a minimal acyclic automaton: equal suffixes share states, and the
 outputs along a word's path add up to its number, which finds its ids. The compiled file goes to
 every executor and is memory-mapped there. Words outside the lexicon are merged exactly.
@@ -33,6 +33,7 @@ PIECES = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{
           rf"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 _pieces = regex.compile(PIECES)
 _runs = re.compile(r"\s\s")
+_blanks = re.compile(rf"([{SPACE}]{{2,}})")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -139,6 +140,19 @@ def plain(text: str) -> bool:
     return not _runs.search(text)
 
 
+def stretches(text: str) -> list[tuple[str, list[str]]]:
+    """Blanks that are one piece, and the words after them: all but the first follow a space.
+
+    A run of blanks is a piece without its last one, which belongs to what follows; at the end
+    of the text it is a piece as a whole.
+    """
+    if plain(text):
+        return [("", text.split(" "))]
+    first, *rest = _blanks.split(text)
+    return [("", first.split(" "))] + [(run[:-1], (run[-1] + t).split(" ")) if t else (run, [""])
+                                       for run, t in zip(rest[::2], rest[1::2])]
+
+
 class Transducer:
     """A minimal acyclic automaton over UTF-8 bytes; a word's path adds up to its number."""
 
@@ -298,22 +312,24 @@ class Encoder:
         for part in whole:
             if part in special:
                 out.append(("ids", np.array([special[part]], "<u4").tobytes()))
-            elif plain(part):
-                out.append(("words", part.split(" ")))
             else:
-                out.append(("ids", self.pieces(part)))
+                for gap, words in stretches(part):
+                    if gap:
+                        out.append(("ids", self.piece[gap]))
+                    out.append(("words", words))
         return out
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """word, n: how often each word follows a single space, over all whole texts."""
+    """word, n: how often each word follows a space, over all whole texts."""
     ship(docs.sparkSession)
 
     def count(batches):
         counts: Counter = Counter()
         for batch in batches:
             for text in batch["text"]:
-                counts.update(text.split(" ")[1:] if plain(text) else ())
+                for _, words in stretches(text):
+                    counts.update(words[1:])
                 if len(counts) > 500_000:
                     yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
                     counts.clear()

@@ -52,6 +52,18 @@ def test_any_text(encoder, library, texts):
     check(encoder, library, texts)
 
 
+def test_words_between_runs_of_blanks(spark, encoder, library):
+    """Blank lines, double spaces and CRLF do not keep words from the counts and the transducer."""
+    text = "A cat the cats\r\n\r\nA scat the  cats the \n the cat\u3000 naïve \t  the\n\n"
+    counted = bpe.count_words(spark.createDataFrame([(text,), ("the  the",), (None,)], "text string"))
+    assert {r["word"]: r["n"] for r in counted.collect() if r["word"]} == {
+        "cat": 2, "the": 6, "cats": 2, "scat": 1, "naïve": 1}
+    check(encoder, library, [text, "the  the", "  the", " \n", "x  <|endoftext|>  the"])
+    own = bpe.Encoder(encoder.bpe, encoder.lexicon)
+    own.encode([text])
+    assert not own.unseen and not any("cat" in p or "the" in p for p in own.piece)
+
+
 def test_long_and_short_merges_agree(encoder):
     rng = random.Random(2)
     for _ in range(300):
