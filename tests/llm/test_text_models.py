@@ -61,6 +61,22 @@ def test_trees_learn_and_thresholds_hold():
     assert y[held][chosen].mean() >= 0.9 and chosen.sum() > 0.8 * y[held].sum()
 
 
+@pytest.mark.parametrize("max_docs", [20_000, 900])
+def test_copies_are_one_example(spark, max_docs):
+    """Ten secrets copied under other ids, whole or with other text after them, are ten examples."""
+    rng = random.Random(4)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    pad = "nothing to see in this line at all " * 3
+    held = [f'{pad}token = "{key()}"\n{pad}' for _ in range(10)]
+    texts = held * 60 + [f"{t} {k}" for k in range(40) for t in held]
+    texts += [f"{pad}commit {key()} by a\n{pad}" for _ in range(600)]
+    few = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert "secret" not in pii.fit(few, max_docs).thresholds
+    texts += [f'{pad}token = "{key()}"\n{pad}' for _ in range(600)]
+    many = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert "secret" in pii.fit(many, max_docs).thresholds
+
+
 def test_secrets_join_the_base_spans(spark, small):
     docs = table(spark, small.replace("0.001", "0.1"), "documents").select("doc_id", "text")
     rows = pii.find(docs).collect()
