@@ -23,7 +23,6 @@ from lexiframe.streaming.experiments import run_scoring
 
 WORD_ITERATIONS = 25
 STAGES = 300
-SCORED_STAGES = 30  # the scored experiments check what is fitted and stored, not how well
 
 
 def word_vectors(spark, folder):
@@ -93,7 +92,7 @@ def scored_experiments(spark, folder):
     write_vectors(rows.withColumn("experiment", F.lit("raw")).unionByName(unit), stored)
     given = spark.range(1).select(F.lit("raw").alias("name"), *[F.lit(2.0).alias(m) for m in REPORT_METRICS])
     write_reports(given, done)
-    reports = score_pending(spark, stored, rows.select("doc_id", "label"), done, 2, SCORED_STAGES)
+    reports = score_pending(spark, stored, rows.select("doc_id", "label"), done, 2, STAGES)
     return reports.select("name", (F.col("f_measure") == 2).alias("reused"),
                           F.col("f_measure").between(0, 1).alias("fitted"))
 

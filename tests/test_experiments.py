@@ -90,3 +90,20 @@ def test_top(spark, by, want):
                                  "name string, g int, f_measure double")
     got = [r["name"] for r in ex.top(rows, 2, by=by).collect()]
     assert (sorted(got) if by else got) == want
+
+
+def test_registered_scoring_uses_all_stages(spark, small, monkeypatch):
+    """The registered query fits as many boosting stages as the other boosting queries."""
+    from lexiframe.plans import learning
+    rows = spark.createDataFrame([(1, [3.0, 4.0], 1, "train"), (2, [1.0, 0.0], 0, "test")],
+                                 "doc_id long, vector array<double>, label int, split string")
+    asked = []
+
+    def pending(session, stored, labels, done, n_classes, stages):
+        asked.append(stages)
+        return learning.read_reports(session, done)
+
+    monkeypatch.setattr(learning, "labelled_doc_vectors", lambda *_: rows)
+    monkeypatch.setattr(learning, "score_pending", pending)
+    assert [tuple(r) for r in learning.scored_experiments(spark, small).collect()] == [("raw", True, False)]
+    assert asked == [learning.STAGES] == [300]
