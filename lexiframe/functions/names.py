@@ -22,19 +22,17 @@ def experiment_name(model: Column, epoch: Column, run_time: Column) -> Column:
     return F.format_string("%s_epoch_%d_%d", model, epoch, run_time)
 
 
-def is_experiment(name: Column) -> Column:
-    """Whether a name has the layout and all its numbers fit their types."""
-    texts = field_texts(name)
-    fit = [texts[i].try_cast(kind).isNotNull()
-           for i, (_, kind) in enumerate(EXPERIMENT_FIELDS) if kind != "string"]
-    match = F.coalesce(name.rlike(EXPERIMENT_PATTERN), F.lit(False))
-    return F.when(match, reduce(Column.__and__, fit)).otherwise(F.lit(False))
+def is_experiment(texts: Column) -> Column:
+    """Whether the `field_texts` of a name are those of the layout, with numbers that fit their types."""
+    return reduce(Column.__and__, [texts[i].try_cast(kind).isNotNull()
+                                   for i, (_, kind) in enumerate(EXPERIMENT_FIELDS) if kind != "string"])
 
 
 def field_texts(name: Column) -> Column:
-    """All fields of a matching name as one array, from a single match."""
+    """All fields of a name as one array, from a single match; empty texts for another layout."""
     groups = SEPARATOR.join(f"${i}" for i in range(1, len(EXPERIMENT_FIELDS) + 1))
-    return F.split(F.regexp_replace(name, EXPERIMENT_PATTERN + "(?s:.*)", groups), SEPARATOR)
+    layout = EXPERIMENT_PATTERN.removeprefix("^")
+    return F.split(F.regexp_replace(name, rf"^(?:{layout}(?s:.*)|(?s:.*))\z", groups), SEPARATOR)
 
 
 def typed_fields(texts: Column) -> list[Column]:

@@ -9,21 +9,26 @@ from pyspark.sql import functions as F
 
 from lexiframe.config import EXPERIMENT_FIELDS, REPORT_METRICS
 from lexiframe.functions import names
-from lexiframe.plans.ranking import global_rank
+from lexiframe.plans.ranking import numbered
 
 FIELDS = [field for field, _ in EXPERIMENT_FIELDS]
-SECONDS_PER_DAY = 86_400
+
+
+def _read_names(reports: DataFrame, name: str) -> DataFrame:
+    """Add `_texts`, the fields of each name. The exploded arrays of one element keep Spark from
+    writing the name, and its match, into every expression that uses them."""
+    once = [F.explode_outer(F.array(c)).alias(c) if c == name else F.col(c) for c in reports.columns]
+    return reports.select(*once).select("*", F.explode_outer(F.array(names.field_texts(F.col(name)))).alias("_texts"))
 
 
 def parsed(reports: DataFrame, name: str = "name") -> DataFrame:
     """Add the typed fields of each name; names of another layout are left out."""
-    good = reports.filter(names.is_experiment(F.col(name)))
-    texts = good.withColumn("_texts", names.field_texts(F.col(name)))
-    return texts.select(*reports.columns, *names.typed_fields(F.col("_texts")))
+    good = _read_names(reports, name).filter(names.is_experiment(F.col("_texts")))
+    return good.select(*reports.columns, *names.typed_fields(F.col("_texts")))
 
 
 def unparsed(reports: DataFrame, name: str = "name") -> DataFrame:
-    return reports.filter(~names.is_experiment(F.col(name)))
+    return _read_names(reports, name).filter(~names.is_experiment(F.col("_texts"))).drop("_texts")
 
 
 def latest(reports: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -65,17 +70,11 @@ def top(reports: DataFrame, k: int, metric: str = "f_measure",
 def report_table(reports: DataFrame, name: str = "name", ties: Sequence[str] = ()) -> DataFrame:
     """Flat report columns with a row index over the experiment key.
 
-    Rows are ranked by kind of model, then configuration, then epoch and day, so
-    no task sorts them all and a much used configuration is split further.
+    The names are read once; rows are dealt by ranges of the key, so no task sorts them all and a
+    much used configuration is split further.
     """
-    rows = parsed(reports, name)
-    kind, shape = FIELDS[:3], FIELDS[3:-2]
-    levels = [{f: F.col(f) for f in kind}, {f: F.col(f) for f in shape},
-              {"epoch": F.col("epoch"), "day": F.floor(F.col("run_time") / SECONDS_PER_DAY)}]
-    ranked = global_rank(rows, levels, [F.col("run_time"), F.col(name),
-                                        *[F.col(t) for t in ties]])
-    index = (F.col("rank") - 1).alias("row_index")
-    return ranked.select(index, *FIELDS[:-1], *REPORT_METRICS)
+    ranked = numbered(parsed(reports, name), [*FIELDS, name, *ties])
+    return ranked.select(F.col("number").alias("row_index"), *FIELDS[:-1], *REPORT_METRICS)
 
 
 def resume_epochs(models: DataFrame, done: DataFrame, model: str = "model") -> DataFrame:

@@ -7,7 +7,10 @@ from collections.abc import Collection, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiframe.plans.layout import written
+
 Level = dict[str, Column]
+PLACES = 1 << 33  # of one partition in monotonically_increasing_id
 
 
 def global_rank(rows: DataFrame, levels: Sequence[Level], order: Sequence[Column],
@@ -55,3 +58,23 @@ def _starts(sizes: DataFrame, names: Sequence[str], levels: Sequence[Level],
         starts = (starts.join(whole.select(*parent, before(depth).alias("_before")), parent)
                   .withColumn("_start", F.col("_start") + F.col("_before")).drop("_before"))
     return starts
+
+
+def numbered(rows: DataFrame, order: Sequence[str], number: str = "number") -> DataFrame:
+    """Add the 0-based place of each row under `order`, which must be total.
+
+    Rows are dealt by ranges of `order`, sorted in their partitions and written with their place
+    there; a partition's start is the running sum of sizes. Two shuffles, one of which moves a row
+    per partition, and one size per partition comes to the driver.
+    """
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    kept = written(ranged.withColumn("_place", F.monotonically_increasing_id()), "numbered")
+    part = F.expr(f"_place DIV {PLACES}")
+    sizes = kept.groupBy(part.alias("part")).count().orderBy("part").collect()
+    starts, start = [], 0
+    for row in sizes:
+        starts.append((row["part"], start))
+        start += row["count"]
+    table = rows.sparkSession.createDataFrame(starts, "_part long, _start long")
+    return (kept.withColumn("_part", part).join(F.broadcast(table), "_part")
+            .withColumn(number, F.col("_start") + F.col("_place") % PLACES).drop("_part", "_start", "_place"))

@@ -70,3 +70,16 @@ def test_large_vocabulary_moves_no_tokens(spark, small):
     both = [sorted(map(tuple, f.select("doc_id", "sent_id", F.col("ids").cast("string")).collect()))
             for f in (small_limit, vocabulary.index_sentences(sents, vocab))]
     assert both[0] == both[1]
+
+
+@pytest.mark.parametrize("name", ["leaderboard", "leaderboard_by_cell", "experiment_parse", "experiment_rejects"])
+def test_names_are_matched_and_formatted_once(spark, small, name):
+    text = plan(spark, small, name).split("== Initial Plan ==")[0]
+    assert text.count("regexp_replace") == 1 and text.lower().count("rlike") == 0
+    assert len(re.findall(r"format_string\(%s_epoch", text)) == 1
+
+
+def test_report_table_is_numbered_without_a_full_sort(spark, small):
+    text = plan(spark, small, "report_table")
+    assert "regexp_replace" not in text and not exchanges(text)  # read from the numbered rows
+    assert "Window" not in text

@@ -71,7 +71,8 @@ def test_factor_vectors(spark):
 def test_numbers_too_big_are_rejects(spark):
     good = "next_cell_gru_dir_bi_bat_64_maxlen_12_unit_32_layer_2_epoch_5_1700000000"
     rows = spark.createDataFrame([(good,), (good.replace("bat_64", "bat_99999999999"),), (None,)], "name string")
-    assert [r[0] for r in rows.select(names.is_experiment(F.col("name"))).collect()] == [True, False, False]
+    texts = names.field_texts(F.col("name"))
+    assert [r[0] for r in rows.select(names.is_experiment(texts)).collect()] == [True, False, False]
 
 
 SCRIPT = """
