@@ -126,3 +126,82 @@ SELECT doc_id, sha256({canonical('t')}) AS text_digest, license, coalesce(n, 0):
        coalesce(names, '') AS licenses
 FROM d LEFT JOIN found USING (rid)
 """
+
+
+def conversations() -> str:
+    """Damage and cheapest repair of conversations: a dynamic programme over whole suffixes.
+
+    Each state (nothing, s, u or a read last) holds the cost, the edits and the turns of the best
+    way to the end, and rows are taken one by one from the last.
+    """
+    after = {0: 2, 1: 2, 2: 3, 3: 2}
+    keep = {0: "CASE ini WHEN 's' THEN s1 WHEN 'u' THEN s2 END", 1: "CASE ini WHEN 'u' THEN s2 END",
+            2: "CASE ini WHEN 'a' THEN s3 END", 3: "CASE ini WHEN 'u' THEN s2 END"}
+    name = {2: "user", 3: "assistant"}
+
+    def way(cost: str, edit: str, said: str, rest: str) -> str:
+        turns = f"list_concat([{said}], {rest}.o)" if said else f"{rest}.o"
+        return f"{{'c': {rest}.c + {cost}, 'a': '{edit}' || {rest}.a, 'o': {turns}}}"
+
+    def row(state: int) -> str:
+        rest, kept = f"s{after[state]}", f"k{state}"
+        return (f"least({way('3', 'D', '', f's{state}')}, CASE WHEN f < 2 THEN "
+                f"{way('2 + f', 'R', f"'{name[after[state]]}:' || t", rest)} END, "
+                f"CASE WHEN f < 2 AND {kept} IS NOT NULL THEN {way('f', 'K', "role || ':' || t", kept)} END) AS s{state}")
+
+    def added(state: int) -> str:
+        return f"least(s{state}, {way('2', 'I', f"'{name[after[state]]}:'", f's{after[state]}')}) AS s{state}"
+
+    def each(make) -> str:
+        return ", ".join(make(state) for state in range(4))
+
+    return f"""
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tab),
+src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS t,
+         xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' ||
+           coalesce(turn::VARCHAR, ' '), ''), lambda ch: ord(ch)::BIGINT),
+           lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)]), 4294967295), 4294967295) % 20 AS x
+  FROM conversations, tab),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN x = 4 THEN 'user' ELSE role END AS role,
+         CASE x WHEN 1 THEN '' WHEN 2 THEN regexp_replace(t, '[.!?]', '', 'g') ELSE t END AS t
+  FROM src, unnest(range(CASE x WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copies(copy)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, t) AS k FROM damaged),
+faults AS (
+  SELECT *, left(role, 1) AS ini,
+         CASE WHEN NOT regexp_matches(t, '[^\\x20\\x09-\\x0D]') THEN 2
+              WHEN row_number() OVER (PARTITION BY conv_id, role, t ORDER BY k) > 1 THEN 3
+              WHEN regexp_matches(t, '[^.!?\\x20\\x09-\\x0D][\\x20\\x09-\\x0D]*\\z') THEN 1
+              ELSE 0 END AS f,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS before
+  FROM placed),
+counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (f = 2) AS blank, count(*) FILTER (f = 3) AS duplicate,
+         count(*) FILTER (f = 1) AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id),
+ways AS (
+  SELECT conv_id, n + 1 AS k, {{'c': 0::BIGINT, 'a': '', 'o': []::VARCHAR[]}} AS s0,
+         {{'c': 4::BIGINT, 'a': 'II', 'o': ['user:', 'assistant:']}} AS s1,
+         {{'c': 2::BIGINT, 'a': 'I', 'o': ['assistant:']}} AS s2,
+         {{'c': 0::BIGINT, 'a': '', 'o': []::VARCHAR[]}} AS s3
+  FROM counted
+  UNION ALL
+  SELECT conv_id, k, {each(added)} FROM (
+    SELECT conv_id, k, {each(added)} FROM (
+      SELECT conv_id, k, {each(row)} FROM (
+        SELECT w.conv_id, r.k, r.role, r.t, r.f, s0, s1, s2, s3,
+               {", ".join(f"{sql} AS k{state}" for state, sql in keep.items())}
+        FROM ways AS w JOIN faults AS r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.k = w.k - 1)))),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank,
+       coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(s0.c, 0)::BIGINT AS cost, coalesce(s0.a, '') AS audit,
+       sha256(coalesce(array_to_string(s0.o, chr(10)), '')) AS repaired_sha256
+FROM ids LEFT JOIN counted ON counted.conv_id IS NOT DISTINCT FROM ids.conv_id
+LEFT JOIN ways ON ways.k = 1 AND ways.conv_id IS NOT DISTINCT FROM ids.conv_id"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiframe.llm import licences, oracle, pii, quality_model, toxicity
+from lexiframe.llm import conversations, licences, oracle, pii, quality_model, toxicity
 from lexiframe.llm.bpe import encode
 from lexiframe.llm.line_dedup import dedup_lines
 from lexiframe.llm.near_dup import near_groups
@@ -83,11 +83,23 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(table(spark, folder, "documents")).drop("class_distance", "word_distance")
 
 
+def op12_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation's faults, cheapest edits and the digest of its repaired turns."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversations.reports(conversations.repair(conversations.damage(rows)))
+    ids = rows.select("conv_id").distinct().withColumn("conv", conversations.key_of("conv_id"))
+    found = found.withColumn("conv", conversations.key_of("conv_id")).drop("conv_id")
+    filled = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in conversations.TOTALS]
+    return ids.join(found, "conv", "left").select(
+        "conv_id", *filled, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {"op1_pii": op1_pii, "op2_line_dedup": op2_line_dedup,
            "op3_retrieval_packing": op3_retrieval_packing, "op4_bpe": op4_bpe,
            "op5_quality_model": op5_quality_model, "op6_bagminhash": op6_bagminhash,
            "op7_licences": op7_licences, "op8_toxicity": op8_toxicity,
            "op9_block_max_search": op9_block_max_search,
-           "op10_quality_rules": op10_quality_rules}
+           "op10_quality_rules": op10_quality_rules, "op12_conversations": op12_conversations}
 ORACLE = {"op2_line_dedup": oracle.LINE_DEDUP, "op7_licences": oracle.licences(),
-          "op10_quality_rules": oracle.QUALITY_RULES}
+          "op10_quality_rules": oracle.QUALITY_RULES, "op12_conversations": oracle.conversations()}
