@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiframe.llm.common import free, ship
+from lexiframe.llm.common import ship
 from lexiframe.plans.layout import written
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -433,8 +433,8 @@ def repair(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
            piece_rows: int = PIECE_ROWS, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """The cheapest edits of every conversation: one row per piece, a short conversation being one.
 
-    Columns: the conversation's id under its name, `part` and `piece` (their order is the order of
-    the pieces), `more` (pieces follow), `gaps`, `blank`, `duplicate`, `truncated`, `illegal` and
+    Columns: `conv_id`, the conversation's id, `part` and `piece` (their order is the order of
+    the pieces), `alone` (it was whole in one task), `more` (pieces follow), `gaps`, `blank`, `duplicate`, `truncated`, `illegal` and
     `cost` (of the whole conversation; where `more` is false), `audit` (initials of the edits) and
     `said` (the repaired turns, role and text).
 
@@ -485,7 +485,7 @@ def repair(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
                                          *COUNTS, "cost", "audit", "said")
     every = whole.withColumn("alone", F.lit(True)).unionByName(
         parts.drop("entry").withColumn("alone", F.lit(False)))
-    return every.select(id_of(kind).alias(conv), "part", "piece", "alone", "more",
+    return every.select(id_of(kind).alias("conv_id"), "part", "piece", "alone", "more",
                         *[F.when(~F.col("more"), F.col(c)).alias(c) for c in TOTALS], "audit", "said")
 
 
@@ -505,7 +505,7 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["conv", *TOTALS, "audit", "repaired_sha256"])
 
 
-def reports(pieces: DataFrame, conv: str = "conv_id") -> DataFrame:
+def reports(pieces: DataFrame) -> DataFrame:
     """One row per conversation of `repair`: its id, `gaps`, `blank`, `duplicate`, `truncated`,
     `illegal`, `cost`, the whole `audit`, and the digest of the repaired turns (`role:text`,
     joined by line ends). No rows give no rows.
@@ -515,14 +515,14 @@ def reports(pieces: DataFrame, conv: str = "conv_id") -> DataFrame:
     """
     ship(pieces.sparkSession)
     body = F.array_join(F.transform("said", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
-    one = pieces.filter("alone").select(key_of(conv).alias("conv"), *TOTALS, "audit",
+    one = pieces.filter("alone").select(key_of("conv_id").alias("conv"), *TOTALS, "audit",
                                         F.sha2(F.encode(body, "UTF-8"), 256).alias("repaired_sha256"))
     many = pieces.filter("NOT alone").select(
-        key_of(conv).alias("conv"), "part", "piece", "more", *[F.coalesce(c, F.lit(0)).alias(c) for c in TOTALS],
+        key_of("conv_id").alias("conv"), "part", "piece", "more", *[F.coalesce(c, F.lit(0)).alias(c) for c in TOTALS],
         "audit", F.size("said").alias("n"), body.alias("body"))
     many = many.repartition("conv").sortWithinPartitions(*KEYS).mapInPandas(
         _digests, "conv string, " + ", ".join(f"{c} long" for c in TOTALS) + ", audit string, repaired_sha256 string")
-    return one.unionByName(many).select(id_of(pieces.schema[conv].dataType).alias(conv), *TOTALS, "audit",
+    return one.unionByName(many).select(id_of(pieces.schema["conv_id"].dataType).alias("conv_id"), *TOTALS, "audit",
                                         "repaired_sha256")
 
 

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiframe.llm import conversations, licences, oracle, pii, quality_model, toxicity
+from lexiframe.llm import (conversations, licences, oracle, pattern_packing, pii, quality_model, toxicity,
+                           whitening)
 from lexiframe.llm.bpe import encode
 from lexiframe.llm.line_dedup import dedup_lines
 from lexiframe.llm.near_dup import near_groups
@@ -17,6 +18,7 @@ from lexiframe.sources.tables import table
 
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,6 +85,16 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(table(spark, folder, "documents")).drop("class_distance", "word_distance")
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every usable embedding on the leading components, whitened."""
+    white = whitening.whiten(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    per = lambda values: F.element_at(F.lit(values).cast("array<double>"), F.col("component"))
+    return white.rows.select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened")).select(
+        "vec_id", (F.col("place") + 1).alias("component"), F.lit(white.n).cast("long").alias("n"), "deviation",
+        "whitened", F.col("place").alias("at")).withColumn("explained", per(white.explained)).withColumn(
+        "identity_error", F.lit(white.identity_error)).drop("at")
+
+
 def op12_conversations(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation's faults, cheapest edits and the digest of its repaired turns."""
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -95,11 +107,18 @@ def op12_conversations(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
+def op13_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document packed into windows of 4096 tokens by patterns of lengths."""
+    pieces = pattern_packing.pack(table(spark, folder, "documents"), WORD_VOCABULARY)
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 QUERIES = {"op1_pii": op1_pii, "op2_line_dedup": op2_line_dedup,
            "op3_retrieval_packing": op3_retrieval_packing, "op4_bpe": op4_bpe,
            "op5_quality_model": op5_quality_model, "op6_bagminhash": op6_bagminhash,
            "op7_licences": op7_licences, "op8_toxicity": op8_toxicity,
            "op9_block_max_search": op9_block_max_search,
-           "op10_quality_rules": op10_quality_rules, "op12_conversations": op12_conversations}
+           "op10_quality_rules": op10_quality_rules, "op11_whitening": op11_whitening,
+           "op12_conversations": op12_conversations, "op13_pattern_packing": op13_pattern_packing}
 ORACLE = {"op2_line_dedup": oracle.LINE_DEDUP, "op7_licences": oracle.licences(),
           "op10_quality_rules": oracle.QUALITY_RULES, "op12_conversations": oracle.conversations()}

@@ -2,6 +2,7 @@
 
 import random
 import re
+import sys
 import zlib
 from functools import cache
 from hashlib import sha256
@@ -12,6 +13,7 @@ from lexiframe.llm import conversations as cv
 from lexiframe.llm import queries
 from lexiframe.sources.tables import table
 
+sys.setrecursionlimit(20_000)
 SCHEMA = "conv_id long, turn long, role string, text string, part string, CONV int"
 
 
@@ -50,7 +52,7 @@ def best(rows):
                     c, e, o = rest(k, role[0], added + 1)
                     ways.append((c + 2, "I" + e, (role + ":", *o)))
         if k == len(rows):
-            return min([*ways, *([(0, "", ())] if last in ("", "a") else [])])
+            return min([*ways, (0, "", ()) if last in ("", "a") else (9**9, "", ())])
         _, role, text = rows[k]
         c, e, o = rest(k + 1, last, 0)
         ways.append((c + 3, "D" + e, o))
@@ -128,9 +130,10 @@ def test_no_rows_and_odd_names(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert cv.repair(empty).count() == 0 and cv.reports(cv.repair(empty)).count() == 0
     assert cv.damage(empty).count() == 0
-    named = spark.createDataFrame([("x", 1, "user", "Hi.", "p")], "part string, piece int, more string, said string, a string")
+    named = spark.createDataFrame([("x", 1, "p", "Hi.", "u")], "part string, piece int, more string, said string, a string")
     pieces = cv.repair(named, conv="part", turn="piece", role="more", text="said")
-    assert pieces.columns[0] == "part" and pieces.first()["audit"] == "KI"
+    row = pieces.first()
+    assert (row["conv_id"], row["part"], row["piece"]) == ("x", 0, 0) and row["audit"] == best([(1, "p", "Hi.")])["audit"]
 
 
 def test_query_against_search(spark, small):
