@@ -305,6 +305,6 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end_id: int = 1,
         F.expr(f"at + {slot} DIV times * length").alias("offset"), _widen("ids").alias("ids"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _widen(ids: pd.Series) -> pd.Series:
     return ids.map(_wide)

@@ -28,7 +28,7 @@ from lexiframe.plans.layout import written
 SCALE = 64.0
 FARTHEST = float(1 << 40)  # entries beyond count as not finite
 BLOCK_CELLS = 1 << 18
-EPS = float(np.finfo("f8").eps)
+TOLERANCE = 64 * float(np.finfo("f8").eps)  # of the largest eigenvalue: what rounding leaves of a residual
 
 
 @dataclass
@@ -186,18 +186,18 @@ def jacobi_davidson(product: Callable[[np.ndarray], np.ndarray], width: int, mos
     locked, values = np.zeros((width, 0)), []
     space = orthonormal(np.random.default_rng(11).standard_normal((width, min(width, most + 4))))
     image = product(space)
-    widest = max(4 * most, 64)
-    for _ in range(rounds):
+    widest = max(6 * most, 96)
+    for turns in range(rounds):
         small = space.T @ image
         ritz, turn = np.linalg.eigh((small + small.T) / 2)
         ritz, turn = ritz[::-1], turn[:, ::-1]
         space, image = space @ turn, image @ turn
         need = min(most - len(values), len(ritz))
         residual = image[:, :need] - space[:, :need] * ritz[:need]
-        sizes = np.linalg.norm(residual, axis=0)
+        sizes = np.linalg.norm(residual - locked @ (locked.T @ residual), axis=0)
         scale = max([abs(ritz[0]), *np.abs(values[:1])])
         full = locked.shape[1] + space.shape[1] == width  # nothing is left to widen by
-        done = need if full else int((sizes <= 16 * EPS * scale).cumprod().sum())
+        done = need if full else int((sizes <= TOLERANCE * scale).cumprod().sum())
         if done:
             locked = np.column_stack([locked, space[:, :done]])
             values += ritz[:done].tolist()
@@ -205,13 +205,13 @@ def jacobi_davidson(product: Callable[[np.ndarray], np.ndarray], width: int, mos
             ritz, need = ritz[done:], need - done
         if len(values) == most:
             return np.array(values), locked
-        if space.shape[1] + need > widest:  # restart on the leading Ritz vectors
+        if min(space.shape[1] + need, width - locked.shape[1]) > widest:  # restart on the leading Ritz vectors
             space, image = space[:, :need + most], image[:, :need + most]
         held = np.column_stack([locked, space[:, :need]])
         new = minres(product, ritz[:need], held, -residual, steps)
         new = orthonormal(new, locked, space)
         if not new.shape[1]:
-            new = orthonormal(np.random.default_rng(len(values)).standard_normal((width, need)), locked, space)
+            new = orthonormal(np.random.default_rng(turns).standard_normal((width, need)), locked, space)
         space, image = np.column_stack([space, new]), np.column_stack([image, product(new)])
     raise RuntimeError("residuals do not reach double precision")
 
@@ -249,7 +249,7 @@ def whiten(df: DataFrame, components: int = 16, key: str = "vec_id", vector: str
         return total(blocks, width, make).reshape(w.shape) / n
 
     values, vectors = jacobi_davidson(product, width, components)
-    kept = values > width * EPS * max(values[0], 0.0)
+    kept = values > TOLERANCE * max(values[0], 0.0)
     values, vectors = values[kept], vectors[:, kept]
     scaled = vectors / np.sqrt(values)
 
@@ -259,7 +259,7 @@ def whiten(df: DataFrame, components: int = 16, key: str = "vec_id", vector: str
         return np.append((w.T @ w).ravel(), (c * c).sum())
 
     seen = total(blocks, width, check) / n
-    error = np.abs(seen[:-1].reshape(len(values), -1) - np.eye(len(values))).max(initial=0.0)
+    error = np.abs(seen[:-1].reshape(len(values), len(values)) - np.eye(len(values))).max(initial=0.0)
     trace = float(seen[-1])
     offset = 1_000_000 * n
     return Whitened(_scored(rows, n, sums, scaled, rows.schema), n, [int(s) + offset for s in sums], values.tolist(),
