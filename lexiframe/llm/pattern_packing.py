@@ -35,10 +35,9 @@ from lexiframe.plans.lookup import BROADCAST_BYTES, table_size
 # suffix of such word ends, and the characters below U+0250 that need the library.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
-EASY = r"[\x21-\x7e\xa1-\xac\xae-įı-ɏ]*"
+EASY = r"[\x20-\x7e\xa1-\xac\xae-įı-ɏ]*"
 _pieces, _easy = regex.compile(PIECES), regex.compile(EASY)
 MARK = "\x00"
-BREAKS = str.maketrans("\t\n\r", "   ")
 
 
 class WordEnds:
@@ -93,21 +92,18 @@ class WordEnds:
         """Encode the words seen since the last call."""
         if not self.new:
             return
-        easy = [bool(w) and self.fast is not None and _easy.fullmatch(w) is not None
-                and not any(s in w for s in self.special) for w in self.new]
-        quick = [w for w, e in zip(self.new, easy) if e]
-        ids, sizes = self._together(quick) if quick else (np.zeros(0, "u4"), np.zeros(0, "i8"))
-        if len(quick) < len(self.new):
-            ends = np.cumsum(sizes)
-            parts, counts, k = [], [], 0
-            for word, e in zip(self.new, easy):
-                if e:
-                    parts.append(ids[ends[k] - sizes[k]:ends[k]])
-                    k += 1
-                else:
-                    parts.append(np.array(self.full.encode(word, add_special_tokens=False).ids, "u4"))
-                counts.append(len(parts[-1]))
-            ids, sizes = np.concatenate(parts), np.array(counts)
+        joined = " ".join(self.new)
+        if self.fast and _easy.fullmatch(joined) and not any(x in joined for x in self.special):
+            ids, sizes = self._together(self.new)
+        else:
+            easy = [self.fast is not None and _easy.fullmatch(w) is not None
+                    and not any(x in w for x in self.special) for w in self.new]
+            quick = [w for w, e in zip(self.new, easy) if e]
+            ids, sizes = self._together(quick) if quick else (np.zeros(0, "u4"), np.zeros(0, "i8"))
+            several = iter(np.split(ids, np.cumsum(sizes)[:-1]))
+            parts = [next(several) if e else np.array(self.full.encode(w, add_special_tokens=False).ids, "u4")
+                     for w, e in zip(self.new, easy)]
+            ids, sizes = np.concatenate(parts), np.array([len(p) for p in parts])
         self.flat = np.concatenate([self.flat, ids])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
         self.new.clear()
@@ -118,7 +114,7 @@ class WordEnds:
         number = self.numbers.__getitem__
         seen = []
         for text in texts:
-            words = text.translate(BREAKS).split(" ")
+            words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
             seen.append(np.fromiter(map(number, words), "i8", len(words)))
         self.learn()
         return [self.flat[spans(self.ends[words], self.ends[words + 1])] for words in seen]
