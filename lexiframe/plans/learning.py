@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexiframe.config import REPORT_METRICS
 from lexiframe.functions.hashing import assign_split
 from lexiframe.functions.sequences import squared_norm
-from lexiframe.operators import classify, corpus, metrics, skipgram, vectors, vocabulary
+from lexiframe.operators import boosting, classify, corpus, metrics, skipgram, skipgram_model, vectors, vocabulary
 from lexiframe.operators import experiments as ex
 from lexiframe.operators.scoring import score_pending
+from lexiframe.operators.skipgram_model import fit_skip_gram
 from lexiframe.plans.layout import cluster, new_path, shared_folder, spread, written
 from lexiframe.plans.runs import runs
 from lexiframe.plans.texts import SETTINGS, documents, saved_vocabulary
-from lexiframe.plans.vectors import VECTOR_SIZE, id_vectors
+from lexiframe.plans.vectors import EPOCHS, VECTOR_SIZE, id_vectors, pair_rows
 from lexiframe.sources.artefacts import code_identity, input_identity, reuse_or_write
 from lexiframe.sources.reports import read_reports, write_reports
 from lexiframe.sources.tables import table
@@ -81,6 +85,90 @@ def boosted_trees(spark, folder):
                        F.max("n_rows").alias("n_rows"))
 
 
+def _embedded(spark, folder):
+    return table(spark, folder, "embeddings").select(
+        "vec_id", F.col("embedding").alias("vector"), "label", assign_split(F.col("vec_id"), "0123").alias("split"))
+
+
+def _classes(rows):
+    return (rows.agg(F.max("label")).first()[0] or 0) + 1
+
+
+def joint_first_stage(spark, folder):
+    """The first stage of a joint fit of all classes of the embeddings: splits, then leaf values."""
+    rows = _embedded(spark, folder)
+    model = boosting.fit_boosted(rows, _classes(rows), 1)
+    stage, out = model.stages[0], []
+    for c, (features, bins, values) in enumerate(zip(stage.features, stage.bins, stage.values)):
+        for at in range(len(features)):
+            level = (at + 1).bit_length() - 1
+            if features[at] >= 0:
+                out.append((c, level, at + 1 - (1 << level), int(features[at]), int(bins[at]), None))
+        out += [(c, model.depth, node, None, None, float(v)) for node, v in enumerate(values)]
+    found = spark.createDataFrame(out, "class int, level int, node int, feature int, bin int, value double")
+    return found.withColumn("value", F.round("value", 6))
+
+
+def joint_stages(spark, folder):
+    """Reports of all stages of a joint fit, held-out rows; the last one is the whole model's."""
+    def make():
+        train, test = _sides(_embedded(spark, folder))
+        model = boosting.fit_boosted(train, _classes(_embedded(spark, folder)), STAGES)
+        whole = metrics.weighted_report(metrics.confusion(boosting.predictions(test, model, "vec_id")))
+        staged = metrics.weighted_report(boosting.staged_confusion(test, model), ["stage"])
+        return staged.withColumn("whole", F.lit(False)).unionByName(
+            whole.withColumns({"stage": F.lit(STAGES), "whole": F.lit(True)}))
+
+    return reuse_or_write(spark, f"{shared_folder(spark)}/lexiframe/kept", "joint_stages", SETTINGS,
+                          (input_identity(spark, [f"{folder}/embeddings.parquet"]),
+                           code_identity(boosting, metrics), STAGES), make)
+
+
+def joint_boosted(spark, folder):
+    """Every stage's held-out rows, and whether the last stage's scores are those of the model itself."""
+    reports = joint_stages(spark, folder)
+    whole = reports.filter("whole").select("stage", *[F.col(m).alias(f"own_{m}") for m in REPORT_METRICS])
+    same = reduce(Column.__and__, [F.abs(F.col(m) - F.col(f"own_{m}")) < 1e-9 for m in REPORT_METRICS])
+    staged = reports.filter("NOT whole").join(F.broadcast(whole), "stage", "left")
+    return staged.select("stage", "n_rows", same.alias("last_is_model"))
+
+
+def learned_doc_vectors(spark, folder):
+    """Documents pooled from word vectors that were trained on them: widths, null where no word is known."""
+    vocab = saved_vocabulary(spark, folder)
+    words = written(_trained(spark, folder).select("id", "vector"), "word_vectors")
+    ids = vocabulary.index_sentences(
+        corpus.sentences(cluster(documents(spark, folder), "doc_id"), remove_stopwords=True), vocab)
+    pooled = vectors.document_vectors(table(spark, folder, "documents"), ids, words)
+    return pooled.select("doc_id", F.size("vector").alias("width"), (squared_norm(F.col("vector")) > 0).alias("moved"))
+
+
+def _trained(spark, folder):
+    """Word vectors of one training run, kept for the queries that read them."""
+    def make():
+        vocab = saved_vocabulary(spark, folder)
+        return fit_skip_gram(pair_rows(spark, folder), vocab, VECTOR_SIZE, SETTINGS.negative, EPOCHS).vectors
+
+    return reuse_or_write(spark, f"{shared_folder(spark)}/lexiframe/kept", "trained_words", SETTINGS,
+                          (input_identity(spark, [f"{folder}/documents.parquet"]),
+                           code_identity(skipgram, skipgram_model, corpus, vocabulary), EPOCHS), make)
+
+
+def learned_boosting(spark, folder):
+    """The whole chain: words, vectors trained on them, pooled documents, joint boosting on their
+    quality: each stage's held-out rows."""
+    vocab = saved_vocabulary(spark, folder)
+    words = written(_trained(spark, folder).select("id", "vector"), "word_vectors")
+    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
+    docs = table(spark, folder, "documents").select("doc_id", "text").join(labels.select("doc_id"), "doc_id", "left_semi")
+    ids = vocabulary.index_sentences(corpus.sentences(docs, remove_stopwords=True), vocab)
+    pooled = vectors.pooled_vectors(vectors.indexed_weights(ids), words)
+    rows = written(ex.with_labels(pooled, labels).withColumn("split", assign_split(F.col("doc_id"), "0123")), "learned")
+    train, test = _sides(rows)
+    reports = boosting.stage_reports(train, test, 2, STAGES)
+    return reports.select("stage", "n_rows", (F.abs(F.col("accuracy") - F.col("recall")) < 1e-9).alias("recall_is_accuracy"))
+
+
 def scored_experiments(spark, folder):
     """Two stored experiments, raw and unit vectors; the one with a report is not fitted.
 
@@ -134,5 +222,6 @@ def stream_pending(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    word_vectors, boosted_trees, boosted_stages, scored_experiments, softmax_regression,
+    word_vectors, boosted_trees, boosted_stages, joint_first_stage, joint_boosted, learned_doc_vectors,
+    learned_boosting, scored_experiments, softmax_regression,
     stream_tokens, stream_pending)}

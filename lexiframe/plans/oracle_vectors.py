@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lexiframe.plans.oracle_texts import FRAMES, INDEXED, SENTENCES, SETTINGS, VOCAB, tokens_of
+from lexiframe.operators.skipgram import DIGITS, NOISE_UNIT
 from lexiframe.plans.vectors import SMOOTHING, VECTOR_SIZE
 
 KEPT = SENTENCES + VOCAB + tokens_of("sents", "toks") + f""",
@@ -37,6 +38,24 @@ ORACLE = {
     "skipgram_pairs": f"WITH {PAIRS} SELECT center, context, cnt FROM pairs",
     "noise_distribution": f"""WITH {SENTENCES} {VOCAB}
 SELECT id, word, cnt, round(cnt ** 0.75 / sum(cnt ** 0.75) OVER (), 9) AS prob FROM vocab""",
+    "negative_samples": f"""WITH {PAIRS},
+weights AS (
+  SELECT id, floor(sqrt(cnt::DOUBLE) * sqrt(sqrt(cnt::DOUBLE)) * {NOISE_UNIT})::BIGINT AS w FROM vocab),
+ranges AS (
+  SELECT id, (sum(w) OVER (ORDER BY id) - w)::BIGINT AS low, (sum(w) OVER (ORDER BY id))::BIGINT AS high FROM weights),
+total AS (SELECT sum(w)::BIGINT AS t, (sum(w) / 4096)::BIGINT + 1 AS width FROM weights),
+buckets AS (
+  SELECT id, low, high, unnest(range(low // width, (high - 1) // width + 1)) AS bucket FROM ranges, total),
+draws AS (
+  SELECT center, context, draw, ('0x' || substr(md5('1|' || center || '|' || context || '|' || draw), 1, {DIGITS}))::BIGINT
+         % t AS point, width
+  FROM pairs, total, unnest(range(1, {SETTINGS.negative + 1})) AS d(draw)),
+found AS (
+  SELECT center, context, list_sort(list(draw * 4294967296 + id)) AS ids
+  FROM draws JOIN buckets ON point // width = bucket AND point >= low AND point < high GROUP BY center, context)
+SELECT center, context, array_to_string(list_transform(ids, lambda x: x % 4294967296), ' ') AS noise FROM found""",
+    "sgns_vectors": f"""WITH {SENTENCES} {VOCAB}
+SELECT id, {VECTOR_SIZE} AS width, true AS loss_falls FROM vocab""",
     "sppmi": f"""WITH {PAIRS},
 sums AS (SELECT center, sum(cnt)::DOUBLE AS n FROM pairs GROUP BY center),
 whole AS (SELECT sum(cnt)::DOUBLE AS n FROM pairs)

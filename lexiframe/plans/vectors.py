@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from lexiframe.functions.hashing import assign_split
 from lexiframe.operators import bigram, corpus, skipgram, vectors, vocabulary
+from lexiframe.operators.skipgram_model import fit_skip_gram
 from lexiframe.plans.layout import cluster, spread, written
 from lexiframe.plans.texts import SETTINGS, documents, framed, saved_vocabulary
 from lexiframe.sources.tables import table
 
 SMOOTHING = 0.1
 VECTOR_SIZE = 100
+EPOCHS = 25
 
 
 def kept_tokens(spark, folder, vocab, place=cluster):
@@ -25,13 +27,13 @@ def subsampled_tokens(spark, folder):
         "doc_id", "sent_id", "pos", "word")
 
 
-def _pairs(spark, folder):
+def pair_rows(spark, folder):
     return skipgram.pair_counts(
         kept_tokens(spark, folder, saved_vocabulary(spark, folder)), SETTINGS.window)
 
 
 def skipgram_pairs(spark, folder):
-    return _pairs(spark, folder)
+    return pair_rows(spark, folder)
 
 
 def noise_distribution(spark, folder):
@@ -39,6 +41,20 @@ def noise_distribution(spark, folder):
     return noise.withColumn("prob", F.round("prob", 9))
 
 
+def negative_samples(spark, folder):
+    """The noise words of every pair, in order of their draws."""
+    drawn = skipgram.draw_noise(written(pair_rows(spark, folder), "pairs"), saved_vocabulary(spark, folder), SETTINGS.negative)
+    in_turn = F.transform(F.sort_array(F.collect_list(F.struct("draw", "noise"))), lambda x: x["noise"].cast("string"))
+    return drawn.groupBy("center", "context").agg(F.array_join(in_turn, " ").alias("noise"))
+
+
+def sgns_vectors(spark, folder):
+    """Word vectors trained with negative sampling: each id's width, and whether the loss fell in every epoch."""
+    model = fit_skip_gram(pair_rows(spark, folder), saved_vocabulary(spark, folder), VECTOR_SIZE, SETTINGS.negative, EPOCHS)
+    falls = all(b < a for a, b in zip(model.losses, model.losses[1:]))
+    return model.vectors.select("id", F.size("vector").alias("width"), F.lit(falls).alias("loss_falls"))
+
+
 def sppmi(spark, folder):
     return _cells(spark, folder).withColumn("sppmi", F.round("sppmi", 6))
 
@@ -100,5 +116,5 @@ def masked_cost(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    subsampled_tokens, skipgram_pairs, noise_distribution, sppmi, sppmi_vectors, doc_vectors, unit_vectors,
+    subsampled_tokens, skipgram_pairs, noise_distribution, negative_samples, sgns_vectors, sppmi, sppmi_vectors, doc_vectors, unit_vectors,
     bigram_perplexity, masked_cost)}
