@@ -53,3 +53,35 @@ def sentence_words(text: Column, remove_stopwords: bool = False,
     """Nested view: one word array per raw sentence, empty ones kept."""
     return F.transform(split_sentences(text),
                        lambda s: word_list(s, remove_stopwords, stop_words))
+
+
+MARK = "\u0001"  # between sentences; a text's own ones count as blanks
+
+
+def period_type(token: Column) -> Column:
+    """A token in lower case without marks around it; its periods stay."""
+    return F.regexp_replace(F.lower(token), r"^[^\p{L}]+|[^\p{L}.]+$", "")
+
+
+def last_token(text: Column) -> Column:
+    return F.regexp_extract(text, r"([^ \t\r\n]*)[ \t\r\n]*\z", 1)
+
+
+def ends_in(text: Column, abbreviations: Iterable[str]) -> Column:
+    """Whether a text's last token is one of the abbreviations and its one final period."""
+    words = sorted(abbreviations)
+    if not words:
+        return F.lit(False)
+    return period_type(last_token(text)).isin([f"{w}." for w in words])
+
+
+def split_known(text: Column, abbreviations: Iterable[str]) -> Column:
+    """Raw sentences of a text that is not cut behind an abbreviation.
+
+    The text is cut behind every sentence end, and the marks between the parts are left out
+    behind abbreviations: one pass each, however many parts there are.
+    """
+    body = strip_blanks(F.translate(text, MARK, " "))
+    parts = F.split(F.regexp_replace(body, r"([.!?][ \t\r\n]+)", f"$1{MARK}"), MARK)
+    kept = F.transform(parts, lambda p: F.concat(p, F.when(ends_in(p, abbreviations), "").otherwise(MARK)))
+    return F.array_remove(F.transform(F.split(F.array_join(kept, ""), MARK), strip_blanks), "")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from lexiframe.config import MODES
 from lexiframe.functions import sequences as sq
-from lexiframe.functions.hashing import key_digest
-from lexiframe.plans.ranking import Level, global_rank
+from lexiframe.functions.hashing import key_digest, permuted
+from lexiframe.plans.ranking import Level, global_rank, numbered
 
 ROWS_PER_BUCKET = 100_000
 
@@ -85,3 +85,21 @@ def shuffled_batches(rows: DataFrame, key: list[str], batch_size: int, epoch: in
         *rows.columns, F.floor(place / batch_size).alias("batch_id"),
         (place % batch_size).cast("int").alias("row_in_batch"))
     return batched.filter(F.col("batch_id") < n_rows // batch_size) if drop_last else batched
+
+
+def numbered_rows(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows with their place under the key, made once for the orders of all epochs."""
+    return numbered(rows, key)
+
+
+def permuted_batches(rows: DataFrame, n_rows: int, batch_size: int, epoch: int = 0, seed: int = 1,
+                     drop_last: bool = False) -> DataFrame:
+    """Add `batch_id` and `row_in_batch`: each epoch's place of a row is a keyed permutation of its
+    number. Nothing is sorted or moved; `rows` are `numbered_rows`, `n_rows` of them."""
+    if batch_size < 1:
+        raise ValueError("batch_size must be positive")
+    place = rows.withColumn("place", F.explode(F.array(permuted(F.col("number"), n_rows, seed, epoch))))
+    batched = place.select(*[c for c in rows.columns if c != "number"],
+                           F.floor(F.col("place") / batch_size).alias("batch_id"),
+                           (F.col("place") % batch_size).cast("int").alias("row_in_batch"))
+    return batched.filter(F.col("batch_id") < n_rows // batch_size) if drop_last else batched

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lexiframe.config import STOP_WORDS, Settings
+from lexiframe.functions.hashing import FEISTEL_ROUNDS
 
 SETTINGS = Settings()
 L = SETTINGS.max_len
@@ -125,7 +126,75 @@ batched AS (
 """
 
 
+ABBREVIATIONS = r"""
+pieces AS (
+  SELECT unnest(string_split(regexp_replace(text, E'[ \t\r\n]+', chr(1), 'g'), chr(1))) AS token
+  FROM documents WHERE text IS NOT NULL),
+typed AS (SELECT regexp_replace(lower(token), '^[^\p{L}]+|[^\p{L}.]+$', '', 'g') AS token FROM pieces),
+seen AS (SELECT rtrim(token, '.') AS word, regexp_matches(token, '[^.]\.$') AS period FROM typed),
+period_counts AS (
+  SELECT word, count(*) FILTER (period) AS n_with, count(*) FILTER (NOT period) AS n_without
+  FROM seen WHERE word <> '' GROUP BY word),
+share AS (SELECT sum(n_with)::DOUBLE / sum(n_with + n_without)::DOUBLE AS p FROM period_counts),
+formed AS (
+  SELECT word, n_with, n_without, length(word) - length(replace(word, '.', '')) AS periods, p,
+         length(replace(word, '.', ''))::DOUBLE AS letters
+  FROM period_counts, share
+  WHERE regexp_matches(word, '^\p{L}[\p{L}.]*$') AND n_with > 0),
+abbreviations AS (
+  SELECT word, n_with, n_without,
+         2 * (n_with * ln(0.99) + n_without * ln(1 - 0.99) - n_with * ln(p) - n_without * ln(1 - p))
+         * exp(-letters) * (periods + 1) * pow(letters, -n_without::DOUBLE) AS score FROM formed)
+"""
+
+KNOWN_SENTENCES = ABBREVIATIONS + r""",
+listed AS (SELECT list(word || '.') FILTER (score >= 0.3) AS words FROM abbreviations),
+cut AS (
+  SELECT doc_id, string_split(regexp_replace(trim(replace(text, chr(1), ' '), E' \t\r\n'),
+         E'([.!?][ \t\r\n]+)', '\1' || chr(1), 'g'), chr(1)) AS parts
+  FROM documents WHERE text IS NOT NULL),
+joined AS (
+  SELECT doc_id, string_split(array_to_string(list_transform(parts, lambda p: p || CASE WHEN list_contains(
+           coalesce(words, []), regexp_replace(lower(regexp_extract(p, E'([^ \t\r\n]*)[ \t\r\n]*$', 1)),
+             '^[^\p{L}]+|[^\p{L}.]+$', '', 'g'))
+         THEN '' ELSE chr(1) END), ''), chr(1)) AS parts
+  FROM cut, listed),
+known AS (
+  SELECT doc_id, list_filter(list_transform(parts, lambda p: trim(p, E' \t\r\n')), lambda p: p <> '') AS parts
+  FROM joined)
+"""
+
+
+def _feistel(key: str) -> str:
+    """Six rounds over `cell` of a grid of `a` rows and `b` columns, as nested queries."""
+    sql = "SELECT doc_id, sent_id, n, a, b, cell // b AS l, cell % b AS r FROM given"
+    for turn in range(FEISTEL_ROUNDS):
+        side, other, size = ("l", "r", "a") if turn % 2 == 0 else ("r", "l", "b")
+        hashed = f"('0x' || substr(md5('{key}|{turn}|' || {other}), 1, 8))::BIGINT"
+        sql = f"SELECT doc_id, sent_id, n, a, b, ({side} + {hashed}) % {size} AS {side}, {other} FROM ({sql})"
+    return sql
+
+
+PERMUTED = f"""WITH RECURSIVE {FRAMES["next"]},
+rows AS (
+  SELECT doc_id, sent_id, row_number() OVER (ORDER BY doc_id, sent_id) - 1 AS cell, count(*) OVER () AS n FROM frames),
+sides AS (
+  SELECT *, CASE WHEN sqrt(n)::BIGINT * sqrt(n)::BIGINT >= n THEN sqrt(n)::BIGINT ELSE sqrt(n)::BIGINT + 1 END AS a
+  FROM rows),
+walk AS (
+  SELECT doc_id, sent_id, n, a, (n + a - 1) // a AS b, cell, 0 AS step FROM sides
+  UNION ALL
+  SELECT doc_id, sent_id, n, a, b, l * b + r AS cell, 1 AS step FROM (
+    {_feistel(f"{SETTINGS.seed}|1").replace("FROM given", "FROM walk WHERE step = 0 OR cell >= n")}))
+SELECT doc_id, sent_id, cell // {SETTINGS.batch_size} AS batch_id, (cell % {SETTINGS.batch_size})::INT AS row_in_batch
+FROM walk WHERE step = 1 AND cell < n"""
+
 ORACLE = {
+    "permuted_batches": PERMUTED,
+    "abbreviations": f"WITH {ABBREVIATIONS} SELECT word, n_with, n_without, round(score, 6) AS score "
+                     "FROM abbreviations WHERE score >= 0.3",
+    "split_sentences": f"WITH {KNOWN_SENTENCES} SELECT doc_id, unnest(range(len(parts)))::INT AS sent_id, "
+                       "unnest(parts) AS sentence FROM known",
     "document_status": """
 SELECT source, sum((text IS NOT NULL)::INT)::BIGINT AS n_kept,
        sum((text IS NULL)::INT)::BIGINT AS n_rejected,

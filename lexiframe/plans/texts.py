@@ -178,6 +178,25 @@ def full_batches(spark, folder):
         "doc_id", "sent_id", "batch_id", "row_in_batch")
 
 
+def permuted_batches(spark, folder):
+    """The second epoch's batches by a permutation of row numbers."""
+    frames = written(framed(spark, folder).select("doc_id", "sent_id"), "framed_keys")
+    rows = framing.numbered_rows(frames, ["doc_id", "sent_id"])
+    return framing.permuted_batches(rows, frames.count(), SETTINGS.batch_size, epoch=1, seed=SETTINGS.seed)
+
+
+def abbreviations(spark, folder):
+    """Words that the corpus shows to be abbreviations, with their counts and scores."""
+    found = corpus.abbreviations(spread(documents(spark, folder), "doc_id"))
+    return found.withColumn("score", F.round("score", 6))
+
+
+def split_sentences(spark, folder):
+    """Sentences that are not cut behind an abbreviation of the corpus."""
+    docs = spread(documents(spark, folder), "doc_id")
+    return corpus.raw_sentences(docs, abbreviations=corpus.abbreviations(docs))
+
+
 def batch_stats(spark, folder):
     return _batched(spark, folder).groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -190,5 +209,6 @@ QUERIES = {
         document_status, labelled_corpus, raw_sentences, sentence_tokens, word_counts,
         vocab_min20, corpus_size, tokens_no_stop, token_ids, oov_rate_by_lang,
         decoded_sentences, self_pairs, next_pairs, pair_frames, self_frames, pair_mask,
-        reversed_inputs, sentence_matrix, shuffled_batches, full_batches, batch_stats)
+        reversed_inputs, sentence_matrix, shuffled_batches, full_batches, batch_stats,
+        permuted_batches, abbreviations, split_sentences)
 }
