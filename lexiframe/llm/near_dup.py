@@ -3,8 +3,10 @@
 A shingle's weight is how often it occurs. Each shingle owns Poisson processes over its
 discretised weight, by intervals of doubling width; points below the weight compete for a random
 component of the signature, and the earliest wins. Equal components estimate the weighted Jaccard
-similarity without bias. Signatures are cut into bands; documents that share a band meet, and
-each meeting is verified on the shingles themselves.
+similarity without bias. Signatures are cut into bands; documents that share a band meet. Where
+they meet, a byte of each component tells how many are equal, and a pair with fewer than one at the
+threshold would have once in a million goes no further; the others are verified on 64-bit hashes of
+the shingles themselves. So a passage that many documents share makes them meet, but moves nothing.
 
 Meetings are not expanded into all pairs: a growing number of pivots per bucket is compared, each
 once, with the later members that are of another component at that moment. Rounds go on until
@@ -13,11 +15,13 @@ meets the later, unless they are of one component by then, and no link is lost i
 """
 
 from collections.abc import Iterator
+from functools import reduce
+from math import comb
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiframe.llm.common import Lookup, chunks, free, row_key, ship, text_of
@@ -26,7 +30,8 @@ from lexiframe.plans.layout import written
 WORDS = 5
 MARKS = ".,;:!?\"'()[]{}«»¿¡…-_*#"
 _odd = np.random.default_rng(20).integers(1 << 62, 1 << 63, 16, dtype="u8") | np.uint64(1)
-PLACES = 1 << 20
+PLACES, MOST_PLACES = 1 << 26, 1 << 20
+LEFT_OUT = 1e-6  # of the pairs at the threshold
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -95,6 +100,38 @@ def bands_of(signature: np.ndarray, bands: int) -> np.ndarray:
     return mix(sum(parts[:, :, k] * _odd[k] for k in range(m // bands)) + _odd[9]).view("i8")
 
 
+def marks_of(signature: np.ndarray) -> np.ndarray:
+    """A byte of each component, seven to a whole number; bytes that are left are zero."""
+    n, m = signature.shape
+    out = np.zeros((n, -(-m // 7) * 7), "i8")
+    out[:, :m] = mix(signature + _odd[12]) & np.uint64(255)
+    return (out.reshape(n, -1, 7) << (8 * np.arange(7))).sum(2)
+
+
+def equal_marks(x: str, y: str, m: int) -> Column:
+    """How many components two signatures share, by their marks: an unequal pair of bytes leaves
+    its high bit when 127 is added to its lower bits, an equal pair does not."""
+    low, high = (sum(byte << (8 * k) for k in range(7)) for byte in (127, 128))
+    words = -(-m // 7)
+    equal = []
+    for k in range(words):
+        differ = F.col(x)[k].bitwiseXOR(F.col(y)[k])
+        seen = (differ.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(differ)
+        equal.append(7 - F.bit_count(seen.bitwiseAND(F.lit(high))))
+    return reduce(Column.__add__, equal) - (words * 7 - m)
+
+
+def least_equal(m: int, threshold: float) -> int:
+    """The most equal components that a pair at the threshold misses once in a million at most."""
+    missed, k = 0.0, 0
+    while k <= m:
+        missed += comb(m, k) * threshold ** k * (1 - threshold) ** (m - k)
+        if missed > LEFT_OUT:
+            return k
+        k += 1
+    return m
+
+
 def _describe(texts: list[str], table: Lookup, bands: int, rows: int):
     """node (128 bits of the multiset), number of shingles and bands of each text."""
     sets = [np.unique(shingles(t, table), return_counts=True) for t in texts]
@@ -108,11 +145,11 @@ def _describe(texts: list[str], table: Lookup, bands: int, rows: int):
     for s, c in sets:
         c = c.astype("u8")
         node.append((mix(s + _odd[10]) * c).sum(dtype="u8").tobytes() + (mix(s + _odd[11]) * c).sum(dtype="u8").tobytes())
-    return node, [int(c.sum()) for _, c in sets], keys
+    return node, [int(c.sum()) for _, c in sets], keys, marks_of(signed)
 
 
 def describe(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, row key (a, b), node, total, bands of every document."""
+    """doc_id, row key (a, b), node, total, bands and marks of every document."""
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", row_key().alias("key"), text_of().alias("text")).select(
@@ -123,29 +160,33 @@ def describe(docs: DataFrame, bands: int, rows: int) -> DataFrame:
         for batch in batches:
             every = batch["text"].tolist()
             for part in chunks(every):
-                node, total, keys = _describe(every[part], table, bands, rows)
+                node, total, keys, marks = _describe(every[part], table, bands, rows)
                 yield pd.DataFrame({"doc": batch["doc"].iloc[part].to_numpy(), "a": batch["a"].iloc[part].to_numpy(),
                                     "b": batch["b"].iloc[part].to_numpy(), "node": node, "total": total,
-                                    "bands": list(keys)})
+                                    "bands": list(keys), "marks": list(marks)})
 
-    found = texts.mapInPandas(run, "doc string, a long, b long, node binary, total long, bands array<long>")
+    found = texts.mapInPandas(run, "doc string, a long, b long, node binary, total long, bands array<long>, marks array<long>")
     return found.withColumn("doc", F.col("doc").cast(kind))
 
 
 def _weights(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and its shingles (sorted 32-bit hashes) with counts, for the wanted (node, a, b)."""
-    place = lambda a, b: F.pmod(F.xxhash64(F.col(a), F.col(b)), F.lit(PLACES))
-    places = wanted.select(place("a", "b").alias("place")).distinct()  # at most PLACES rows
+    """node and its shingles (sorted 64-bit hashes) with counts, for the wanted (node, a, b), written.
+
+    While they are few, their places among many go out first, so that other texts do not shuffle.
+    """
     texts = docs.select(row_key().alias("key"), text_of().alias("text")).select(
         F.col("key.a").alias("a"), F.col("key.b").alias("b"), "text")
-    texts = (texts.withColumn("place", place("a", "b")).join(F.broadcast(places), "place").drop("place")
-             .join(wanted, ["a", "b"]))
+    if wanted.count() <= MOST_PLACES:
+        place = lambda a, b: F.pmod(F.xxhash64(F.col(a), F.col(b)), F.lit(PLACES))
+        places = wanted.select(place("a", "b").alias("place")).distinct()
+        texts = texts.withColumn("place", place("a", "b")).join(F.broadcast(places), "place").drop("place")
+    texts = texts.join(wanted, ["a", "b"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = word_hashes()
         for batch in filter(len, batches):
-            sets = [np.unique(shingles(t, table).astype("u4"), return_counts=True) for t in batch["text"]]
-            yield pd.DataFrame({"node": batch["node"], "items": [s.astype("<u4").tobytes() for s, _ in sets],
+            sets = [np.unique(shingles(t, table), return_counts=True) for t in batch["text"]]
+            yield pd.DataFrame({"node": batch["node"], "items": [s.astype("<u8").tobytes() for s, _ in sets],
                                 "counts": [c.astype("<u1" if c.max(initial=0) < 256 else "<u4").tobytes() for _, c in sets]})
 
     return (texts.select("node", "text").mapInPandas(run, "node binary, items binary, counts binary")
@@ -158,7 +199,7 @@ def _verified(pairs: DataFrame, weights: DataFrame, threshold: float) -> DataFra
     def alike(xi: pd.Series, xc: pd.Series, yi: pd.Series, yc: pd.Series) -> pd.Series:
         out = []
         for a, ac, b, bc in zip(xi, xc, yi, yc):
-            a, b = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+            a, b = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
             ac, bc = (np.frombuffer(c, "<u1" if len(c) == len(s) else "<u4").astype("i8") for c, s in ((ac, a), (bc, b)))
             _, p, q = np.intersect1d(a, b, True, True)
             both = int(np.minimum(ac[p], bc[q]).sum())
@@ -197,9 +238,10 @@ def components(links: DataFrame) -> DataFrame:
             return leaves.unionAll(edges.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct())
 
 
-def _round(members: DataFrame, labels: DataFrame | None, low: int, high: int) -> DataFrame:
-    """Pairs (x, y) of different components: pivots of this round with the later members of their
-    buckets. Members of a bucket's main component are joined only with pivots outside it."""
+def _round(members: DataFrame, labels: DataFrame | None, low: int, high: int, m: int, least: int) -> DataFrame:
+    """Pairs (x, y) of different components with `least` equal components or more: pivots of this
+    round with the later members of their buckets. Members of a bucket's main component are joined
+    only with pivots outside it."""
     rows = members.filter(F.col("place") >= low)  # the earlier ones have met all others
     if labels is not None:
         rows = rows.join(labels.withColumnRenamed("label", "root"), "node", "left")
@@ -212,12 +254,14 @@ def _round(members: DataFrame, labels: DataFrame | None, low: int, high: int) ->
     rows = rows.join(main, "bucket").withColumn("minor", F.col("label") != F.col("main"))
     pivots = rows.filter(F.col("place") < high).select(
         "bucket", F.col("node").alias("x"), F.col("label").alias("x_label"), F.col("place").alias("x_place"),
-        F.col("minor").alias("x_minor"))
+        F.col("minor").alias("x_minor"), F.col("marks").alias("x_marks"))
     rows = rows.select("bucket", F.col("node").alias("y"), F.col("label").alias("y_label"),
-                       F.col("place").alias("y_place"), "minor")
-    met = rows.filter("minor").join(pivots, "bucket").unionByName(
-        rows.filter("NOT minor").join(pivots.filter("x_minor"), "bucket"))
-    met = met.filter("x_label != y_label AND (x_place < y_place OR (x_place = y_place AND x < y))")
+                       F.col("place").alias("y_place"), "minor", F.col("marks").alias("y_marks"))
+    # the test of marks is part of the join: pairs that fail it are never rows
+    alike = F.expr("x_label != y_label AND (x_place < y_place OR (x_place = y_place AND x < y))") & (
+        equal_marks("x_marks", "y_marks", m) >= least)
+    met = rows.filter("minor").join(pivots, "bucket").filter(alike).select("x", "y").unionByName(
+        rows.filter("NOT minor").join(pivots.filter("x_minor"), "bucket").filter(alike).select("x", "y"))
     return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
@@ -227,34 +271,37 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows:
 
     Documents whose multisets of five-word shingles have a weighted Jaccard similarity of
     `threshold` or more are linked, and classes are the connected components. With 24 bands of 4
-    a pair at 0.8 is missed about three times in a million. Words are lower-cased and lose marks
+    a pair at 0.8 is missed about three times in a million, and once more by its marks. Words are lower-cased and lose marks
     at their ends. Texts without words (null, empty, blank) are copies of one another and form one
     class; a text under five words is one shingle. A null id sorts first. Repeated rows share a
     class; other columns are ignored. An empty table gives no rows.
     """
     found = written(describe(docs, bands, rows), "signatures")
     nodes = written(found.groupBy("node").agg(
-        F.min(F.struct("doc", "a", "b")).alias("first"), F.first("bands").alias("bands")), "nodes")
+        F.min(F.struct("doc", "a", "b")).alias("first"), F.first("bands").alias("bands"),
+        F.first("marks").alias("marks")), "nodes")
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "key")).select(
         "node", F.xxhash64("band", "key").alias("bucket"))
     sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # a member's place in its bucket: random, about uniform over 0 .. n; a node comes early in all
     # its buckets or in none, so buckets of one group have the same pivots and a pair meets once
-    members = written(keyed.join(sizes, "bucket").withColumn(
-        "place", F.pmod(F.xxhash64("node"), F.lit(1 << 40)) / float(1 << 40) * F.col("n")), "members")
+    places = keyed.join(sizes, "bucket").withColumn(
+        "place", F.pmod(F.xxhash64("node"), F.lit(1 << 40)) / float(1 << 40) * F.col("n"))
+    members = written(places.join(nodes.select("node", "marks"), "node"), "members")
     largest = members.agg(F.max("n")).first()[0] or 0
     labels = None
-    if largest:
-        wanted = members.select("node").distinct().join(nodes, "node").select(
-            "node", F.col("first.a").alias("a"), F.col("first.b").alias("b"))
-        weights = written(_weights(docs, written(wanted, "wanted")), "weights")
-        links, low, high = None, 0, 4
-        while low < largest:
-            new = written(_verified(_round(members, labels, low, high), weights, threshold), "links")
+    least, links, low, high = least_equal(bands * rows, threshold), None, 0, 4
+    while low < largest:
+        pairs = written(_round(members, labels, low, high, bands * rows, least), "pairs")
+        if not pairs.isEmpty():
+            either = pairs.select(F.col("x").alias("node")).unionAll(pairs.select(F.col("y").alias("node"))).distinct()
+            wanted = written(either.join(nodes, "node").select(
+                "node", F.col("first.a").alias("a"), F.col("first.b").alias("b")), "wanted")
+            new = written(_verified(pairs, written(_weights(docs, wanted), "weights"), threshold), "links")
             if not new.isEmpty():
                 links = new if links is None else links.unionAll(new)
                 labels = written(components(links), "labels")
-            low, high = high, high * 8
+        low, high = high, high * 8
     classes = nodes.select("node", "first")
     if labels is not None:
         classes = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

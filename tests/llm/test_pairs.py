@@ -134,12 +134,12 @@ def test_every_pair_of_a_bucket_meets(spark):
         names = [bytes([k]) for k in range(n)]
         hub = rng.randrange(n)
         linked = {frozenset((names[hub], x)) for x in names if x != names[hub] and rng.random() < 0.8}
-        members = spark.createDataFrame([(1, x, rng.random() * n, n) for x in names],
-                                        "bucket long, node binary, place double, n long")
+        members = spark.createDataFrame([(1, x, rng.random() * n, n, [0]) for x in names],
+                                        "bucket long, node binary, place double, n long, marks array<long>")
         label = {x: x for x in names}
         for low, high in ((0, 4), (4, 32)):
             labels = spark.createDataFrame([(k, v) for k, v in label.items()], "node binary, label binary")
-            met = near_dup._round(members, labels if low else None, low, high).collect()
+            met = near_dup._round(members, labels if low else None, low, high, 7, 7).collect()
             for x, y in met:
                 if frozenset((bytes(x), bytes(y))) in linked:
                     a, b = sorted((label[bytes(x)], label[bytes(y)]))
@@ -147,6 +147,42 @@ def test_every_pair_of_a_bucket_meets(spark):
         assert all(len({label[x] for x in link}) == 1 for link in linked)
 
 
+@pytest.mark.parametrize("m", [7, 96, 30])
+def test_equal_marks(spark, m):
+    """Marks count equal components, but for a byte in 256 that is equal by chance."""
+    rng = np.random.default_rng(m)
+    a = rng.integers(0, 1 << 62, (50, m), dtype="u8")
+    b = np.where(rng.random((50, m)) < rng.random((50, 1)), a, rng.integers(0, 1 << 62, (50, m), dtype="u8"))
+    frame = spark.createDataFrame([(x.tolist(), y.tolist()) for x, y in zip(near_dup.marks_of(a), near_dup.marks_of(b))],
+                                  "x array<long>, y array<long>")
+    got = [r[0] for r in frame.select(near_dup.equal_marks("x", "y", m)).collect()]
+    want = (near_dup.mix(a + near_dup._odd[12]) & np.uint64(255)) == (near_dup.mix(b + near_dup._odd[12]) & np.uint64(255))
+    assert got == want.sum(1).tolist() and (np.array(got) >= (a == b).sum(1)).all()
+
+
+def test_least_equal_misses_one_in_a_million():
+    rng = np.random.default_rng(1)
+    for m, j in ((96, 0.8), (40, 0.5)):
+        least = near_dup.least_equal(m, j)
+        drawn = rng.binomial(m, j, 4_000_000)
+        assert (drawn < least).mean() < 1e-5 < (drawn < least + 3).mean() * 20
+
+
+def test_shared_passages_move_nothing(spark):
+    """Many texts share half their words: they meet in buckets, but hardly a pair is verified."""
+    rng = random.Random(4)
+    passage = [f"p{k}" for k in range(120)]
+    rows = [(k, " ".join(passage + [f"d{k}w{j}" for j in range(110)])) for k in range(200)]
+    rows += [(1000 + k, rows[k][1] + f" more{k}") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_groups(docs).collect()}
+    assert got == {k: k % 1000 for k, _ in rows}
+    found = near_dup.describe(docs, 24, 4).selectExpr("node", "explode(bands) AS bucket", "marks").distinct()
+    members = found.selectExpr("*", "0D AS place", "count(*) OVER (PARTITION BY bucket) AS n").filter("n > 1")
+    pairs = [near_dup._round(members, None, 0, 1, 96, least).count() for least in (0, near_dup.least_equal(96, 0.8))]
+    assert pairs[0] > 2000 and pairs[1] < pairs[0] / 20
+
+
 def test_components(spark):
     rng = random.Random(9)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 460)]
