@@ -110,6 +110,12 @@ def word_counts(sents: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def file_words(documents: DataFrame) -> DataFrame:
+    """`file, word, cnt` of documents with the name of the file that holds them."""
+    return tokens(sentences(documents, keep=["file"]), keep=["file"]).groupBy("file", "word").agg(
+        F.count(F.lit(1)).alias("cnt"))
+
+
 def corpus_size(sents: DataFrame) -> DataFrame:
     """Sentences, empty sentences and words in one pass."""
     n = F.size("words")

@@ -10,20 +10,20 @@ from pyspark.sql import functions as F
 from lexiframe.config import REPORT_METRICS
 from lexiframe.functions.hashing import assign_split
 from lexiframe.functions.sequences import squared_norm
-from lexiframe.operators import boosting, classify, corpus, metrics, skipgram, skipgram_model, vectors, vocabulary
+from lexiframe.operators import boosting, classify, corpus, metrics, skipgram, vectors, vocabulary
 from lexiframe.operators import experiments as ex
 from lexiframe.operators.scoring import score_pending
-from lexiframe.operators.skipgram_model import fit_skip_gram
 from lexiframe.plans.layout import cluster, new_path, shared_folder, spread, written
 from lexiframe.plans.runs import runs
 from lexiframe.plans.texts import SETTINGS, documents, saved_vocabulary
-from lexiframe.plans.vectors import EPOCHS, VECTOR_SIZE, id_vectors, pair_rows
+from lexiframe.plans.vectors import VECTOR_SIZE, id_vectors, trained_words
+from lexiframe.sources import partial
 from lexiframe.sources.artefacts import code_identity, input_identity, reuse_or_write
 from lexiframe.sources.reports import read_reports, write_reports
 from lexiframe.sources.tables import table
 from lexiframe.sources.vectors import read_vectors, write_vectors
 from lexiframe.streaming.documents import read_documents, run_index
-from lexiframe.streaming.experiments import run_scoring
+from lexiframe.streaming.experiments import read_batches, run_fits, run_scoring
 
 WORD_ITERATIONS = 25
 STAGES = 300
@@ -136,29 +136,18 @@ def joint_boosted(spark, folder):
 def learned_doc_vectors(spark, folder):
     """Documents pooled from word vectors that were trained on them: widths, null where no word is known."""
     vocab = saved_vocabulary(spark, folder)
-    words = written(_trained(spark, folder).select("id", "vector"), "word_vectors")
+    words = trained_words(spark, folder).select("id", "vector")
     ids = vocabulary.index_sentences(
         corpus.sentences(cluster(documents(spark, folder), "doc_id"), remove_stopwords=True), vocab)
     pooled = vectors.document_vectors(table(spark, folder, "documents"), ids, words)
     return pooled.select("doc_id", F.size("vector").alias("width"), (squared_norm(F.col("vector")) > 0).alias("moved"))
 
 
-def _trained(spark, folder):
-    """Word vectors of one training run, kept for the queries that read them."""
-    def make():
-        vocab = saved_vocabulary(spark, folder)
-        return fit_skip_gram(pair_rows(spark, folder), vocab, VECTOR_SIZE, SETTINGS.negative, EPOCHS).vectors
-
-    return reuse_or_write(spark, f"{shared_folder(spark)}/lexiframe/kept", "trained_words", SETTINGS,
-                          (input_identity(spark, [f"{folder}/documents.parquet"]),
-                           code_identity(skipgram, skipgram_model, corpus, vocabulary), EPOCHS), make)
-
-
 def learned_boosting(spark, folder):
     """The whole chain: words, vectors trained on them, pooled documents, joint boosting on their
     quality: each stage's held-out rows."""
     vocab = saved_vocabulary(spark, folder)
-    words = written(_trained(spark, folder).select("id", "vector"), "word_vectors")
+    words = trained_words(spark, folder).select("id", "vector")
     labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
     docs = table(spark, folder, "documents").select("doc_id", "text").join(labels.select("doc_id"), "doc_id", "left_semi")
     ids = vocabulary.index_sentences(corpus.sentences(docs, remove_stopwords=True), vocab)
@@ -207,6 +196,37 @@ def stream_tokens(spark, folder):
     return spark.read.parquet(output)
 
 
+def incremental_counts(spark, folder):
+    """Words counted file by file: four files first, then a fifth, of which alone is read again."""
+    arriving, kept = new_path(spark, "arriving"), new_path(spark, "partial_counts")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    for wave in ("doc_id % 5 < 4", "doc_id % 5 = 4"):
+        docs.filter(wave).write.mode("append").parquet(arriving)
+        counted = partial.counted_files(spark, [arriving], kept, corpus.file_words)
+    return counted.totals.select("word", "cnt", F.lit(counted.read_rows).cast("long").alias("read_rows"))
+
+
+def stream_fits(spark, folder):
+    """Vectors of two experiments that arrive in two waves, the second one's test split last: each is
+    fitted once, as soon as both its splits are there."""
+    stored, done, state = (new_path(spark, s) for s in ("vectors", "reports", "stream_state"))
+    rows = _embedded(spark, folder).withColumnRenamed("vec_id", "doc_id")
+    late = F.col("experiment").eqNullSafe("unit") & (F.col("split") == "test")
+    both = rows.withColumn("experiment", F.lit("raw")).unionByName(
+        vectors.unit_vectors(rows).withColumn("experiment", F.lit("unit")))
+    labels, classes = rows.select("doc_id", "label"), _classes(rows)
+    for wave in (~late, late):
+        write_vectors(both.filter(wave), stored)
+        run_fits(spark, stored, labels, done, state, lambda train, test: fit_score(train, test, classes))
+    return read_batches(spark, done).select("name", (F.col("f_measure") > 0).alias("fitted"))
+
+
+def fit_score(train, test, n_classes):
+    """Held-out scores of a softmax fit."""
+    model = classify.fit_softmax(train)
+    return metrics.weighted_report(metrics.confusion(classify.softmax_predictions(model, test)))
+
+
 def stream_pending(spark, folder):
     """Two waves of exports; the second repeats the first and adds more."""
     exports, reports, checkpoint = (new_path(spark, s) for s in ("exports", "reports", "stream_state"))
@@ -224,4 +244,4 @@ def stream_pending(spark, folder):
 QUERIES = {f.__name__: f for f in (
     word_vectors, boosted_trees, boosted_stages, joint_first_stage, joint_boosted, learned_doc_vectors,
     learned_boosting, scored_experiments, softmax_regression,
-    stream_tokens, stream_pending)}
+    stream_tokens, stream_pending, stream_fits, incremental_counts)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from lexiframe.operators.boosting import BINS, LEAST_GAIN, UNIT
 from lexiframe.plans.oracle_runs import METRICS, RUNS
 from lexiframe.plans.learning import STAGES
-from lexiframe.plans.oracle_texts import TOKEN_IDS
+from lexiframe.plans.oracle_texts import COUNTS, SENTENCES, TOKEN_IDS
 from lexiframe.plans.oracle_vectors import KEPT
 from lexiframe.plans.vectors import VECTOR_SIZE
 
@@ -75,6 +75,9 @@ ORACLE = {
     "joint_boosted": f"""
 SELECT stage::INT AS stage, n::BIGINT AS n_rows, CASE WHEN stage = {STAGES} THEN true END AS last_is_model
 FROM ({HELD_OUT}), range(1, {STAGES + 1}) AS r(stage)""",
+    "incremental_counts": f"""WITH {SENTENCES} {COUNTS}
+SELECT word, cnt, (SELECT count(*) FROM documents WHERE doc_id % 5 = 4) AS read_rows FROM counts""",
+    "stream_fits": "SELECT name, true AS fitted FROM (VALUES ('raw'), ('unit')) AS v(name)",
     "learned_doc_vectors": f"""WITH {TOKEN_IDS}, known AS (
   SELECT doc_id, count(*) FILTER (id > 0) AS n FROM ided GROUP BY doc_id)
 SELECT documents.doc_id, CASE WHEN n > 0 THEN {VECTOR_SIZE} END AS width, CASE WHEN n > 0 THEN true END AS moved

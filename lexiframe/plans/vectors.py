@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiframe.functions.hashing import assign_split
-from lexiframe.operators import bigram, corpus, skipgram, vectors, vocabulary
+from lexiframe.operators import bigram, corpus, skipgram, skipgram_model, vectors, vocabulary
 from lexiframe.operators.skipgram_model import fit_skip_gram
-from lexiframe.plans.layout import cluster, spread, written
+from lexiframe.plans.layout import cluster, shared_folder, spread, written
 from lexiframe.plans.texts import SETTINGS, documents, framed, saved_vocabulary
+from lexiframe.sources.artefacts import code_identity, input_identity, reuse_or_write
 from lexiframe.sources.tables import table
 
 SMOOTHING = 0.1
@@ -48,11 +49,22 @@ def negative_samples(spark, folder):
     return drawn.groupBy("center", "context").agg(F.array_join(in_turn, " ").alias("noise"))
 
 
+def trained_words(spark, folder):
+    """`id, vector, loss_falls` of one training run, kept for the queries that read it."""
+    def make():
+        model = fit_skip_gram(pair_rows(spark, folder), saved_vocabulary(spark, folder), VECTOR_SIZE,
+                              SETTINGS.negative, EPOCHS)
+        falls = all(b < a for a, b in zip(model.losses, model.losses[1:]))
+        return model.vectors.withColumn("loss_falls", F.lit(falls))
+
+    return reuse_or_write(spark, f"{shared_folder(spark)}/lexiframe/kept", "trained_words", SETTINGS,
+                          (input_identity(spark, [f"{folder}/documents.parquet"]),
+                           code_identity(skipgram, skipgram_model, corpus, vocabulary), EPOCHS, VECTOR_SIZE), make)
+
+
 def sgns_vectors(spark, folder):
     """Word vectors trained with negative sampling: each id's width, and whether the loss fell in every epoch."""
-    model = fit_skip_gram(pair_rows(spark, folder), saved_vocabulary(spark, folder), VECTOR_SIZE, SETTINGS.negative, EPOCHS)
-    falls = all(b < a for a, b in zip(model.losses, model.losses[1:]))
-    return model.vectors.select("id", F.size("vector").alias("width"), F.lit(falls).alias("loss_falls"))
+    return trained_words(spark, folder).select("id", F.size("vector").alias("width"), "loss_falls")
 
 
 def sppmi(spark, folder):

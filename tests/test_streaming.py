@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 from util import documents, random_texts
 
@@ -5,7 +6,8 @@ from lexiframe.operators import corpus, vocabulary
 from lexiframe.plans.layout import written
 from lexiframe.sources import reports as rp
 from lexiframe.streaming.documents import read_documents, run_index
-from lexiframe.streaming.experiments import run_scoring
+from lexiframe.sources.vectors import write_vectors
+from lexiframe.streaming.experiments import read_batches, run_fits, run_scoring
 
 
 def test_stream_equals_batch_and_takes_new_files_once(spark, folder):
@@ -45,3 +47,36 @@ def test_experiments_are_scored_once(spark, folder):
     assert run([("a", 0.1), ("a", 0.2)]) == {"a": 0.2}
     assert run([("a", 0.9), ("b", 0.3)]) == {"a": 0.2, "b": 0.3}
     assert rp.read_reports(spark, done).count() == 2
+
+
+def test_ready_experiments_are_fitted_once(spark, folder):
+    """A run that breaks off in the middle of a batch adds nothing twice."""
+    stored, done, state = f"{folder}/vectors", f"{folder}/reports", f"{folder}/state"
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, label int")
+    fitted, broken = [], []
+
+    def fit(train, test):
+        counts = (train.count(), test.count())
+        if len(fitted) == 1 and not broken:
+            broken.append(True)
+            raise RuntimeError("lost")
+        fitted.append(counts)
+        return spark.createDataFrame([(float(counts[0]), float(counts[1]), 0.0, 0.5)],
+                                     "accuracy double, precision double, recall double, f_measure double")
+
+    def arrive(*parts):
+        rows = [(name, split, k, [float(k)]) for name, split, ks in parts for k in ks]
+        write_vectors(spark.createDataFrame(rows, "experiment string, split string, doc_id long, vector array<double>"), stored)
+
+    def run():
+        run_fits(spark, stored, labels, done, state, fit)
+        return sorted((r["name"], r["accuracy"], r["precision"]) for r in read_batches(spark, done).collect())
+
+    arrive(("a", "train", range(8)), ("b", "train", range(5)))
+    assert run() == [] and not fitted
+    arrive(("a", "test", range(8, 10)), ("b", "test", range(5, 9)))
+    with pytest.raises(Exception, match="lost"):
+        run()
+    assert run() == [("a", 8.0, 2.0), ("b", 5.0, 4.0)]
+    arrive(("a", "test", range(12, 15)), ("c", "test", [1]), ("c", "train", [2]))
+    assert run() == [("a", 8.0, 2.0), ("b", 5.0, 4.0), ("c", 1.0, 1.0)]
