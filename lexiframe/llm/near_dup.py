@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 
 from lexiframe.llm.common import Lookup, chunks, free, row_key, ship, text_of
 from lexiframe.plans.layout import written
+from lexiframe.plans.lookup import table_size
 
 WORDS = 5
 MARKS = ".,;:!?\"'()[]{}«»¿¡…-_*#"
 _odd = np.random.default_rng(20).integers(1 << 62, 1 << 63, 16, dtype="u8") | np.uint64(1)
 PLACES, MOST_PLACES = 1 << 26, 1 << 20
+SMALL_WEIGHTS = 16 << 20
 LEFT_OUT = 1e-6  # of the pairs at the threshold
 
 
@@ -194,7 +196,12 @@ def _weights(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, weights: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (x, y) whose weighted Jaccard similarity reaches the threshold."""
+    """The pairs (x, y) whose weighted Jaccard similarity reaches the threshold.
+
+    A small table of shingles goes to the pairs, so that those of one large group do not carry
+    theirs through two shuffles; a larger one is joined.
+    """
+    small = table_size(weights)[1] <= SMALL_WEIGHTS
     @F.pandas_udf("boolean")
     def alike(xi: pd.Series, xc: pd.Series, yi: pd.Series, yc: pd.Series) -> pd.Series:
         out = []
@@ -208,7 +215,8 @@ def _verified(pairs: DataFrame, weights: DataFrame, threshold: float) -> DataFra
 
     side = lambda n: weights.select(F.col("node").alias(n), F.col("items").alias(f"{n}_items"),
                                     F.col("counts").alias(f"{n}_counts"))
-    return (pairs.join(side("x"), "x").join(side("y"), "y")
+    sent = F.broadcast if small else (lambda rows: rows)
+    return (pairs.join(sent(side("x")), "x").join(sent(side("y")), "y")
             .filter(alike("x_items", "x_counts", "y_items", "y_counts")).select("x", "y"))
 
 
