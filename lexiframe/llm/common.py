@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from lexiframe.plans.shipping import ship
 
-__all__ = ["Lookup", "chunks", "free", "parts_for", "row_key", "ship", "text_of"]
+__all__ = ["Lookup", "chunks", "free", "parts_for", "row_key", "sample_places", "sample_texts", "ship", "text_of"]
+
+HASH_PLACES = 1 << 40
+
 
 def free(df: DataFrame, *names: str) -> list[str]:
     """Column names that `df` does not use yet, whatever their case."""
@@ -39,6 +42,19 @@ def parts_for(rows: int, each: int, least: int = 1) -> int:
     return max(least, -(-rows // each))
 
 
+def sample_places(total: int, most: int) -> int:
+    """How many of the `HASH_PLACES` hold about `most` of `total` texts."""
+    return HASH_PLACES if total <= most else HASH_PLACES * most // total
+
+
+def sample_texts(docs: DataFrame, most: int) -> DataFrame:
+    """About `most` distinct texts, chosen by hash; all of them where there are no more."""
+    texts = docs.select(text_of().alias("text"))
+    total = texts.select(F.xxhash64("text").alias("hash")).distinct().count()
+    place = F.pmod(F.xxhash64("text"), F.lit(HASH_PLACES))
+    return texts.filter(place < F.lit(sample_places(total, most))).distinct()
+
+
 class Lookup(dict):
     """word -> value of `make`; emptied when it holds `most` words, so its memory is bounded."""
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiframe.llm.common import Lookup, free, ship, text_of
+from lexiframe.llm.common import Lookup, free, sample_texts, ship, text_of
 from lexiframe.llm.linear import Linear, bucket
 
 SYMBOLS = "#*$%&|<>{}=~^"
@@ -142,14 +142,10 @@ def hashed(text: str, table: Lookup) -> np.ndarray:
 
 def fit(docs: DataFrame, max_rows: int = 8_000) -> tuple[LabelModel, Linear]:
     """The label model from the votes on all documents, and the scorer from about `max_rows`
-    documents chosen by hash. At most 3^labellers patterns reach the driver."""
+    distinct texts chosen by hash. At most 3^labellers patterns reach the driver."""
     got = vote_counts(docs).orderBy("votes").toPandas()
     patterns = np.array(got["votes"].tolist(), int).reshape(-1, len(NAMES))
     model = LabelModel(patterns, got["n"].to_numpy(float))
-    total = int(got["n"].sum())
-    # a bound on the share of hashes keeps the sample near max_rows at any size
-    part = int(min(1.0, max_rows / max(1, total)) * (1 << 20))
-    sample = docs.select(text_of().alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < part)
 
     def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = shape_table()
@@ -157,7 +153,7 @@ def fit(docs: DataFrame, max_rows: int = 8_000) -> tuple[LabelModel, Linear]:
             yield pd.DataFrame({"rows": [hashed(t, table).astype("<i4").tobytes() for t in batch["text"]],
                                 "votes": [list(votes(t)) for t in batch["text"]]})
 
-    rows = sample.distinct().mapInPandas(described, "rows binary, votes array<int>").toPandas()
+    rows = sample_texts(docs, max_rows).mapInPandas(described, "rows binary, votes array<int>").toPandas()
     rows = rows.sort_values("rows", kind="stable", ignore_index=True)
     y = model.posterior(np.array(rows["votes"].tolist(), int).reshape(-1, len(NAMES)))
     x = [np.frombuffer(b, "<i4").astype("i8") for b in rows["rows"]]

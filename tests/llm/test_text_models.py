@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiframe.llm import pii, quality_model, toxicity
+from lexiframe.llm.common import HASH_PLACES, sample_places, sample_texts
 from lexiframe.llm.linear import Linear
 from lexiframe.sources.tables import table
 
@@ -199,3 +200,31 @@ def test_chain_feeds_earlier_categories():
 def test_linear_with_one_label_is_constant():
     model = Linear.fit([np.array([1, 2])] * 5, np.zeros(5), np.zeros((5, 0)))
     assert model.predict([np.array([1])], np.zeros((1, 0)))[0] < 0.01
+
+
+@pytest.mark.parametrize("n", [100, 512, 513, 700, 5000])
+def test_candidates_of_any_length(n):
+    for text, kind in (("a" * n + "7" + "b" * n, "secret"), ("x" * n + "@" + "y" * n + ".z", "email"),
+                       ("x" * n + " [at] " + "y" * n, "email")):
+        a = text.find(" ") + 1 if " " not in text else 0
+        assert (kind, a, len(text)) in pii.candidates(text)
+        assert (kind, 2, 2 + len(text)) in pii.candidates("( " + text + " )")
+
+
+@pytest.mark.parametrize("text", ["a" * 300_000, "ab@" * 100_000, "a1=" * 100_000, "x [at] " * 50_000,
+                                  "a" * 20 + "1" + "=" * 300_000 + "b", "x" * 300_000 + " [at"])
+def test_generators_are_linear(text):
+    pii.candidates(text)
+
+
+def test_sample_never_vanishes():
+    for total in (8_000, 10**6, 10**10, 10**11):
+        expected = total * sample_places(total, 8_000) / HASH_PLACES
+        assert 7_000 < expected <= 8_000
+    assert sample_places(0, 8_000) == sample_places(7_999, 8_000) == HASH_PLACES
+
+
+def test_copies_do_not_shrink_the_sample(spark):
+    docs = spark.range(3000).selectExpr("CASE WHEN id < 2000 THEN 'same' ELSE concat('t', id) END AS text")
+    assert sample_texts(docs, 1001).count() == 1001
+    assert 350 < sample_texts(docs, 500).count() < 650
