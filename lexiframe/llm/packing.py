@@ -181,7 +181,7 @@ def _pieces_of(doc, place, ids, words, window, end_id, n_shards):
     if full < n:
         terms, counts = np.unique(words, return_counts=True)
         yield (doc, place % n_shards, place, full, n, _small(ids[full:]), terms.astype("<u4").tobytes(),
-               np.minimum(counts, 255).astype("u1").tobytes())
+               counts.astype("u1" if counts.max(initial=0) < 256 else "<u4").tobytes())
 
 
 class Bm25:
@@ -228,7 +228,7 @@ def _fill(group: pd.DataFrame, window: int):
     doc_ids, starts, totals = (tails[c].tolist() for c in ("doc_id", "start", "doc_tokens"))
     ids = [_large(x) for x in tails["ids"]]
     terms = [np.frombuffer(x, "<u4") for x in tails["terms"]]
-    counts = [np.frombuffer(x, "u1") for x in tails["counts"]]
+    counts = [np.frombuffer(c, "u1" if len(c) == len(t) else "<u4") for c, t in zip(tails["counts"], terms)]
     index = Bm25(terms, counts, np.array([max(1, c.sum(dtype="i8")) for c in counts], "f8"))
     n, taken = len(ids), [0] * len(ids)
     unused = np.ones(n, bool)

@@ -139,3 +139,35 @@ def test_bpe_query(spark, small, library):
         assert got["n_tokens"] == len(ids)
         assert got["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert got["decoded_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest()
+
+
+def test_packing_over_shards(spark, library, vocabulary):
+    """Every id once and gapless sequences, one short one a shard; a word a thousand times keeps its count."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["cat", "dog", "stone", "river", "light", "cloud"]) + str(rng.randrange(40))
+                      for _ in range(rng.randrange(400))) for _ in range(120)] + ["cat " * 900 + "dog"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.pack(docs, vocabulary, window=512, shard_docs=25).collect()
+    whole = {k: e.ids + [0] for k, e in enumerate(library.encode_batch(texts, add_special_tokens=False))}
+    cells, used, shards = defaultdict(list), defaultdict(list), set()
+    for r in rows:
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        assert ids == whole[r["doc_id"]][r["start"]:r["start"] + r["length"]]
+        cells[r["doc_id"]].append((r["start"], r["length"]))
+        used[r["sequence_id"]].append((r["offset"], r["length"]))
+        shards.add(r["sequence_id"] >> 32)
+    for parts, total in [(cells[k], len(ids)) for k, ids in whole.items()] + [(x, None) for x in used.values()]:
+        at = 0
+        for start, length in sorted(parts):
+            assert start == at
+            at += length
+        assert at == total if total else at <= 512
+    assert len(shards) == 5 and sum(sum(n for _, n in x) < 512 for x in used.values()) <= 5
+
+
+def test_counts_are_whole():
+    words = np.repeat(np.arange(3, dtype="u4"), [1000, 1, 70_000])
+    (piece,) = packing._pieces_of(1, 5, np.arange(9, dtype="u4"), words, 1024, 0, 1)
+    assert np.frombuffer(piece[-1], "<u4").tolist() == [1000, 1, 70_000]
+    (piece,) = packing._pieces_of(1, 5, np.arange(9, dtype="u4"), words[999:1001], 1024, 0, 1)
+    assert np.frombuffer(piece[-1], "u1").tolist() == [1, 1]
