@@ -201,6 +201,13 @@ def test_components(spark):
     assert got == {k: find(k) for a, b in links if a != b for k in (a, b)}
 
 
+def test_frequencies_of_any_size():
+    for numbers in ([], [1, 2**32 - 1], [7, 2**32, 2**40]):
+        packed = search.narrow(numbers)
+        assert packed.tolist() == numbers
+        assert packed.itemsize == (8 if max(numbers, default=0) >= 2**32 else 4)
+
+
 @pytest.mark.parametrize("shard, block", [(60, 7), (1000, 1000)])
 def test_search(spark, small, shard, block):
     docs = table(spark, small, "documents").select("doc_id", "text")
