@@ -12,6 +12,9 @@ Meetings are not expanded into all pairs: a growing number of pivots per bucket
 once, with the later members that are of another component at that moment. Rounds go on until
 every member has been a pivot or every bucket is one component. So of any two members the earlier
 meets the later, unless they are of one component by then, and no link is lost inside a bucket.
+The members of a large bucket meet in blocks: a task holds a bounded block of pivots and one of
+members, compares their signatures, and only for those that may be alike their shingles; it gives
+the links that join its parts, so that no pair of a large group is a row.
 """
 
 from collections.abc import Iterator
@@ -25,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiframe.llm.common import Lookup, chunks, free, row_key, ship, text_of
+from lexiframe.llm.packing import spans
 from lexiframe.plans.layout import written
 from lexiframe.plans.lookup import table_size
 
@@ -34,6 +38,8 @@ _odd = np.random.default_rng(20).integers(1 << 62, 1 << 63, 16, dtype="u8") | np
 PLACES, MOST_PLACES = 1 << 26, 1 << 20
 SMALL_WEIGHTS = 16 << 20
 LEFT_OUT = 1e-6  # of the pairs at the threshold
+LARGE = 256  # members; buckets of more meet in blocks
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20  # members of a block, and its shingles where texts are long
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -246,10 +252,9 @@ def components(links: DataFrame) -> DataFrame:
             return leaves.unionAll(edges.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct())
 
 
-def _round(members: DataFrame, labels: DataFrame | None, low: int, high: int, m: int, least: int) -> DataFrame:
-    """Pairs (x, y) of different components with `least` equal components or more: pivots of this
-    round with the later members of their buckets. Members of a bucket's main component are joined
-    only with pivots outside it."""
+def _open(members: DataFrame, labels: DataFrame | None, low: int) -> DataFrame:
+    """The members that have not been pivots, of buckets with several components, with their
+    `label`, and `minor` for those outside the bucket's main component."""
     rows = members.filter(F.col("place") >= low)  # the earlier ones have met all others
     if labels is not None:
         rows = rows.join(labels.withColumnRenamed("label", "root"), "node", "left")
@@ -259,7 +264,14 @@ def _round(members: DataFrame, labels: DataFrame | None, low: int, high: int, m:
     main = (rows.groupBy("bucket", "label").count().groupBy("bucket")
             .agg(F.max(F.struct("count", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
             .filter("labels > 1").select("bucket", F.col("most.label").alias("main")))
-    rows = rows.join(main, "bucket").withColumn("minor", F.col("label") != F.col("main"))
+    return rows.join(main, "bucket").withColumn("minor", F.col("label") != F.col("main"))
+
+
+def _round(members: DataFrame, labels: DataFrame | None, low: int, high: int, m: int, least: int) -> DataFrame:
+    """Pairs (x, y) of different components with `least` equal components or more: pivots of this
+    round with the later members of their buckets. Members of a bucket's main component are joined
+    only with pivots outside it."""
+    rows = _open(members, labels, low)
     pivots = rows.filter(F.col("place") < high).select(
         "bucket", F.col("node").alias("x"), F.col("label").alias("x_label"), F.col("place").alias("x_place"),
         F.col("minor").alias("x_minor"), F.col("marks").alias("x_marks"))
@@ -273,6 +285,115 @@ def _round(members: DataFrame, labels: DataFrame | None, low: int, high: int, m:
     return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
+BLOCK_KEY = ["bucket", "p", "q"]
+
+
+def _large(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The members of large buckets with their bands, and `each`, the size of their bucket's blocks."""
+    rows = members.filter(F.col("n") > LARGE).join(nodes.select("node", "bands", "total"), "node")
+    longest = F.greatest(F.max("total"), F.lit(1))
+    each = F.greatest(F.lit(4), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_SHINGLES) / longest))).cast("int")
+    return rows.join(rows.groupBy("bucket").agg(each.alias("each")), "bucket").drop("total")
+
+
+def _meet(left: pd.DataFrame, right: pd.DataFrame, m: int, least: int) -> pd.DataFrame:
+    """The pairs of a block of pivots and a block of members that may be alike, in one row: its
+    nodes, and pairs of their numbers. A pair is of the first band that it shares."""
+    none = pd.DataFrame({"bucket": pd.Series(dtype="i8"), "p": pd.Series(dtype="i8"), "q": pd.Series(dtype="i8"),
+                         "nodes": pd.Series(dtype=object), "pairs": pd.Series(dtype=object)})
+    if not len(left) or not len(right):
+        return none
+    label = pd.factorize(pd.concat([left["label"], right["label"]]))[0]
+    nodes, number = np.unique(np.array([*left["node"], *right["node"]], object), return_inverse=True)
+    n, band = len(left), int(left["band"].iloc[0])
+    marks, bands = ([np.array(side[c].tolist(), "i8") for side in (left, right)] for c in ("marks", "bands"))
+    seen = [x.view("u1").reshape(len(x), -1) for x in marks]
+    spare = seen[0].shape[1] - m  # bytes that no component has
+    place, minor = ([side[c].to_numpy() for side in (left, right)] for c in ("place", "minor"))
+    out = []
+    for k in range(0, n, 32):
+        s = slice(k, k + 32)
+        x, y = number[:n][s, None], number[None, n:]
+        later = (place[0][s, None] < place[1]) | ((place[0][s, None] == place[1]) & (x < y))
+        wanted = later & (label[:n][s, None] != label[None, n:]) & (minor[0][s, None] | minor[1])
+        a, b = np.nonzero(wanted)
+        if len(a):
+            a += k
+            first = (bands[0][a] == bands[1][b]).argmax(1) == band
+            a, b = a[first], b[first]
+            close = (seen[0][a] == seen[1][b]).sum(1) - spare >= least
+            out.append(np.stack([number[:n][a[close]], number[n:][b[close]]], 1))
+    pairs = np.concatenate(out) if out else np.zeros((0, 2), "i8")
+    if not len(pairs):
+        return none
+    used, short = np.unique(pairs, return_inverse=True)
+    key = left[BLOCK_KEY].iloc[0].tolist()
+    return pd.DataFrame([[*key, nodes[used].tolist(), short.reshape(-1, 2).astype("<i4").tobytes()]], columns=none.columns)
+
+
+def _blocks(large: DataFrame, labels: DataFrame | None, low: int, high: int, m: int, least: int) -> DataFrame:
+    """Blocks (bucket, p, q) of pivots of this round and later members, with what may be alike."""
+    rows = _open(large, labels, low).withColumn("own", F.floor(F.col("place") / F.col("each"))).select(
+        "bucket", "band", "node", "marks", "bands", "label", "minor", "place", "own",
+        F.floor(F.lit(low) / F.col("each")).alias("begin"),
+        F.floor((F.least(F.lit(high), F.col("n")) - 1) / F.col("each")).alias("end"),
+        F.floor(F.col("n") / F.col("each")).alias("last"))
+    pivots = rows.filter(F.col("place") < high).withColumn("p", F.col("own")).withColumn(
+        "q", F.explode(F.sequence("own", "last")))
+    others = rows.filter(F.col("begin") <= F.least("own", "end")).withColumn("q", F.col("own")).withColumn(
+        "p", F.explode(F.sequence("begin", F.least("own", "end"))))
+    others = others.toDF(*others.columns)  # its own columns: the two sides come from the same rows
+    return pivots.groupBy(BLOCK_KEY).cogroup(others.groupBy(BLOCK_KEY)).applyInPandas(
+        lambda left, right: _meet(left, right, m, least),
+        "bucket long, p long, q long, nodes array<binary>, pairs binary")
+
+
+def _links(nodes: list, pairs: np.ndarray, sets: list, weights: list, threshold: float) -> list:
+    """Pairs of nodes whose weighted Jaccard similarity reaches the threshold, as many as join the
+    parts of a block: a pair of one part already is not compared."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    every, weight = np.concatenate(sets), np.concatenate(weights).astype("i8")
+    total = np.bincount(owner, weight, len(sets))
+    order = np.argsort(every, kind="stable")
+    every, owner, weight = every[order], owner[order], weight[order]
+    part, found = np.arange(len(sets)), []
+    order = np.argsort(pairs[:, 0], kind="stable")
+    starts = np.flatnonzero(np.diff(pairs[order, 0], prepend=-1))
+    for rows in np.split(pairs[order], starts[1:]):
+        x, ys = rows[0, 0], np.unique(rows[:, 1])
+        ys = ys[part[ys] != part[x]]
+        if not len(ys):
+            continue
+        low, high = np.searchsorted(every, sets[x], "left"), np.searchsorted(every, sets[x], "right")
+        at = spans(low, high)
+        both = np.bincount(owner[at], np.minimum(weight[at], np.repeat(weights[x].astype("i8"), high - low)), len(sets))[ys]
+        for y in ys[both >= threshold * (total[x] + total[ys] - both) - 1e-9]:
+            if part[y] != part[x]:
+                part[part == part[y]] = part[x]
+                found.append((nodes[x], nodes[y]))
+    return found
+
+
+def _verified_blocks(blocks: DataFrame, weights: DataFrame, threshold: float) -> DataFrame:
+    """The links (x, y) that join the parts of each block; a block's task gets its nodes' shingles once."""
+    asked = blocks.select(*BLOCK_KEY, F.explode("nodes").alias("node"))
+    table = F.broadcast(weights) if table_size(weights)[1] <= SMALL_WEIGHTS else weights
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        nodes = list(left["nodes"].iloc[0])
+        by = {node: k for k, node in enumerate(right["node"])}
+        rows = [by[node] for node in nodes]
+        sets = [np.frombuffer(right["items"].iloc[k], "<u8") for k in rows]
+        counts = [np.frombuffer(c, "<u1" if len(c) == len(s) else "<u4")
+                  for c, s in ((right["counts"].iloc[k], s) for k, s in zip(rows, sets))]
+        pairs = np.frombuffer(left["pairs"].iloc[0], "<i4").reshape(-1, 2)
+        return pd.DataFrame(_links(nodes, pairs, sets, counts, threshold), columns=["x", "y"])
+
+    held = asked.join(table, "node")
+    return blocks.groupBy(BLOCK_KEY).cogroup(held.toDF(*held.columns).groupBy(BLOCK_KEY)).applyInPandas(
+        run, "x binary, y binary")
+
+
 def near_groups(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int = 4) -> DataFrame:
     """One row per row of `docs`: doc_id, its key (a, b), class_id and the key of the class's
     first document (class_a, class_b; smallest doc_id, then key).
@@ -287,9 +408,9 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows:
     found = written(describe(docs, bands, rows), "signatures")
     nodes = written(found.groupBy("node").agg(
         F.min(F.struct("doc", "a", "b")).alias("first"), F.first("bands").alias("bands"),
-        F.first("marks").alias("marks")), "nodes")
+        F.first("marks").alias("marks"), F.first("total").alias("total")), "nodes")
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "key")).select(
-        "node", F.xxhash64("band", "key").alias("bucket"))
+        "node", "band", F.xxhash64("band", "key").alias("bucket"))
     sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # a member's place in its bucket: random, about uniform over 0 .. n; a node comes early in all
     # its buckets or in none, so buckets of one group have the same pivots and a pair meets once
@@ -297,15 +418,24 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows:
         "place", F.pmod(F.xxhash64("node"), F.lit(1 << 40)) / float(1 << 40) * F.col("n"))
     members = written(places.join(nodes.select("node", "marks"), "node"), "members")
     largest = members.agg(F.max("n")).first()[0] or 0
+    small = members.filter(F.col("n") <= LARGE)
+    large = written(_large(members, nodes), "large_buckets") if largest > LARGE else None
     labels = None
-    least, links, low, high = least_equal(bands * rows, threshold), None, 0, 4
+    m, links, low, high = bands * rows, None, 0, 4
+    least = least_equal(m, threshold)
     while low < largest:
-        pairs = written(_round(members, labels, low, high, bands * rows, least), "pairs")
-        if not pairs.isEmpty():
-            either = pairs.select(F.col("x").alias("node")).unionAll(pairs.select(F.col("y").alias("node"))).distinct()
+        pairs = written(_round(small, labels, low, high, m, least), "pairs") if low < LARGE else None
+        blocks = written(_blocks(large, labels, low, high, m, least), "blocks") if large is not None else None
+        sides = [] if pairs is None else [pairs.select(F.col(s).alias("node")) for s in ("x", "y")]
+        sides += [blocks.select(F.explode("nodes").alias("node"))] if blocks is not None else []
+        either = written(reduce(DataFrame.unionAll, sides).distinct(), "candidates")
+        if not either.isEmpty():
             wanted = written(either.join(nodes, "node").select(
                 "node", F.col("first.a").alias("a"), F.col("first.b").alias("b")), "wanted")
-            new = written(_verified(pairs, written(_weights(docs, wanted), "weights"), threshold), "links")
+            weights = written(_weights(docs, wanted), "weights")
+            found_now = [] if pairs is None else [_verified(pairs, weights, threshold)]
+            found_now += [_verified_blocks(blocks, weights, threshold)] if blocks is not None else []
+            new = written(reduce(DataFrame.unionAll, found_now), "links")
             if not new.isEmpty():
                 links = new if links is None else links.unionAll(new)
                 labels = written(components(links), "labels")

@@ -126,6 +126,56 @@ def test_stars(spark):
     assert got == want
 
 
+def loose_texts(seed, n=60):
+    """Copies of one base with up to twelve words changed: some are alike to many, some to none."""
+    rng = random.Random(seed)
+    words = [f"b{rng.randrange(90)}" for _ in range(120)]
+    texts = []
+    for k in range(n):
+        own = list(words)
+        for at in rng.sample(range(120), rng.choice([0, 1, 2, 4, 6, 12])):
+            own[at] = f"c{k}x{at}"
+        texts.append(" ".join(own))
+    return texts
+
+
+@pytest.mark.parametrize("block, shingles", [(5, 1 << 20), (1000, 1 << 20), (1000, 1)])
+def test_blocks_of_large_buckets(spark, monkeypatch, block, shingles):
+    """Buckets of four members or more meet in blocks and give the classes of all pairs."""
+    for name, value in (("LARGE", 3), ("BLOCK", block), ("BLOCK_SHINGLES", shingles)):
+        monkeypatch.setattr(near_dup, name, value)
+    rows, want = [], {}
+    for group in [*star_texts()[::8], *map(loose_texts, range(4))]:
+        own = [(len(rows) + k, t) for k, t in enumerate(group)]
+        rows += own
+    want = brute.classes({k: brute.shingle_counts(t) for k, t in rows})
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_groups(docs).collect()}
+    assert got == want
+
+
+def test_links_of_a_block_join_what_is_alike():
+    """As many links as join the parts that all pairs at the threshold make."""
+    rng = random.Random(2)
+    sets = [brute.shingle_counts(t) for t in loose_texts(9, 40)]
+    number = {s: k for k, s in enumerate(sorted({s for own in sets for s in own}))}
+    pairs = [(a, b) for a in range(40) for b in range(40) if a != b and rng.random() < 0.6]
+    items = [np.array(sorted(number[s] for s in own), "u8") for own in sets]
+    name = sorted(number, key=number.get)
+    counts = [np.array([own[name[int(i)]] for i in ids], "u1") for own, ids in zip(sets, items)]
+    found = near_dup._links(list(range(40)), np.array(pairs), items, counts, 0.8)
+    alike = [(a, b) for a, b in pairs if brute.jaccard(sets[a], sets[b]) >= 0.8]
+    assert set(found) <= set(alike)
+
+    def parts(links):
+        part = list(range(40))
+        for a, b in links:
+            part = [part[a] if p == part[b] else p for p in part]
+        return {frozenset(k for k in range(40) if part[k] == p) for p in part}
+
+    assert parts(found) == parts(alike) and len(found) == 40 - len(parts(alike))
+
+
 def test_every_pair_of_a_bucket_meets(spark):
     """Rounds over one bucket with random links find the same components as all pairs."""
     for seed in range(6):
