@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lexiframe.plans.oracle_texts import FRAMES, INDEXED, SENTENCES, SETTINGS, VOCAB, tokens_of
 from lexiframe.operators.skipgram import DIGITS, NOISE_UNIT
-from lexiframe.plans.vectors import SMOOTHING, VECTOR_SIZE
+from lexiframe.plans.vectors import FACTORS, SMOOTHING, VECTOR_SIZE
 
 KEPT = SENTENCES + VOCAB + tokens_of("sents", "toks") + f""",
 probs AS (
@@ -68,6 +68,15 @@ whole AS (SELECT sum(cnt)::DOUBLE AS n FROM pairs)
 SELECT DISTINCT p.center AS id, {VECTOR_SIZE} AS width
 FROM pairs p JOIN sums a ON p.center = a.center JOIN sums b ON p.context = b.center, whole w
 WHERE ln(p.cnt::DOUBLE * w.n / (a.n * b.n)) - ln({SETTINGS.negative}.0::DOUBLE) > 0""",
+    "svd_vectors": f"""WITH {PAIRS},
+sums AS (SELECT center, sum(cnt)::DOUBLE AS n FROM pairs GROUP BY center),
+whole AS (SELECT sum(cnt)::DOUBLE AS n FROM pairs),
+words_in AS (
+  SELECT count(DISTINCT p.center) AS n_words
+  FROM pairs p JOIN sums a ON p.center = a.center JOIN sums b ON p.context = b.center, whole w
+  WHERE ln(p.cnt::DOUBLE * w.n / (a.n * b.n)) - ln({SETTINGS.negative}.0::DOUBLE) > 0)
+SELECT component::INT AS component, n_words, true AS falls, true AS holds
+FROM words_in, range(1, {FACTORS + 1}) AS r(component) WHERE component <= n_words""",
     "doc_vectors": f"""WITH {INDEXED},
 given AS (SELECT vec_id, embedding, (SELECT count(*) FROM embeddings) AS n FROM embeddings),
 words_in AS (

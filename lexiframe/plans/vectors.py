@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiframe.functions.hashing import assign_split
-from lexiframe.operators import bigram, corpus, skipgram, skipgram_model, vectors, vocabulary
+from lexiframe.operators import bigram, corpus, factors, skipgram, skipgram_model, vectors, vocabulary
 from lexiframe.operators.skipgram_model import fit_skip_gram
 from lexiframe.plans.layout import cluster, shared_folder, spread, written
 from lexiframe.plans.texts import SETTINGS, documents, framed, saved_vocabulary
@@ -15,6 +15,7 @@ from lexiframe.sources.tables import table
 SMOOTHING = 0.1
 VECTOR_SIZE = 100
 EPOCHS = 25
+FACTORS = 50
 
 
 def kept_tokens(spark, folder, vocab, place=cluster):
@@ -83,6 +84,35 @@ def sppmi_vectors(spark, folder):
     return factors.select("id", F.size("vector").alias("width"))
 
 
+def kept_cells(spark, folder):
+    """The cells above zero, written for the many products of a factorisation."""
+    return written(_cells(spark, folder).filter("sppmi > 0").select("center", "context", "sppmi"), "sppmi")
+
+
+def cell_factors(spark, folder):
+    return factors.truncated_svd(kept_cells(spark, folder), FACTORS)
+
+
+def svd_vectors(spark, folder):
+    """Singular vectors of all cells, zeros among them: each one's words, whether its value is no
+    larger than the one before, and whether one more product of the matrix confirms it."""
+    cells = kept_cells(spark, folder)
+    found = factors.truncated_svd(cells, FACTORS)
+    width = len(found.values)
+    image = factors.product(cells.withColumnRenamed("sppmi", "value"), found.vectors, width)
+    both = found.vectors.join(image, "id").select(F.posexplode(F.arrays_zip("vector", "image")).alias("at", "x"))
+    seen = both.groupBy("at").agg(
+        F.count(F.lit(1)).alias("n_words"), F.sum(F.col("x.vector") * F.col("x.image")).alias("ray"),
+        F.sum(F.col("x.image") * F.col("x.image")).alias("square"))
+    value = F.element_at(F.array(*[F.lit(float(v)) for v in found.values] or [F.lit(0.0)]), F.col("at") + 1)
+    falls = [bool(a >= b) for a, b in zip([float("inf"), *found.values], found.values)]
+    near = F.lit(1e-6 * float(max(found.values, default=0.0)))
+    rest = F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("ray") * F.col("ray")))
+    return seen.select((F.col("at") + 1).alias("component"), "n_words",
+                       F.element_at(F.array(*[F.lit(x) for x in falls] or [F.lit(True)]), F.col("at") + 1).alias("falls"),
+                       ((rest <= near) & (F.abs(F.abs(F.col("ray")) - value) <= near)).alias("holds"))
+
+
 def id_vectors(spark, folder, vocab):
     """Exact stand-in vectors: each vocabulary id takes an embedding in turn."""
     given = table(spark, folder, "embeddings")
@@ -128,5 +158,5 @@ def masked_cost(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    subsampled_tokens, skipgram_pairs, noise_distribution, negative_samples, sgns_vectors, sppmi, sppmi_vectors, doc_vectors, unit_vectors,
+    subsampled_tokens, skipgram_pairs, noise_distribution, negative_samples, sgns_vectors, sppmi, sppmi_vectors, svd_vectors, doc_vectors, unit_vectors,
     bigram_perplexity, masked_cost)}
