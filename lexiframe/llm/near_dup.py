@@ -421,7 +421,7 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows:
     small = members.filter(F.col("n") <= LARGE)
     large = written(_large(members, nodes), "large_buckets") if largest > LARGE else None
     labels = None
-    m, links, low, high = bands * rows, None, 0, 4
+    m, links, low, high = bands * rows, None, 0, 16
     least = least_equal(m, threshold)
     while low < largest:
         pairs = written(_round(small, labels, low, high, m, least), "pairs") if low < LARGE else None
@@ -439,7 +439,7 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows:
             if not new.isEmpty():
                 links = new if links is None else links.unionAll(new)
                 labels = written(components(links), "labels")
-        low, high = high, high * 8
+        low, high = high, high * 32
     classes = nodes.select("node", "first")
     if labels is not None:
         classes = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
