@@ -15,7 +15,7 @@ from lexiframe.sources.tables import table
 SMOOTHING = 0.1
 VECTOR_SIZE = 100
 EPOCHS = 25
-FACTORS = 50
+FACTORS = 20
 
 
 def kept_tokens(spark, folder, vocab, place=cluster):
