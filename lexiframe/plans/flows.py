@@ -27,7 +27,7 @@ def ingest(spark: SparkSession, paths: dict[str, str], folder: str,
     """`split, label, text, doc_id` of the corpus files, kept with fixed ids.
 
     Rows that do not parse are kept beside it, see `rejects`. With `multiline` a field
-    may hold line ends and each file is one task; without it files are split.
+    may hold line ends, and text moves once; without it text stays where it is read.
     """
     return _kept(spark, paths, folder, settings, multiline, "corpus", source.good_rows, source.with_doc_id)
 

@@ -1,4 +1,6 @@
+import csv
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +34,68 @@ def test_bad_rows_are_set_apart(spark, folder):
     assert ids.select("doc_id").distinct().count() == 2
 
 
+def quoted_file(path, n, seed):
+    """A file with a header whose texts hold tabs, quote marks, and line ends of both kinds."""
+    rng = random.Random(seed)
+    parts = ["word ", "\n", "\r\n", "\n\n", '"', "\t", "é", '"\n"', "long " * 60, ""]
+    with open(path, "w", newline="") as f:
+        write = csv.writer(f, delimiter="\t", lineterminator=rng.choice(["\n", "\r\n"]))
+        write.writerow(["class", "news"])
+        for i in range(n):
+            write.writerow([i, "".join(rng.choices(parts, k=rng.randint(0, 40))) + "."])
+            if rng.random() < 0.1:
+                f.write("\n")
+
+
+@pytest.fixture
+def tiny_splits(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_quoted_line_ends_are_read_by_many_tasks(spark, folder, tiny_splits, seed):
+    for name, n in (("a.tsv", 120), ("b.tsv", 7), ("c.tsv", 0)):
+        quoted_file(f"{folder}/{name}", n, f"{seed} {name}")
+    open(f"{folder}/empty.tsv", "w").close()
+    columns = ["split", "label", "text", corpus.CORRUPT]
+    got = corpus.read_corpus(spark, folder, "x").select(columns).collect()
+    want = corpus.read_corpus(spark, folder, "x", whole_files=True).select(columns).collect()
+    assert len(want) == 127 and all(r[3] is None for r in want)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    one = spark.read.text(f"{folder}/a.tsv").rdd.getNumPartitions()
+    assert one > 10
+
+
+def test_a_record_longer_than_many_splits(spark, folder, tiny_splits):
+    texts = ["first", "\n".join(f'line {i} "q"' for i in range(2_000)), "between", "\n" * 5_000 + ".", "last"]
+    with open(f"{folder}/a.tsv", "w", newline="") as f:
+        csv.writer(f, delimiter="\t", lineterminator="\n").writerows([["class", "news"], *enumerate(texts)])
+    got = corpus.good_rows(corpus.read_corpus(spark, folder, "x"))
+    assert {r.label: r.text for r in got.collect()} == dict(enumerate(texts))
+
+
+def test_text_of_quoted_files_moves_once(spark, folder):
+    quoted_file(f"{folder}/a.tsv", 50, 1)
+    plan = corpus.read_corpus(spark, folder, "x")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_quote_marks_within_plain_fields_are_set_apart(spark, folder):
+    with open(f"{folder}/a.tsv", "w") as f:
+        f.write('class\tnews\n1\tfine\n2\ta "named" thing\n3\t"quoted ""well"""\n4\t"a"\n')
+    got = corpus.read_corpus(spark, f"{folder}/a.tsv", "x")
+    assert sorted(r.label for r in corpus.good_rows(got).collect()) == [1, 3, 4]
+    assert [r[corpus.CORRUPT] for r in corpus.bad_rows(got).collect()] == ['2\ta "named" thing']
+    whole = corpus.read_corpus(spark, f"{folder}/a.tsv", "x", whole_files=True)
+    assert corpus.good_rows(whole).count() == 4
+
+
 def test_lines(spark, folder):
     rows = spark.createDataFrame([("train", "a b c"), ("train", "d <unk>"), ("test", "e")],
                                  "split string, line string")
