@@ -243,6 +243,10 @@ SELECT doc_id, sent_id, out_len, batch_id, row_in_batch FROM batched""",
     "full_batches": f"""WITH {batches(1)}
 SELECT doc_id, sent_id, batch_id, row_in_batch FROM batched
 WHERE batch_id < n // {SETTINGS.batch_size}""",
+    "quoted_corpus": r"""WITH given AS (
+  SELECT doc_id, replace(coalesce(text, ''), '. ', E'.\n') AS text FROM documents)
+SELECT 'train' AS split, doc_id::INT AS doc_id, len(string_split(text, E'\n'))::INT AS n_lines, md5(text) AS digest
+FROM given""",
     "batch_stats": f"""WITH {batches(0)}
 SELECT batch_id, count(*) AS n_rows, sum(out_len)::BIGINT AS n_targets,
        max(out_len) AS longest FROM batched GROUP BY batch_id""",

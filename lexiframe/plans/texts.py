@@ -10,7 +10,8 @@ from lexiframe.functions import sequences as sq
 from lexiframe.functions import text as tx
 from lexiframe.operators import corpus, framing, vocabulary
 from lexiframe.plans import ranking
-from lexiframe.plans.layout import cluster, shared_folder, spread, written
+from lexiframe.plans.layout import cluster, new_path, shared_folder, spread, written
+from lexiframe.sources import corpus as source
 from lexiframe.sources.artefacts import code_identity, input_identity, reuse_or_write
 from lexiframe.sources.tables import table
 
@@ -197,6 +198,16 @@ def split_sentences(spark, folder):
     return corpus.raw_sentences(docs, abbreviations=corpus.abbreviations(docs))
 
 
+def quoted_corpus(spark, folder):
+    """Documents written as quoted fields, a line per sentence, and read back by many tasks."""
+    path = new_path(spark, "quoted_corpus")
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".\n"))
+    source.write_corpus(documents(spark, folder).select(F.col("doc_id").alias("label"), text.alias("text")), path)
+    rows = source.good_rows(source.read_corpus(spark, path, "train"))
+    return rows.select("split", F.col("label").alias("doc_id"), F.size(F.split("text", "\n")).alias("n_lines"),
+                       F.md5("text").alias("digest"))
+
+
 def batch_stats(spark, folder):
     return _batched(spark, folder).groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -210,5 +221,5 @@ QUERIES = {
         vocab_min20, corpus_size, tokens_no_stop, token_ids, oov_rate_by_lang,
         decoded_sentences, self_pairs, next_pairs, pair_frames, self_frames, pair_mask,
         reversed_inputs, sentence_matrix, shuffled_batches, full_batches, batch_stats,
-        permuted_batches, abbreviations, split_sentences)
+        permuted_batches, abbreviations, split_sentences, quoted_corpus)
 }
