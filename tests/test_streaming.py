@@ -80,3 +80,12 @@ def test_ready_experiments_are_fitted_once(spark, folder):
     assert run() == [("a", 8.0, 2.0), ("b", 5.0, 4.0)]
     arrive(("a", "test", range(12, 15)), ("c", "test", [1]), ("c", "train", [2]))
     assert run() == [("a", 8.0, 2.0), ("b", 5.0, 4.0), ("c", 1.0, 1.0)]
+
+
+def test_a_table_of_several_files_is_streamed_whole(spark, folder):
+    """A table is a file or a folder of files with any names."""
+    from lexiframe.plans.learning import stream_tokens
+
+    texts = [("river stone cloud " * 9 + "light. ") * 3] * 12
+    documents(spark, texts).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    assert stream_tokens(spark, folder).count() == 12 * 3 * 28
