@@ -83,3 +83,7 @@ def test_report_table_is_numbered_without_a_full_sort(spark, small):
     text = plan(spark, small, "report_table")
     assert "regexp_replace" not in text and not exchanges(text)  # read from the numbered rows
     assert "Window" not in text
+
+
+def test_cells_meet_their_sums_where_they_lie(spark, small):
+    assert exchanges(plan(spark, small, "sppmi")) == []
