@@ -85,5 +85,12 @@ def test_report_table_is_numbered_without_a_full_sort(spark, small):
     assert "Window" not in text
 
 
+def test_noise_is_looked_up_where_the_pairs_lie(spark, small):
+    """Ten draws a pair are no rows: nothing moves but the counted pairs."""
+    text = plan(spark, small, "negative_samples")
+    assert exchanges(text) == ["hashpartitioning"] * 2
+    assert "collect_list" not in text
+
+
 def test_cells_meet_their_sums_where_they_lie(spark, small):
     assert exchanges(plan(spark, small, "sppmi")) == []
