@@ -11,10 +11,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiframe.llm.common import free, sample_texts, ship, text_of
+from lexiframe.llm.common import free, parts_for, sample_texts, ship, text_of
+from lexiframe.plans.layout import written
 
 # The base kinds in their order, and the rules of their contract.
 BASE = ("email", "ip", "card", "phone")
@@ -43,6 +44,12 @@ CUES = re.compile(r"(?i)\b(?:mail|tel|phone|call|fax|mobile|card|visa|iban|accou
                   r"token|key|secret|passw|pwd|auth|api|bearer|credential)[a-z]*\W*(?:\w+\W*)?$")
 _assigned = re.compile(r"(?i)\b(?:token|key|secret|passw|pwd|auth|api|bearer|credential)\w*[\"']?\s*(?:=|:|\s)\s*[\"']?$")
 CONTEXT = 40
+ONE_FIT = 20_000  # examples that are fitted as one table; more stay on the executors
+FIT_ROWS = 32_768  # examples of a block
+FIT_TREES = 10  # trees applied to an example before its scores are written
+WHOLE = 1 << 30  # of a slope in the sums
+Z = 1.645  # of a lower 95 % bound
+FIT_BLOCK = "kinds binary, labels binary, folds binary, bins binary, scores binary"
 
 
 def luhn(digits: str) -> bool:
@@ -213,7 +220,7 @@ class Chooser:
             p = score[own]
             order = np.argsort(-p, kind="stable")
             p, right = p[order], np.cumsum(y[own][order])
-            n, z = np.arange(1, len(p) + 1), 1.645
+            n, z = np.arange(1, len(p) + 1), Z
             share = right / n
             low = (share + z * z / (2 * n) - z * np.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
             last = np.append(p[1:] < p[:-1], True)  # equal scores go together
@@ -241,13 +248,178 @@ class Chooser:
         return base, sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def fit(docs: DataFrame, max_docs: int = 20_000, max_rows: int = 20_000) -> Chooser:
-    """Fit on a bounded sample: about `max_docs` distinct texts by hash, `max_rows` candidates of
-    lowest hash. Candidates alike in themselves and their surroundings are one example, so copies
-    are no further evidence. A table without candidates of both labels gives a chooser that adds
-    nothing."""
+def down(bins: np.ndarray, feature: np.ndarray, place: np.ndarray, levels: int) -> np.ndarray:
+    """The node of each example (a column of `bins`) after some levels of a tree by heap position."""
+    node, rows = np.ones(bins.shape[1], int), np.arange(bins.shape[1])
+    for _ in range(levels):
+        f = feature[node]
+        node = np.where(f < 0, node, 2 * node + (bins[np.maximum(f, 0), rows] > place[node]))
+    return node
+
+
+class SpreadFit:
+    """The fit of `Chooser` for examples that stay on the executors.
+
+    One model a fold, fitted on the other folds, and one on all grow side by side. A level is a pass
+    over blocks of examples; slopes are summed as whole numbers per model, node, feature and bin, and
+    a task per model and node chooses its split. The driver sees cuts, splits and thresholds.
+    """
+
+    def __init__(self, examples: DataFrame):
+        self.counts = examples.groupBy("fold", "label").count().collect()
+        self.folds = sorted({r["fold"] for r in self.counts})
+        self.left_out = [*self.folds, None]
+        self.models = [BoostedTrees() for _ in self.left_out]
+        self.cuts = self._cuts(examples)
+        self.width = len(self.cuts[0])
+        self.pending: list[list[tuple]] = []
+        for model, fold in zip(self.models, self.left_out):
+            n = np.array([sum(r["count"] for r in self.counts if r["fold"] != fold and r["label"] == y) for y in (0, 1)])
+            share = np.clip(n[1] / max(1, n.sum()), 1e-3, 1 - 1e-3)
+            model.start, model.trees = float(np.log(share / (1 - share))), []
+
+    def two_labels(self) -> bool:
+        """Whether every model has examples of both labels."""
+        return all(len({r["label"] for r in self.counts if r["fold"] != fold}) == 2 for fold in self.left_out)
+
+    def _cuts(self, examples: DataFrame) -> list[list[np.ndarray]]:
+        inner = np.linspace(0, 1, self.models[0].bins + 1)[1:-1].tolist()
+        own = [F.count(F.lit(1)) if fold is None else F.count_if(F.col("fold") != fold) for fold in self.left_out]
+        values = examples.select("fold", F.posexplode("features").alias("feature", "value")).groupBy("feature", "value").agg(
+            *[n.alias(f"n_{m}") for m, n in enumerate(own)])
+        rows = values.groupBy("feature").agg(
+            *[F.percentile("value", inner, F.col(f"n_{m}")).alias(f"cuts_{m}") for m in range(len(own))]).orderBy("feature").collect()
+        return [[np.unique(r[f"cuts_{m}"] or []) for r in rows] for m in range(len(own))]
+
+    def _blocks(self, examples: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for k in range(0, len(batch), FIT_ROWS):
+                    part = batch.iloc[k:k + FIT_ROWS]
+                    x = np.array(part["features"].tolist(), float)
+                    bins = np.array([[np.searchsorted(c, column, "left") for c, column in zip(own, x.T)] for own in self.cuts], "u1")
+                    scores = np.repeat([[m.start] for m in self.models], len(part), axis=1)
+                    yield pd.DataFrame([[x[:, 0].astype("u1").tobytes(), part["label"].to_numpy("u1").tobytes(),
+                                         part["fold"].to_numpy("u1").tobytes(), bins.tobytes(), scores.tobytes()]],
+                                       columns=["kinds", "labels", "folds", "bins", "scores"])
+
+        return written(examples.select("features", "label", "fold").mapInPandas(run, FIT_BLOCK), "pii_blocks")
+
+    def _read(self, batches: Iterator[pd.DataFrame]):
+        """Kinds, labels, folds, bins (models x features x examples) and scores with the pending trees."""
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                kinds, labels, folds = (np.frombuffer(b, "u1") for b in row[:3])
+                bins = np.frombuffer(row.bins, "u1").reshape(len(self.models), self.width, -1)
+                scores = np.frombuffer(row.scores).reshape(len(self.models), -1).copy()
+                for trees in self.pending:
+                    for m, (feature, place, leaf) in enumerate(trees):
+                        scores[m] += leaf[down(bins[m], feature, place, self.models[m].depth)]
+                yield kinds, labels, folds, bins, scores
+
+    def _splits(self, blocks: DataFrame, trees: list[tuple], level: int) -> DataFrame:
+        most, base = self.models[0].bins, 1 << level
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((len(self.models), base, self.width, most, 3), "i8")
+            for _, labels, folds, bins, scores in self._read(batches):
+                for m, fold in enumerate(self.left_out):
+                    node = down(bins[m], *trees[m][:2], level)
+                    own = np.flatnonzero((node >= base) & ((fold is None) | (folds != fold)))
+                    p = 1 / (1 + np.exp(-scores[m, own]))
+                    cell = ((node[own] - base) * self.width + np.arange(self.width)[:, None]) * most + bins[m][:, own]
+                    for j, part in enumerate((p - labels[own], p * (1 - p), np.full(len(own), 1 / WHOLE))):
+                        whole = np.tile(np.rint(part * WHOLE), self.width)
+                        total[m, ..., j] += np.bincount(cell.ravel(), whole, base * self.width * most).astype("i8").reshape(
+                            base, self.width, most)
+            for m, at in np.argwhere(total[:, :, 0, :, 2].any(axis=2)).tolist():
+                yield pd.DataFrame({"model": [m], "node": [base + at], "sums": [total[m, at].tobytes()]})
+
+        def choose(group: pd.DataFrame) -> pd.DataFrame:
+            m = int(group["model"].iloc[0])
+            sums = sum(np.frombuffer(b, "i8") for b in group["sums"]).reshape(self.width, most, 3)
+            whole, ridge = sums[0].sum(axis=0), self.models[m].ridge
+            gs, hs = whole[:2] / WHOLE
+            best, below = (1e-6, -1, 0), whole
+            for f, own in enumerate(self.cuts[m] if whole[2] >= 8 else []):
+                left = sums[f].cumsum(axis=0)[:len(own)]
+                gl, hl = left[:, 0] / WHOLE, left[:, 1] / WHOLE
+                gain = gl ** 2 / (hl + ridge) + (gs - gl) ** 2 / (hs - hl + ridge) - gs ** 2 / (hs + ridge)
+                if len(gain) and gain.max() > best[0]:
+                    best = (gain.max(), f, int(gain.argmax()))
+                    below = left[best[2]]
+            return pd.DataFrame({"model": [m], "node": group["node"].iloc[:1], "feature": [best[1]], "place": [best[2]],
+                                 "below": [below], "whole": [whole]})
+
+        return blocks.mapInPandas(run, "model int, node int, sums binary").groupBy("model", "node").applyInPandas(
+            choose, "model int, node int, feature int, place int, below array<long>, whole array<long>")
+
+    def _grow(self, blocks: DataFrame) -> list[tuple]:
+        """One tree a model: feature (-1: leaf), place of the cut and leaf value by heap position."""
+        depth = self.models[0].depth
+        trees = [(np.full(2 << depth, -1), np.zeros(2 << depth, int), np.zeros(2 << depth)) for _ in self.models]
+        for level in range(depth):
+            for row in self._splits(blocks, trees, level).collect():
+                model, at = self.models[row["model"]], row["node"]
+                feature, place, leaf = trees[row["model"]]
+                whole, below = np.array(row["whole"]) / WHOLE, np.array(row["below"]) / WHOLE
+                feature[at], place[at] = row["feature"], row["place"]
+                for node, (g, h, _) in ((at, whole), (2 * at, below), (2 * at + 1, whole - below)):
+                    if node == at or row["feature"] >= 0:
+                        leaf[node] = -model.rate * g / (h + model.ridge)
+        return trees
+
+    def _scored(self, blocks: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for *rest, scores in self._read(batches):
+                yield pd.DataFrame([[b.tobytes() for b in (*rest, scores)]], columns=["kinds", "labels", "folds", "bins", "scores"])
+
+        return written(blocks.mapInPandas(run, FIT_BLOCK), "pii_blocks")
+
+    def _thresholds(self, blocks: DataFrame, precision: float) -> dict[str, float]:
+        """As in `Chooser.fit`: running sums over scores, by buckets first, then inside each bucket."""
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for kinds, labels, folds, _, scores in self._read(batches):
+                score = scores[np.searchsorted(self.folds, folds), np.arange(len(folds))]
+                yield pd.DataFrame({"kind": kinds, "p": 1 / (1 + np.exp(-score)), "label": labels})
+
+        scored = written(blocks.mapInPandas(run, "kind int, p double, label int").groupBy(
+            "kind", "p", F.floor(F.col("p") * 1024).alias("bucket")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("label").alias("right")), "pii_scores")
+        above = Window.partitionBy("kind").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+        within = Window.partitionBy("kind", "bucket").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+        earlier = scored.groupBy("kind", "bucket").agg(F.sum("n").alias("n"), F.sum("right").alias("right")).select(
+            "kind", "bucket", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("n", "right")])
+        running = scored.join(F.broadcast(earlier), ["kind", "bucket"]).select(
+            "kind", "p", *[(F.col(f"{c}_above") + F.sum(c).over(within)).cast("double").alias(c) for c in ("n", "right")])
+        n, share, square = F.col("n"), F.col("right") / F.col("n"), Z * Z
+        low = (share + square / (2 * n) - Z * F.sqrt(share * (1 - share) / n + square / (4 * n * n))) / (1 + square / n)
+        good = running.filter(low >= precision).groupBy("kind").agg(F.min("p").alias("p"))
+        return {KINDS[r["kind"]]: r["p"] for r in good.collect()}
+
+    def fit(self, examples: DataFrame, precision: float = 0.9) -> Chooser:
+        if not self.two_labels():
+            return Chooser(None, {})
+        blocks = self._blocks(examples)
+        for _ in range(self.models[0].n_trees):
+            trees = self._grow(blocks)
+            for model, cuts, (feature, place, leaf) in zip(self.models, self.cuts, trees):
+                raw = [cuts[f][at] if f >= 0 else 0.0 for f, at in zip(feature, place)]
+                model.trees.append((feature, np.array(raw), leaf))
+            self.pending = [*self.pending, trees]
+            if len(self.pending) == FIT_TREES:
+                blocks, self.pending = self._scored(blocks), []
+        return Chooser(self.models[-1], self._thresholds(blocks, precision))
+
+
+def fit(docs: DataFrame, max_docs: int | None = None, max_rows: int | None = None) -> Chooser:
+    """Fit on the candidates of all texts. Candidates alike in themselves and their surroundings are
+    one example, so copies are no further evidence. Up to `ONE_FIT` examples are one small table;
+    more stay on the executors. Whoever wants less can ask for about `max_docs` distinct texts by hash
+    and `max_rows` examples of lowest hash. A table without candidates of both labels gives a
+    chooser that adds nothing."""
     ship(docs.sparkSession)
-    rows = sample_texts(docs, max_docs)
+    rows = docs.select(text_of().alias("text")) if max_docs is None else sample_texts(docs, max_docs)
 
     def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -259,11 +431,17 @@ def fit(docs: DataFrame, max_docs: int = 20_000, max_rows: int = 20_000) -> Choo
             if out:
                 yield pd.DataFrame(out, columns=["example", "features", "label"]).drop_duplicates(["example", "label"])
 
-    sample = (rows.mapInPandas(described, "example long, features array<double>, label int")
-              .distinct()
-              .withColumn("fold", F.pmod(F.xxhash64(F.lit(7), "features"), F.lit(4)))
-              .orderBy("example", "features", "label").limit(max_rows).toPandas())
-    return Chooser.fit(sample)
+    examples = (rows.mapInPandas(described, "example long, features array<double>, label int")
+                .distinct()
+                .withColumn("fold", F.pmod(F.xxhash64(F.lit(7), "features"), F.lit(4))))
+    if max_rows is not None:
+        examples = examples.orderBy("example", "features", "label").limit(max_rows)
+    examples = written(examples, "pii_examples")
+    total = examples.count()
+    if total <= ONE_FIT:
+        return Chooser.fit(examples.orderBy("example", "features", "label").toPandas())
+    few = examples.coalesce(parts_for(total, 4 * FIT_ROWS))
+    return SpreadFit(examples).fit(few)
 
 
 SPAN = "array<struct<kind: string, start: long, end: long>>"

@@ -228,3 +228,32 @@ def test_copies_do_not_shrink_the_sample(spark):
     docs = spark.range(3000).selectExpr("CASE WHEN id < 2000 THEN 'same' ELSE concat('t', id) END AS text")
     assert sample_texts(docs, 1001).count() == 1001
     assert 350 < sample_texts(docs, 500).count() < 650
+
+
+def test_examples_of_all_texts_are_fitted(spark, monkeypatch):
+    """Evidence in texts beyond any fixed number counts: nothing is drawn from the table."""
+    seen = []
+    monkeypatch.setattr(pii.Chooser, "fit", classmethod(lambda cls, rows: seen.append(len(rows)) or cls(None, {})))
+    docs = spark.range(0, 21_000, 1, 8).selectExpr("id AS doc_id", "if(id % 30 = 0, concat('mail a', id, '@b.co now'), concat('w', id)) AS text")
+    pii.fit(docs)
+    assert seen == [700]
+
+
+def test_a_fit_on_the_executors_equals_the_one_of_a_table(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    width = len(pii.features("ab 1", "card", 0, 2))
+    x = np.round(rng.random((3000, width)), 2)
+    x[:, 0] = rng.integers(0, 2, len(x)) * 2
+    y = ((x[:, 3] > 0.5) & (x[:, 5] > 0.3) & (rng.random(len(x)) < 0.97)).astype(int)
+    rows = pd.DataFrame({"features": x.tolist(), "label": y, "fold": rng.integers(0, 4, len(x))})
+    monkeypatch.setattr(pii, "FIT_ROWS", 400)
+    monkeypatch.setattr(pii.BoostedTrees.__init__, "__defaults__", (6, 3, 0.3, 32, 1.0))
+    monkeypatch.setattr(pii, "FIT_TREES", 4)
+    want = pii.Chooser.fit(rows)
+    examples = spark.createDataFrame(rows, "features array<double>, label int, fold long").repartition(3).persist()
+    got = pii.SpreadFit(examples).fit(examples)
+    assert np.allclose(got.trees.predict(x), want.trees.predict(x), atol=1e-6)
+    assert got.thresholds.keys() == want.thresholds.keys() and want.thresholds
+    assert all(abs(got.thresholds[k] - want.thresholds[k]) < 1e-6 for k in want.thresholds)
+    alike = spark.createDataFrame(rows.assign(label=0), "features array<double>, label int, fold long")
+    assert pii.SpreadFit(alike).fit(alike).thresholds == {}
