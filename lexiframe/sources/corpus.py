@@ -62,26 +62,27 @@ def quoted_records(spark: SparkSession, path: str) -> DataFrame:
     whole = Window.partitionBy("file")
     earlier = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     begins = ~F.col("inside") | (F.col("last") > F.col("closes"))  # a record begins in the split
-    splits = (splits.withColumn("inside", F.coalesce(F.sum("marks").over(earlier), F.lit(0)) % 2 == 1)
-              .withColumn("from", F.max(F.when(begins, F.col("block"))).over(earlier))
-              .withColumn("first", F.min(F.when(F.col("n_filled") > 0, F.col("block"))).over(whole))
+    splits = (splits.withColumn("split", F.monotonically_increasing_id())
+              .withColumn("inside", F.coalesce(F.sum("marks").over(earlier), F.lit(0)) % 2 == 1)
+              .withColumn("from", F.max(F.when(begins, F.struct("block", "split"))).over(earlier)["split"])
+              .withColumn("first", F.min(F.when(F.col("n_filled") > 0, F.struct("block", "split"))).over(whole)["split"])
               .withColumn("returns", F.min_by("returns", "block").over(whole))
-              .select(*SPLIT, "inside", "closes", "from", "first", "returns"))
+              .select(*SPLIT, "split", "inside", "closes", "from", "first", "returns"))
     known = F.coalesce("inside", F.raise_error(F.lit(
         "the files were split in two ways: set spark.sql.files.minPartitionNum")).cast("boolean"))
     carried = known & (F.col("closes").isNull() | (F.col("place") <= F.col("closes")))
+    home = F.when(carried, F.col("from")).otherwise(F.col("split"))  # a number, not the file's long name
+    line = F.when(F.col("returns"), F.regexp_replace("line", "\r\\z", "")).otherwise(F.col("line"))
     placed = lines.join(written(splits, "quoted_splits"), SPLIT, "left").select(
-        "file", F.when(carried, F.col("from")).otherwise(F.col("block")).alias("home"), "first", "block", "place",
-        F.when(F.col("returns"), F.regexp_replace("line", "\r\\z", "")).otherwise(F.col("line")).alias("line"),
-        marks.alias("marks"))
-    home = Window.partitionBy("file", "home").orderBy("block", "place")
+        home.alias("home"), "block", "place", (home == F.col("first")).alias("headed"), line.alias("line"), marks.alias("marks"))
+    home = Window.partitionBy("home").orderBy("block", "place")
     opened = F.coalesce(F.sum("marks").over(home.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2 == 1
     numbered = (placed.withColumn("opened", opened).filter(F.col("opened") | (F.col("line") != ""))
                 .withColumn("number", F.sum(F.when(F.col("opened"), 0).otherwise(1)).over(
                     home.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
     parts = F.array_sort(F.collect_list(F.struct("block", "place", "line")))
-    return (numbered.filter((F.col("home") != F.col("first")) | (F.col("number") > 1))  # the header
-            .groupBy("file", "home", "number").agg(parts.alias("parts"))
+    return (numbered.filter(~F.col("headed") | (F.col("number") > 1))  # the header
+            .groupBy("home", "number").agg(parts.alias("parts"))
             .select(F.array_join("parts.line", "\n").alias("record")))
 
 

@@ -185,3 +185,14 @@ def test_wide_scans_and_narrow_scans(spark, name):
     assert narrow.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
     wide = spark.range(0, 100, 1, 64)
     assert (step(wide, "id") is wide) == (name == "spread")
+
+
+def test_lines_move_without_the_name_of_their_file(spark, folder):
+    """A line goes to its split's number: a path per line would be longer than most lines."""
+    rows = spark.createDataFrame([(1, "one line\nand one more"), (2, 'a "mark"')], "label int, text string")
+    corpus.write_corpus(rows, f"{folder}/quoted")
+    records = corpus.quoted_records(spark, f"{folder}/quoted")
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and all("hashpartitioning(home#" in line for line in moved)
+    assert records.count() == 2
