@@ -190,7 +190,8 @@ def softmax_regression(spark, folder):
 def stream_tokens(spark, folder):
     """Documents indexed as a stream; equals the batch result."""
     output, checkpoint = new_path(spark, "stream_tokens"), new_path(spark, "stream_state")
-    arriving = read_documents(spark, f"{folder}/documents.parquet", "*")  # a file, or a folder of files
+    # a file or a folder of files; streams take a file only by a pattern
+    arriving = read_documents(spark, f"{folder}/{{documents.parquet}}", "*")
     run_index(arriving, saved_vocabulary(spark, folder), output, checkpoint,
               spread_to=2 * spark.sparkContext.defaultParallelism)
     return spark.read.parquet(output)

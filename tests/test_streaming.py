@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 from util import documents, random_texts
@@ -82,10 +84,20 @@ def test_ready_experiments_are_fitted_once(spark, folder):
     assert run() == [("a", 8.0, 2.0), ("b", 5.0, 4.0), ("c", 1.0, 1.0)]
 
 
-def test_a_table_of_several_files_is_streamed_whole(spark, folder):
+@pytest.mark.parametrize("single", [False, True])
+def test_a_table_is_streamed_whole(spark, folder, single):
     """A table is a file or a folder of files with any names."""
+    import glob
+    import shutil
+
     from lexiframe.plans.learning import stream_tokens
 
     texts = [("river stone cloud " * 9 + "light. ") * 3] * 12
-    documents(spark, texts).repartition(3).write.parquet(f"{folder}/documents.parquet")
-    assert stream_tokens(spark, folder).count() == 12 * 3 * 28
+    path = f"{folder}/tables/documents.parquet"
+    if single:
+        documents(spark, texts).coalesce(1).write.parquet(f"{folder}/made")
+        os.mkdir(f"{folder}/tables")
+        shutil.copy(glob.glob(f"{folder}/made/part-*")[0], path)
+    else:
+        documents(spark, texts).repartition(3).write.parquet(path)
+    assert stream_tokens(spark, f"{folder}/tables").count() == 12 * 3 * 28
