@@ -14,18 +14,26 @@ from pyspark.sql import functions as F
 from lexiframe.llm.common import text_of
 from lexiframe.plans.layout import written
 
-# White space between words, symbols, and the character classes of the histogram.
+# White space between words, symbols, and the character classes of the histogram
 BLANK = r"\x20\x09-\x0D"
 SYMBOLS = r"#*$%&|<>"
+# (no two of which share a character).
 CLASSES = {"letters": r"\p{L}", "digits": r"\p{N}", "blanks": BLANK, "symbols": SYMBOLS,
            "marks": r".,;:!?'\"()\-"}
 
-WINDOW = 8
+WINDOW = 8  # a power of two
+SLOTS = 512  # by the low bits of a word's hash, a power of two
 
 
-def count_of(text: Column, kind: str) -> Column:
-    """Characters (code points) of a class."""
-    return F.length(F.regexp_replace(text, f"[^{kind}]+", ""))
+def class_counts(rows: DataFrame) -> DataFrame:
+    """Adds `in_<class>`, the characters (code points) of each class in `text`, and `n_chars_all`.
+
+    The classes share no character, so each is counted and taken out of what the earlier left."""
+    left, out = rows.withColumn("left_0", F.col("text")), []
+    for k, (name, kind) in enumerate(CLASSES.items()):
+        left = left.withColumn(f"left_{k + 1}", F.regexp_replace(f"left_{k}", f"[{kind}]+", ""))
+        out.append((F.length(f"left_{k}") - F.length(f"left_{k + 1}")).cast("long").alias(f"in_{name}"))
+    return left.select(*rows.columns, *out, F.length("text").cast("long").alias("n_chars_all"))
 
 
 def words_of(text: Column) -> Column:
@@ -57,25 +65,31 @@ def repeated_words(windows: Column) -> Column:
         held(ranked, lambda r: held(starts(r), covered)))
 
 
+def window_hashes(hashes: Column) -> Column:
+    """A hash of the WINDOW words from each start, by doubling: of two words, of four, of eight."""
+    width = 1
+    spans = hashes
+    while width < WINDOW:
+        spans = F.zip_with(spans, F.slice(spans, width + 1, F.size(hashes)), lambda x, y: F.xxhash64(x, y))
+        width *= 2
+    return F.when(F.size(hashes) >= WINDOW, F.slice(spans, 1, F.greatest(F.lit(0), F.size(hashes) - (WINDOW - 1))))
+
+
 def base_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """doc_id, `words`, the base counts and `base_failed`; null text counts as no words."""
+    """doc_id, `words` and their `hashes`, the base counts and `base_failed`; null text counts as no words."""
     text = F.col("text")
     rows = docs.select(*keep, text_of().alias("text"))
     rows = rows.withColumn("words", words_of(text))
     rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     rows = rows.withColumns({
         "n_words": F.size("words").cast("long"),
-        "windows": F.when(F.size("hashes") >= WINDOW, F.transform(
-            F.sequence(F.lit(1), F.size("hashes") - (WINDOW - 1)),
-            lambda i: F.xxhash64(F.slice(F.col("hashes"), i, WINDOW)))),
+        "windows": window_hashes(F.col("hashes")),
         "lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{BLANK}]"))})
-    rows = rows.withColumns({
-        **{f"in_{name}": count_of(text, kind).cast("long") for name, kind in CLASSES.items()},
-        "n_chars_all": F.length(text).cast("long"),
+    rows = class_counts(rows).withColumns({
         "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
         "n_repeat_words": F.coalesce(repeated_words(F.col("windows")), F.lit(0)).cast("long")})
     return rows.select(
-        *keep, "words", "n_words", (F.col("n_chars_all") - F.col("in_blanks")).alias("word_chars"),
+        *keep, "words", "hashes", "n_words", (F.col("n_chars_all") - F.col("in_blanks")).alias("word_chars"),
         F.col("in_symbols").alias("n_symbols"), "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
         .alias("base_failed"), "n_chars_all", *[f"in_{name}" for name in CLASSES])
@@ -89,9 +103,8 @@ def references(docs: DataFrame, top: int = 24) -> DataFrame:
     """Per language over all its documents: shares of the character classes and of the `top`
     most frequent words (ties by word), and the words counted. A null language is ''."""
     texts = docs.select(_tongue().alias("lang"), text_of().alias("text"))
-    letters = texts.groupBy("lang").agg(
-        F.sum(F.length("text")).alias("chars"),
-        *[F.sum(count_of(F.col("text"), kind)).alias(name) for name, kind in CLASSES.items()])
+    letters = class_counts(texts).groupBy("lang").agg(
+        F.sum("n_chars_all").alias("chars"), *[F.sum(f"in_{name}").alias(name) for name in CLASSES])
     words = (texts.select("lang", F.explode(words_of(F.col("text"))).alias("word"))
              .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
     common = _most_common(words, top)
@@ -127,9 +140,26 @@ def divergence(shares: Column, reference: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), total / 2))
 
 
-def word_shares(words: Column, top: Column, n: Column) -> Column:
-    """Shares of the reference words in a document: place each word, sort, count the runs."""
-    places = F.sort_array(F.filter(F.transform(words, lambda w: F.array_position(top, w)), lambda p: p > 0))
+def slots_of(top: Column) -> Column:
+    """Per slot of a word's hash the place (from 1) of the reference word there; 0: none, -1: several."""
+    def slot(s: Column) -> Column:
+        here = F.filter(F.transform(top, lambda w, k: F.when(_slot(F.xxhash64(w)) == s, k + 1)), lambda k: k.isNotNull())
+        return F.when(F.size(here) > 1, F.lit(-1)).otherwise(F.coalesce(F.get(here, F.lit(0)), F.lit(0)))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), slot)
+
+
+def _slot(value: Column) -> Column:
+    return value.bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+
+
+def word_shares(words: Column, hashes: Column, top: Column, slots: Column, n: Column) -> Column:
+    """Shares of the reference words in a document: place each word, sort, count the runs. A word
+    is compared with the reference word of its slot; with all of them where several share one."""
+    place = lambda w, s: F.when(s > 0, F.when(F.get(top, s - 1) == w, s).otherwise(0)).when(
+        s < 0, F.array_position(top, w).cast("int")).otherwise(0)
+    places = F.zip_with(words, F.transform(hashes, lambda h: F.get(slots, _slot(h))), place)
+    places = F.sort_array(F.filter(places, lambda p: p > 0))
     held = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
 
     def counted(s: Column) -> Column:
@@ -159,13 +189,13 @@ def quality_rules(docs: DataFrame, top: int = 24, min_words: int = 50, min_refer
 
 def _judged(docs, refs, min_words, min_reference, max_class_distance, max_word_distance):
     rows = base_counts(docs.select("doc_id", "text", _tongue().alias("lang")), ["doc_id", "lang"])
-    rows = rows.join(refs, "lang", "left")
+    rows = rows.join(refs.withColumn("ref_slots", slots_of(F.col("ref_top"))), "lang", "left")
     long_enough = (F.col("n_words") >= min_words) & (F.col("ref_words") >= min_reference)
     classes = [F.col(f"in_{name}") for name in CLASSES]
     rest = F.col("n_chars_all") - sum(classes, F.lit(0))
     rest_of = lambda a: F.greatest(F.lit(0.0), 1 - F.aggregate(a, F.lit(0.0), lambda s, x: s + x))
     rows = rows.withColumn("shares", F.when(long_enough, word_shares(
-        F.col("words"), F.col("ref_top"), F.col("n_words"))))
+        F.col("words"), F.col("hashes"), F.col("ref_top"), F.col("ref_slots"), F.col("n_words"))))
     rows = rows.withColumns({
         "class_distance": F.when(long_enough, divergence(
             F.transform(F.array(*classes, rest), lambda c: c / F.col("n_chars_all")), F.col("ref_classes"))),
