@@ -38,7 +38,7 @@ _odd = np.random.default_rng(20).integers(1 << 62, 1 << 63, 16, dtype="u8") | np
 PLACES, MOST_PLACES = 1 << 26, 1 << 20
 SMALL_WEIGHTS = 16 << 20
 LEFT_OUT = 1e-6  # of the pairs at the threshold
-LARGE = 256  # members; buckets of more meet in blocks
+LARGE = 32  # members; buckets of more meet in blocks, so a large group makes few rows of pairs
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20  # members of a block, and its shingles where texts are long
 
 

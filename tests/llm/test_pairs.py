@@ -307,3 +307,17 @@ def test_repeated_run_agrees(spark, small):
     runs = [sorted(map(tuple, near_dup.near_groups(docs.repartition(n)).select("doc_id", "class_id").collect()))
             for n in (1, 5)]
     assert runs[0] == runs[1]
+
+
+def test_middling_group_makes_few_pairs(spark, monkeypatch):
+    seen, verified = [], near_dup._verified
+
+    def counted(pairs, weights, threshold):
+        seen.append(pairs.count())
+        return verified(pairs, weights, threshold)
+
+    monkeypatch.setattr(near_dup, "_verified", counted)
+    body = " ".join(f"word{k}" for k in range(200))
+    docs = spark.createDataFrame([(k, f"{body} end{k}") for k in range(150)], "doc_id long, text string")
+    assert {r["class_id"] for r in near_dup.near_groups(docs).collect()} == {0}
+    assert sum(seen) < 150  # 16 pivots with all others before
