@@ -14,12 +14,20 @@ from pyspark.sql import functions as F
 from lexiframe.llm.common import free, row_key, text_of
 from lexiframe.plans.layout import written
 
+OTHER_BLANK = r"\x09-\x0D\x{85}\x{A0}"
+BLANK = r"\x20" + OTHER_BLANK
 PART = 64
 PLACES = 1 << 20  # values of the bounded pre-filter
 
 
 def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x09-\x0D\x20\x{85}\x{A0}]+", " "))
+    # a single space is no match: most lines are left as they are
+    return F.trim(F.regexp_replace(F.lower(line), f"[{BLANK}]{{2,}}|[{OTHER_BLANK}]", " "))
+
+
+def has_words(line: Column) -> Column:
+    """Whether the normal form is not empty."""
+    return line.rlike(f"[^{BLANK}]")
 
 
 def _hash(*parts) -> Column:
@@ -139,13 +147,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 16, counts: bool = False) -> D
                                       F.lit("1"))), ""), "UTF-8").alias(mask))  # a byte per line: 1 stays
     rows = docs.withColumn(key, row_key()).withColumns({a: F.col(f"{key}.a"), b: F.col(f"{key}.b")}).drop(key)
     rows = rows.join(kept, [a, b], "left").withColumn(lines, F.split(text_of(), "\n"))
-    stays = lambda x, k: (F.coalesce(F.substring(F.col(mask), k + 1, F.lit(1)), F.lit(b"")) == F.lit(b"1")) | (normal(x) == "")
+    stays = lambda x, k: (F.coalesce(F.substring(F.col(mask), k + 1, F.lit(1)), F.lit(b"")) == F.lit(b"1")) | ~has_words(x)
     text = F.array_join(F.filter(lines, stays), "\n")
     out = {"text": F.when(F.col("text").isNotNull(), text).alias("text")}
     columns = [out.get(c, F.col(c)) for c in docs.columns]
     if counts:
         held = F.coalesce(F.length(F.regexp_replace(F.decode(F.col(mask), "UTF-8"), "0", "")), F.lit(0))
-        columns += [F.size(F.filter(lines, lambda x: normal(x) != "")).cast("long").alias(n_lines),
+        columns += [F.size(F.filter(lines, has_words)).cast("long").alias(n_lines),
                     held.cast("long").alias(n_kept)]
     rows = rows.select(*columns)
     if "n_chars" in docs.columns:

@@ -1,11 +1,13 @@
 """Line dedup, near-duplicates and search against brute force; SQL for what SQL can say."""
 
 import random
+import re
 from collections import Counter
 
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from check import difference, tables, type_difference
@@ -321,3 +323,15 @@ def test_middling_group_makes_few_pairs(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"{body} end{k}") for k in range(150)], "doc_id long, text string")
     assert {r["class_id"] for r in near_dup.near_groups(docs).collect()} == {0}
     assert sum(seen) < 150  # 16 pivots with all others before
+
+
+def test_normal_form_skips_single_spaces(spark):
+    blanks = [" ", "  ", "\t", " \t", " ", "\u0085 ", "\x0b\x0c", "\r"]
+    rng = random.Random(8)
+    lines = ["", *blanks] + ["".join(rng.choice([*blanks, "A", "b", "Éx", " "]) for _ in range(rng.randint(1, 9)))
+                             for _ in range(300)]
+    rows = spark.createDataFrame([(x,) for x in lines], "x string").select(
+        "x", line_dedup.normal(F.col("x")).alias("form"), line_dedup.has_words(F.col("x")).alias("held"))
+    for r in rows.collect():
+        want = re.sub("[\x09-\x0d\x20\x85\xa0]+", " ", r["x"].lower()).strip(" ")
+        assert (r["form"], r["held"]) == (want, want != "")
