@@ -94,3 +94,21 @@ def test_noise_is_looked_up_where_the_pairs_lie(spark, small):
 
 def test_cells_meet_their_sums_where_they_lie(spark, small):
     assert exchanges(plan(spark, small, "sppmi")) == []
+
+
+def test_labelled_documents_move_once_where_splits_are_many(spark, small, monkeypatch):
+    from lexiframe.plans import learning
+
+    seen = []
+    monkeypatch.setattr(learning, "written", lambda rows, step: seen.append(rows) or rows)
+    settings = {"spark.sql.files.maxPartitionBytes": "4096", "spark.sql.files.openCostInBytes": "0"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        learning.labelled_doc_vectors(spark, small)
+        text = seen[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert exchanges(text) == ["hashpartitioning"] and "hashpartitioning(doc_id" in text
