@@ -36,10 +36,9 @@ def _hash(*parts) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """One row per line with words: `at` (order of occurrence: id, row key, position), `line`."""
+    """One row per line, with words or not: `at` (order of occurrence: id, row key, position), `raw`."""
     rows = docs.select("doc_id", row_key().alias("key"), F.posexplode(F.split(text_of(), "\n")).alias("pos", "raw"))
-    return (rows.withColumn("line", normal(F.col("raw"))).filter("line != ''")
-            .select(F.struct("doc_id", F.col("key.a").alias("a"), F.col("key.b").alias("b"), "pos").alias("at"), "line"))
+    return rows.select(F.struct("doc_id", F.col("key.a").alias("a"), F.col("key.b").alias("b"), "pos").alias("at"), "raw")
 
 
 def _substr(text: Column, start: Column | int, size: Column) -> Column:
@@ -64,7 +63,9 @@ def _half_keys() -> Column:
 
 def distinct_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """hash, `at` of the first occurrence, half keys (empty for lines under `min_chars`)."""
-    lines = _lines(docs).select("at", _hash("line").alias("h"), F.when(
+    # a test of the normal form would run its expressions twice, in the filter and behind it
+    lines = _lines(docs).filter(has_words(F.col("raw"))).select("at", normal(F.col("raw")).alias("line"))
+    lines = lines.select("at", _hash("line").alias("h"), F.when(
         F.length("line") >= min_chars, _half_keys()).otherwise(F.array().cast("array<bigint>")).alias("keys"))
     four = [F.get("keys", F.lit(k)).alias(f"k{k}") for k in range(4)]
     return (lines.select("h", "at", *four).groupBy("h")
@@ -90,7 +91,8 @@ def near_lines(docs: DataFrame, firsts: DataFrame, min_chars: int) -> DataFrame:
     lines = _lines(docs)
     lines = (lines.withColumn("place", place(F.col("at"))).join(F.broadcast(places), "place").drop("place")
              .join(likely, "at"))  # not a semi-join: Spark would move that below the pre-filter
-    parts = written(_parts(lines.dropDuplicates(["at"])), "line_parts")
+    lines = lines.dropDuplicates(["at"]).select("at", normal(F.col("raw")).alias("line"))  # of these few lines only
+    parts = written(_parts(lines), "line_parts")
     variants = _variants(_shared(parts, "part", "line_id"))
     earliest = variants.groupBy("variant").agg(F.min(F.struct("at", "mid")).alias("first"))
     pairs = variants.join(earliest, "variant").filter(

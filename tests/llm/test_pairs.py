@@ -48,6 +48,12 @@ def test_line_dedup(spark, least):
     assert got == brute.dedup_lines(rows, least)
 
 
+def test_lines_are_made_normal_once(spark):
+    docs = spark.createDataFrame([(1, "a line with some words")], "doc_id long, text string")
+    plan = line_dedup.distinct_lines(docs, 16)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(1)
     errors = []
