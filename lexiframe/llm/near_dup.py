@@ -234,15 +234,15 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = written(links.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
                     .filter("u != v").distinct(), "edges")
+    edge = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
     while True:
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # two edges of a row, not a union: that would double the plan each time
+        both = edges.select(F.inline(F.array(edge("u", "v"), edge("v", "u"))))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("m").alias("u"), "v").filter("u != v").distinct()
         low = large.groupBy("v").agg(F.min("u").alias("m"))  # every edge has u < v
         small = large.join(low, "v")
-        new = written(small.select(F.col("m").alias("u"), "v")
-                      .unionAll(small.filter("u != m").select(F.col("m").alias("u"), F.col("u").alias("v")))
-                      .distinct(), "edges")
+        new = written(small.select(F.inline(F.array(edge("m", "v"), edge("m", "u")))).filter("u != v").distinct(), "edges")
         # stars: no node is both a centre and a leaf, and each leaf has one centre
         stars = new.groupBy("v").count().filter("count > 1").isEmpty() and \
             new.join(new.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
@@ -254,7 +254,8 @@ def components(links: DataFrame) -> DataFrame:
 
 def _open(members: DataFrame, labels: DataFrame | None, low: int) -> DataFrame:
     """The members that have not been pivots, of buckets with several components, with their
-    `label`, and `minor` for those outside the bucket's main component."""
+    `label`, and `minor` for those outside the bucket's main component. Written: a round reads them
+    several times, and each copy of their joins would be planned, and its small tables held, on the driver."""
     rows = members.filter(F.col("place") >= low)  # the earlier ones have met all others
     if labels is not None:
         rows = rows.join(labels.withColumnRenamed("label", "root"), "node", "left")
@@ -264,7 +265,7 @@ def _open(members: DataFrame, labels: DataFrame | None, low: int) -> DataFrame:
     main = (rows.groupBy("bucket", "label").count().groupBy("bucket")
             .agg(F.max(F.struct("count", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
             .filter("labels > 1").select("bucket", F.col("most.label").alias("main")))
-    return rows.join(main, "bucket").withColumn("minor", F.col("label") != F.col("main"))
+    return written(rows.join(main, "bucket").withColumn("minor", F.col("label") != F.col("main")).drop("main"), "open_members")
 
 
 def _round(members: DataFrame, labels: DataFrame | None, low: int, high: int, m: int, least: int) -> DataFrame:

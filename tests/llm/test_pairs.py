@@ -241,6 +241,17 @@ def test_shared_passages_move_nothing(spark):
     assert pairs[0] > 2000 and pairs[1] < pairs[0] / 20
 
 
+def test_a_round_reads_its_members_once_made(spark):
+    """The joins that tell which members are still open are not planned again for each use."""
+    rows = [(1, 0, "a", [0] * 7, [1], 0.0, 2.0, 4), (1, 0, "b", [0] * 7, [1], 1.0, 2.0, 4)]
+    members = spark.createDataFrame(rows, "bucket long, band int, node string, marks array<long>, bands array<long>, "
+                                          "place double, n double, each int").withColumn("node", F.col("node").cast("binary"))
+    plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    met = near_dup._round(members, None, 0, 16, 49, 49)
+    assert plan(met).count("Join Inner") == 2 and met.count() == 1
+    assert "Join" not in plan(near_dup._blocks(members, None, 0, 16, 49, 49))
+
+
 def test_components(spark):
     rng = random.Random(9)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 460)]
