@@ -299,6 +299,28 @@ def test_search(spark, small, shard, block):
         assert sorted(got.get(q, [])) == [(k + 1, d, s) for k, (d, s) in enumerate(best)]
 
 
+def test_search_moves_no_copies(spark):
+    """Shards meet blocks where they lie, in small batches; equal rows of several shards are one document."""
+    rows = [(i % 40, f"w{i % 40} w{i % 40 % 7} all common words") for i in range(400)] + [(None, "w1 all"), (2**60 + 1, "w2 all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    got = search.search(docs.repartition(7), shard_docs=16, block_queries=1)
+    assert "FlatMapCoGroups" not in got._jdf.queryExecution().toString()
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    few = sorted(map(tuple, got.collect()), key=str)
+    assert few == sorted(map(tuple, search.search(docs.coalesce(1)).collect()), key=str)
+    assert len({r[:2] for r in few}) == len(few) == 20
+    assert [r[2] for r in few if r[0] == 0][0] == 0
+
+
+def test_query_terms_keep_their_frequencies(spark):
+    df = spark.createDataFrame([(5, 2), (-1, 2**40), (9, 1)], "term long, df long")
+    one = spark.createDataFrame([(0, 1, 2, np.array([9, 2**64 - 1, 5], "<u8").tobytes())],
+                                "doc_id long, a long, b long, terms binary")
+    row = search.weighted_queries(one, df).first()
+    assert sorted(map(tuple, row["q"])) == [(-1, 2**40), (5, 2), (9, 1)]
+
+
 def test_pipeline_stages(spark, small):
     """Each stage against brute force on what the one before it kept."""
     docs = table(spark, small, "documents")
